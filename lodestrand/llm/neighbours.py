@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestrand.session import table
 
 BOOKS, CODES, BEAM = 8, 16, 4  # residual codebooks over all dimensions, entries of each, beam of the encoding
+FINE_BOOKS = 20  # codebooks where all rows are scored and only the best are reranked
 CELL_ROWS = 400  # rows a coarse cell holds on average
 MAX_CELLS = 16_384  # coarse centroids at most; beyond MAX_CELLS x CELL_ROWS rows cells grow and are scanned in blocks
 SAMPLE = 131_072  # rows at most that the codebooks are fitted on; every row is encoded and searched
@@ -42,7 +43,7 @@ class Quantiser:
             c, n = self._encode(x[i : i + 2048], self.cells[cell[i : i + 2048]])
             codes.append(c)
             norms.append(n)
-        return (np.concatenate(codes), np.concatenate(norms)) if codes else (np.zeros((0, BOOKS), np.uint8), np.zeros(0, np.float32))
+        return (np.concatenate(codes), np.concatenate(norms)) if codes else (np.zeros((0, len(self.books)), np.uint8), np.zeros(0, np.float32))
 
     def _encode(self, x: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(x)
@@ -70,7 +71,7 @@ class Quantiser:
         """Estimated cosine of encoded rows (down) with queries (across), by table lookups. base: the rows' coarse part."""
         out = base.astype(np.float32, copy=True) if base.shape[0] == len(codes) else np.repeat(base, len(codes), axis=0)
         part = np.empty_like(out)
-        for j in range(BOOKS):
+        for j in range(len(self.books)):
             np.take(tables, codes[:, j].astype(np.int64) + j * CODES, axis=0, out=part)
             out += part
         out /= np.maximum(norms, 1e-6)[:, None]
@@ -90,7 +91,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, unit: bool, rounds:
     return centres
 
 
-def fit(sample: np.ndarray, rows: int, min_cosine: float | None) -> Quantiser:
+def fit(sample: np.ndarray, rows: int, min_cosine: float | None, depth: int = BOOKS) -> Quantiser:
     """Cells for rows vectors and codebooks, fitted on unit vectors of a sample."""
     rng = np.random.default_rng(7)
     cells = _kmeans(sample, int(min(MAX_CELLS, max(1, rows // CELL_ROWS), len(sample))), rng, True)
@@ -100,7 +101,7 @@ def fit(sample: np.ndarray, rows: int, min_cosine: float | None) -> Quantiser:
     part = sample[rng.choice(len(sample), min(len(sample), 16_384), replace=False)]
     rest = part - cells[q.coarse(part)]
     books = []
-    for _ in range(BOOKS):
+    for _ in range(depth):
         book = _kmeans(rest, CODES, rng, False)
         books.append(book)
         rest = rest - book[(rest @ book.T - (book**2).sum(1) / 2).argmax(1)]
@@ -113,7 +114,7 @@ def fit(sample: np.ndarray, rows: int, min_cosine: float | None) -> Quantiser:
         near = min_cosine * x + (1 - min_cosine**2) ** 0.5 * noise
         cell = q.coarse(x)
         codes, norms = q.encode(x, cell)
-        estimate = (near * cells[cell]).sum(1) + sum((near * q.books[j][codes[:, j]]).sum(1) for j in range(BOOKS))
+        estimate = (near * cells[cell]).sum(1) + sum((near * q.books[j][codes[:, j]]).sum(1) for j in range(depth))
         q.cut = float(np.quantile(estimate / np.maximum(norms, 1e-6), 0.001))
     return q
 
@@ -136,7 +137,7 @@ def common_dimension(df: DataFrame, vector: str) -> int:
     return top[0] if top else 0
 
 
-def _fitted(rows: DataFrame, dim: int, min_cosine: float | None):
+def _fitted(rows: DataFrame, dim: int, min_cosine: float | None, depth: int = BOOKS):
     n = rows.count()
     if n == 0:
         return None
@@ -145,7 +146,7 @@ def _fitted(rows: DataFrame, dim: int, min_cosine: float | None):
     vectors = held.toArrow().column(0).combine_chunks()
     if len(vectors) == 0:
         vectors = rows.select("vec").limit(1).toArrow().column(0).combine_chunks()
-    return rows.sparkSession.sparkContext.broadcast(fit(_unit(vectors, dim), n, min_cosine))
+    return rows.sparkSession.sparkContext.broadcast(fit(_unit(vectors, dim), n, min_cosine, depth))
 
 
 ENTRY = "grp int, q int, x int, is_query boolean, id bigint, cells array<int>, bytes binary, codes binary, norm float"
@@ -307,7 +308,7 @@ def _group_sizes(hashed: DataFrame, model, dim: int) -> dict[int, tuple[int, int
     return {g: (-(-n * PROBES // (2 * BLOCK_QUERIES)), -(-n // BLOCK_ROWS)) for g, n in sizes if n > BLOCK_ROWS}
 
 
-def nearest_for(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: int = 3, rerank: int = 64) -> DataFrame:
+def nearest_for(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: int = 3, rerank: int = 128) -> DataFrame:
     """(a, b, cosine): for the vectors of a stated query set their k most similar ids of the whole table.
 
     All rows are scored: each task encodes its rows, scores them by table lookups for a block of
@@ -317,7 +318,7 @@ def nearest_for(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: i
     spark = df.sparkSession
     dim = common_dimension(df, vector)
     rows = comparable(df, ident, vector, dim)
-    model = _fitted(rows, dim, None) if dim else None
+    model = _fitted(rows, dim, None, FINE_BOOKS) if dim else None
     if model is None:
         return spark.createDataFrame([], "a string, b string, cosine double")
     asked = comparable(queries, ident, vector, dim).groupBy("vid").agg(F.min("vec").alias("vec"))
