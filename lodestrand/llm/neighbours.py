@@ -20,7 +20,8 @@ SAMPLE = 131_072  # rows at most that the codebooks are fitted on; every row is
 PROBES = 20  # coarse cells a query looks into
 RERANK = 32  # candidates a query keeps from one group before exact reranking
 SLACK = 0.01  # how far the bytewise cosine may lie below the exact one
-BLOCK_ROWS, BLOCK_QUERIES = 20_000, 100_000  # of a group of cells in one task; larger groups are split
+GROUP_ROWS = 18_000  # rows a group of neighbouring cells holds on average
+BLOCK_ROWS, BLOCK_QUERIES = 50_000, 40_000  # of a group in one task; larger groups are split
 QUERY_BLOCK = 32_768  # stated queries broadcast at a time, at most 4 * dim * QUERY_BLOCK bytes
 
 
@@ -95,7 +96,7 @@ def fit(sample: np.ndarray, rows: int, min_cosine: float | None, depth: int = BO
     """Cells for rows vectors and codebooks, fitted on unit vectors of a sample."""
     rng = np.random.default_rng(7)
     cells = _kmeans(sample, int(min(MAX_CELLS, max(1, rows // CELL_ROWS), len(sample))), rng, True)
-    groups = max(1, round(len(cells) ** 0.5))
+    groups = min(len(cells), max(1, round(rows / GROUP_ROWS)))
     group = (cells @ _kmeans(cells, groups, rng, True).T).argmax(1)
     q = Quantiser(cells, group, np.zeros((0, 0, sample.shape[1]), np.float32))
     part = sample[rng.choice(len(sample), min(len(sample), 16_384), replace=False)]
@@ -283,11 +284,13 @@ def close_neighbours(df: DataFrame, ident: str, vector: str, k: int = 3, min_cos
     hashed = rows.select(F.xxhash64("vid").alias("id"), "vec")
     probing = _group_sizes(hashed, model, dim)
     entries = hashed.mapInArrow(_entries(model, dim, probing), ENTRY)
-    pairs = entries.groupBy("grp", "q", "x").applyInArrow(_search(model, dim, min_cosine), "a bigint, b bigint").distinct()
+    found = entries.groupBy("grp", "q", "x").applyInArrow(_search(model, dim, min_cosine), "a bigint, b bigint")
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     keyed = rows.select(F.xxhash64("vid").alias("id"), "vid", "vec")
     both = pairs.join(keyed.toDF("a", "vid_a", "vec_a"), "a").join(keyed.toDF("b", "vid_b", "vec_b"), "b").where("vid_a <> vid_b")
     cosines = both.select("vid_a", "vid_b", "vec_a", "vec_b").mapInArrow(_exact, "a string, b string, cosine double").where(F.col("cosine") >= min_cosine)
-    once = cosines.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    ways = cosines.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w"), "cosine")
+    once = ways.groupBy("w.a", "w.b").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     return once.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).drop("_at")
 
@@ -305,7 +308,7 @@ def _group_sizes(hashed: DataFrame, model, dim: int) -> dict[int, tuple[int, int
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["grp", "n"])
 
     sizes = hashed.mapInArrow(run, "grp int, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).collect()
-    return {g: (-(-n * PROBES // (2 * BLOCK_QUERIES)), -(-n // BLOCK_ROWS)) for g, n in sizes if n > BLOCK_ROWS}
+    return {g: (-(-n * PROBES // (3 * BLOCK_QUERIES)), -(-n // BLOCK_ROWS)) for g, n in sizes}
 
 
 def nearest_for(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: int = 3, rerank: int = 128) -> DataFrame:
