@@ -50,6 +50,7 @@ def header(text: str) -> str:
 
 def notice(path: str, text: str) -> str | None:
     """generated, copied or minified as far as the header or the path says so; data for a file that is one literal."""
+    text = text.replace("\r\n", "\n")
     if VENDOR_DIRS.search(path):
         return "copied"
     if not CODE.search(path):
@@ -68,7 +69,8 @@ def notice(path: str, text: str) -> str | None:
 
 def features(text: str, listed: int | None) -> list[float]:
     """FEATURES of a whole text without its header, which names the labels."""
-    text = text[len(header(text)) :].replace("\r\n", "\n")
+    text = text.replace("\r\n", "\n")
+    text = text[len(header(text)) :]
     size = max(1, len(text))
     parts = [(m[0], m[1]) for m in _LITERAL.finditer(text)]
     comment = sum(len(whole) for whole, said in parts if said) / size
