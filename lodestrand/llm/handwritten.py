@@ -25,7 +25,7 @@ GENERATED = re.compile(
     r"|\b(?:generiert|erzeugt) (?:mit|von|durch)\b|nicht (?:bearbeiten|ändern|editieren)|\b(?:produit|généré|créé) (?:automatiquement )?par\b|ne pas (?:modifier|éditer)|\b(?:generado|producido|creado) (?:automáticamente )?(?:por|con)\b|no (?:editar|modificar)\b"
     r"|\b(?:gerado|produzido) (?:automaticamente )?(?:por|com|pelo)\b|não (?:editar|edite|modificar|modifique|alterar|altere)|сгенерирован|создано? автоматически|не (?:редактир|изменя|правит)", re.I | re.M)
 NOT_SELF = re.compile(r"elsewhere|maintained by hand|written by hand|hand-?written|the order of", re.I)
-COPIED = re.compile(r"unmodified copy|^\W*upstream:\s|licen[sc]ed under the|released under the [\w.\- ]+ licen[sc]e|^\W*(?:copyright\s*)?\(c\)\s*\d{4}|^\W*copyright\s+\d{4}|spdx-license-identifier|\bvendored from\b|^\W*(?:copied|taken|imported|adapted|bundled) from\b", re.I | re.M)
+COPIED = re.compile(r"unmodified copy|^\W*upstream:\s|licen[sc]ed under the|released under the [\w.\- ]+ licen[sc]e|^\W*(?:copyright\s*)?\(c\)\s*\d{4}|^\W*copyright\s+\d{4}|spdx-license-identifier|\bvendored from\b|^\W*(?:copied|taken|imported|adapted|bundled)(?: verbatim| unchanged| unmodified| as[- ]is)? from\b|\bverbatim (?:copy|from)\b|\bsend (?:patches|fixes|changes|bugs) (?:there|upstream)", re.I | re.M)
 BANNER = re.compile(r"^\s*/\*[!*]?\s*[@\w./-]+\s+v?\d+(?:\.\d+)+[^\n]{0,60}\*/")
 VENDOR_DIRS = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendors?|third[_-]?part(?:y|ies)|thirdparty|3rdparty|godeps|deps|externals?|jspm_packages|site-packages)/", re.I)
 BUILT_DIRS = re.compile(r"(?:^|/)(?:generated|__generated__|generated-sources|autogen|auto-generated|codegen|gen|dist)/", re.I)
