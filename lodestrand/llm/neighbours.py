@@ -17,11 +17,11 @@ FINE_BOOKS = 20  # codebooks where all rows are scored and only the best are rer
 CELL_ROWS = 400  # rows a coarse cell holds on average
 MAX_CELLS = 16_384  # coarse centroids at most; beyond MAX_CELLS x CELL_ROWS rows cells grow and are scanned in blocks
 SAMPLE = 131_072  # rows at most that the codebooks are fitted on; every row is encoded and searched
-PROBES = 8  # coarse cells a query looks into; a pair is found if either of its two looks into the other's cell
+PROBES = 14  # coarse cells a query looks into; a pair is found if either of its two looks into the other's cell
 RERANK = 32  # candidates a query keeps from one group before exact reranking
 SLACK = 0.01  # how far the bytewise cosine may lie below the exact one
-GROUP_ROWS = 36_000  # rows a group of neighbouring cells holds on average
-BLOCK_ROWS, BLOCK_QUERIES = 50_000, 40_000  # of a group in one task; larger groups are split
+GROUP_ROWS = 50_000  # rows a group of neighbouring cells holds on average
+BLOCK_ROWS, BLOCK_QUERIES = 100_000, 40_000  # of a group in one task; larger groups are split
 QUERY_BLOCK = 32_768  # stated queries broadcast at a time, at most 4 * dim * QUERY_BLOCK bytes
 
 
