@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Weights of the actions a reranker predicts.
-ACTIONS = {"click": 1.0, "copy": 0.4, "expand": 0.2, "reference": 0.3, "edit": 0.3}
+ACTIONS = {"relevance": 1.0, "scope_match": 0.4, "freshness": 0.2, "code_proximity": 0.3, "authority": 0.3}
 
 
 def rank_score(rank: Column) -> Column:

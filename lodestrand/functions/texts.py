@@ -52,10 +52,9 @@ def one_line(text: Column, cap: int) -> Column:
 def windows(text: Column, window: int, overlap: int = 0, most: int | None = None) -> Column:
     """Array of pieces of window characters, each window - overlap after the one before; overlap is kept within 0 ... window - 1."""
     step = window - max(0, min(overlap, window - 1))
-    starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
     out = F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(window)))
     out = F.when(F.length(text) <= window, F.array(text)).otherwise(out)
-    out = F.when(F.length(text) > 0, out).otherwise(F.array().cast("array<string>"))
     return F.slice(out, 1, most) if most else out
 
 
