@@ -75,7 +75,7 @@ def without_time(line: Column) -> Column:
 
 def joined_capped(items: Column, cap: int = 20) -> Column:
     """Trimmed distinct items joined by commas, an ellipsis behind the cap-th."""
-    clean = F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x != ""))
+    clean = F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
     text = F.array_join(F.slice(clean, 1, cap), ", ")
     return F.when(F.size(clean) > cap, F.concat(text, F.lit(", …"))).otherwise(text)
 
