@@ -21,7 +21,7 @@ PROBES = 14  # coarse cells a query looks into; a pair is found if either of its
 RERANK = 32  # candidates a query keeps from one group before exact reranking
 SLACK = 0.01  # how far the bytewise cosine may lie below the exact one
 GROUP_ROWS = 50_000  # rows a group of neighbouring cells holds on average
-BLOCK_ROWS, BLOCK_QUERIES = 100_000, 40_000  # of a group in one task; larger groups are split
+BLOCK_ROWS, BLOCK_QUERIES = 100_000, 120_000  # of a group in one task; larger groups are split
 QUERY_BLOCK = 32_768  # stated queries broadcast at a time, at most 4 * dim * QUERY_BLOCK bytes
 
 
