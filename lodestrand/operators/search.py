@@ -26,6 +26,10 @@ def match_expression(query: str, connector: str = "AND") -> str:
     return f" {connector} ".join(f'"{p}"' for p in pieces if p and p not in OPERATORS)
 
 
+def _equals(term: str):
+    return lambda word: word == term
+
+
 def bm25(docs: DataFrame, ident: str, text: Column, query: str, mode: str = "auto", limit: int | None = None, keep: Column | None = None, carried: list[str] | None = None) -> DataFrame:
     """(id, hits, score, rank): BM25 of one query over all documents.
 
@@ -37,7 +41,7 @@ def bm25(docs: DataFrame, ident: str, text: Column, query: str, mode: str = "aut
     terms = query_terms(query)
     base = docs.select(F.col(ident).alias("id"), words(text).alias("w"), (keep if keep is not None else F.lit(True)).alias("keep"), *(carried or []))
     n, average = base.agg(F.count("*"), F.avg(F.size("w"))).first()
-    counts = [F.size(F.filter("w", lambda x, t=t: x == t)) for t in terms] or [F.lit(0)]
+    counts = [F.size(F.filter("w", _equals(t))) for t in terms] or [F.lit(0)]
     hit = base.select("id", "keep", F.size("w").alias("dl"), *(c.alias(f"tf{k}") for k, c in enumerate(counts)), *(carried or []))
     hit = hit.where(" or ".join(f"tf{k} > 0" for k in range(len(counts))))
     if not terms or not n:
