@@ -30,7 +30,7 @@ def _equals(term: str):
     return lambda word: word == term
 
 
-def bm25(docs: DataFrame, ident: str, text: Column, query: str, mode: str = "auto", limit: int | None = None, keep: Column | None = None, carried: list[str] | None = None) -> DataFrame:
+def bm25(docs: DataFrame, ident: str, text: Column, query: str, mode: str = "auto", limit: int = 20, keep: Column | None = None, carried: list[str] | None = None) -> DataFrame:
     """(id, hits, score, rank): BM25 of one query over all documents.
 
     Corpus statistics span all rows; keep filters hits afterwards, before the limit. mode: and, or,
@@ -56,8 +56,6 @@ def bm25(docs: DataFrame, ident: str, text: Column, query: str, mode: str = "aut
     if mode == "and" or (mode == "auto" and not scored.where(F.col("hits") == len(terms)).isEmpty()):
         scored = scored.where(F.col("hits") == len(terms))
     order = (F.desc("score"), F.asc("id"))
-    if limit is None:
-        return scored.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     top = scored.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 

@@ -1,3 +1,224 @@
+"""Dependency graph, references, hierarchy and reports over them. Edges are call references between files of a project."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lodestrand.functions import paths
+from lodestrand.operators import graph, reducers
 from lodestrand.plans.registry import Registry
+from lodestrand.sources import skeleton
 
 R = Registry()
+q = R.add
+
+_CALLS = r"""
+lines as (select project_id, file_id, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from file_contents where content is not null),
+called as (select project_id, file_id, line, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z_$][A-Za-z0-9_$]*)\s*\(', 1))) as name from lines where contains(text, '(')),
+known as (select * from called c where exists (select 1 from symbols s where s.project_id = c.project_id and s.name = c.name)),
+calls as (select project_id, file_id, name, cast(line as int) as line from (select *, row_number() over (partition by file_id order by line, name) as rn from known) where rn <= 400)"""
+_EDGES = _CALLS + """,
+defined as (select project_id, name, min_by(file_id, id) as target_file_id from symbols group by 1, 2),
+edges as (select distinct c.project_id, c.file_id as source_file_id, target_file_id from calls c join defined d on d.project_id = c.project_id and d.name = c.name where c.file_id <> target_file_id),
+degree as (select project_id, target_file_id as file_id, count(*) as dependents from edges group by 1, 2)"""
+
+
+def _calls(t):
+    return graph.call_sites(t.file_contents, t.symbols)
+
+
+def _edges(t):
+    return graph.reference_edges(_calls(t), t.symbols)
+
+
+@q("call_sites__S9", f"with {_CALLS} select * from calls")
+def call_sites(t):
+    return _calls(t)
+
+
+@q("references__J18", f"with {_CALLS} select c.project_id, c.file_id, c.name, c.line, d.symbol_id from calls c join (select project_id, name, min(id) as symbol_id from symbols group by 1, 2) d on d.project_id = c.project_id and d.name = c.name")
+def references(t):
+    first = t.symbols.groupBy("project_id", "name").agg(F.min("id").alias("symbol_id"))
+    return _calls(t).join(first, ["project_id", "name"]).select("project_id", "file_id", "name", "line", "symbol_id")
+
+
+@q("edges__J17", f"with {_EDGES} select * from edges")
+def edges(t):
+    return _edges(t)
+
+
+@q("dependencies__G1", f"with {_EDGES} select source_file_id, f.path as target_path from edges e left join files f on f.id = e.target_file_id")
+def dependencies(t):
+    return _edges(t).join(t.files.select(F.col("id").alias("target_file_id"), F.col("path").alias("target_path")), "target_file_id", "left").select("source_file_id", "target_path")
+
+
+@q("dependents__J3", f"with {_EDGES} select target_file_id, f.path as source_path from edges e join files f on f.id = e.source_file_id")
+def dependents(t):
+    return _edges(t).join(t.files.select(F.col("id").alias("source_file_id"), F.col("path").alias("source_path")), "source_file_id").select("target_file_id", "source_path")
+
+
+@q("tests_covering__J20", f"with {_EDGES} select target_file_id, source_file_id from edges e join files f on f.id = e.source_file_id where f.is_test")
+def tests_covering(t):
+    return _edges(t).join(t.files.where("is_test").select(F.col("id").alias("source_file_id")), "source_file_id", "left_semi").select("target_file_id", "source_file_id")
+
+
+@q("indegrees__A7", f"with {_EDGES} select * from degree")
+def indegrees(t):
+    return graph.indegrees(_edges(t))
+
+
+@q("promoted_tiers__S4", f"with {_EDGES} select f.id, case when index_tier = 'support' and coalesce(dependents, 0) >= 4 then 'core' else index_tier end as tier from files f left join degree d on d.file_id = f.id and d.project_id = f.project_id")
+def promoted_tiers(t):
+    degree = graph.indegrees(_edges(t)).withColumnRenamed("file_id", "id")
+    return t.files.join(degree, ["project_id", "id"], "left").select("id", paths.promoted(F.col("index_tier"), F.col("dependents")).alias("tier"))
+
+
+@q("hubs__G2", f"with {_EDGES} select f.project_id, path, dependents from degree d join files f on f.id = d.file_id order by dependents desc, path, f.project_id limit 20")
+def hubs(t):
+    degree = graph.indegrees(_edges(t)).select(F.col("file_id").alias("id"), "dependents")
+    return degree.join(t.files.select("id", "project_id", "path"), "id").select("project_id", "path", "dependents").orderBy(F.desc("dependents"), "path", "project_id").limit(20)
+
+
+@q("two_cycles__G3", f"with {_EDGES} select a.project_id, a.source_file_id as a, a.target_file_id as b from edges a join edges b on a.source_file_id = b.target_file_id and a.target_file_id = b.source_file_id where a.source_file_id < a.target_file_id")
+def two_cycles(t):
+    return graph.two_cycles(_edges(t))
+
+
+@q("callers_of__G4", f"with {_CALLS} select file_id, line from calls where name in (select min(name) from calls)")
+def callers_of(t):
+    calls = _calls(t)
+    return calls.join(calls.agg(F.min("name").alias("name")), "name", "left_semi").select("file_id", "line")
+
+
+_EXT = r"(?:extends|implements)\s+([A-Za-z_]\w*)"
+
+
+@q("hierarchy__G5", rf"select distinct s.project_id, s.name, b.base, d.id is not null as known from (select distinct project_id, name, unnest(regexp_extract_all(signature, '{_EXT}', 1)) as base from symbols where kind = 'class') b join symbols s on s.project_id = b.project_id and s.name = b.name and s.kind = 'class' left join (select project_id, name, min(id) as id from symbols where kind in ('class', 'interface') group by 1, 2) d on d.project_id = b.project_id and d.name = b.base")
+def hierarchy(t):
+    """Base classes and interfaces of each class, and whether the project defines them."""
+    named = t.symbols.where("kind = 'class'").select("project_id", "name", F.explode(F.regexp_extract_all("signature", F.lit(_EXT), F.lit(1))).alias("base")).distinct()
+    bases = t.symbols.where("kind in ('class', 'interface')").select("project_id", F.col("name").alias("base"), F.lit(True).alias("hit")).distinct()
+    return named.join(bases, ["project_id", "base"], "left").select("project_id", "name", "base", F.coalesce("hit", F.lit(False)).alias("known"))
+
+
+@q("children_count__J7", "select project_id, parent, count(distinct id) as members from symbols where parent is not null and kind = 'method' group by 1, 2")
+def children_count(t):
+    return t.symbols.where("parent is not null and kind = 'method'").groupBy("project_id", "parent").agg(F.countDistinct("id").alias("members"))
+
+
+@q("traced__G6", f"""with recursive {_EDGES}, seeds as (select file_id as seed from degree order by dependents desc, file_id limit 10),
+walk(seed, node, depth) as (select seed, seed, 0 from seeds union select w.seed, e.source_file_id, w.depth + 1 from walk w join edges e on e.target_file_id = w.node where w.depth < 3)
+select seed, node, cast(min(depth) as int) as depth from walk where node <> seed group by 1, 2""")
+def traced(t):
+    """Files that reach the ten largest hubs within three steps, with their least distance."""
+    edges = _edges(t)
+    seeds = graph.indegrees(edges).orderBy(F.desc("dependents"), "file_id").limit(10).select(F.col("file_id").alias("seed"))
+    return graph.reach(edges, seeds, 3)
+
+
+@q("expanded__R6", f"""with {_EDGES}, primary_ as (select id as file_id, row_number() over (order by size desc, id) as rank from files qualify rank <= 40),
+near as (select p.file_id, rank, other from (select distinct * from (select source_file_id as file_id, target_file_id as other from edges union all select target_file_id, source_file_id from edges)) b join primary_ p using (file_id) where rank <= 5 qualify row_number() over (partition by p.file_id order by other) <= 10),
+found as (select other as file_id, count(*) as hits, min(rank) as best_seed from near where other not in (select file_id from primary_) group by 1)
+select file_id, hits, cast(best_seed as int) as best_seed, round(1.0 / (60 + row_number() over (order by hits desc, best_seed, file_id)), 9) as score from found order by hits desc, best_seed, file_id limit 20""")
+def expanded(t):
+    top = t.files.orderBy(F.desc("size"), "id").limit(40).select(F.col("id").alias("file_id"), F.row_number().over(Window.orderBy(F.desc("size"), "id")).alias("rank"))
+    return graph.expanded(top, _edges(t)).withColumn("score", F.round("score", 9))
+
+
+@q("class_members__G8", "select distinct id, name from symbols where parent = (select min(parent) from symbols)")
+def class_members(t):
+    rows = t.symbols.select("id", "name", "parent")
+    return rows.join(rows.agg(F.min("parent").alias("parent")), "parent", "left_semi").select("id", "name").distinct()
+
+
+@q("symbol_tree__G9", """
+with s as (select distinct file_id, id, name, kind, parent, line from symbols),
+top as (select file_id, name, min(id) as id from s where parent is null group by 1, 2)
+select s.file_id, s.id, top.id as parent_id, cast(row_number() over (partition by s.file_id order by s.line, s.id) as int) as ord from s left join top on top.file_id = s.file_id and top.name = s.parent""")
+def symbol_tree(t):
+    """Symbols of each file in line order beneath their parent."""
+    s = t.symbols.select("file_id", "id", "name", "kind", "parent", "line").distinct()
+    top = s.where("parent is null").groupBy("file_id", F.col("name").alias("parent")).agg(F.min("id").alias("parent_id"))
+    return s.join(top, ["file_id", "parent"], "left").select("file_id", "id", "parent_id", F.row_number().over(Window.partitionBy("file_id").orderBy("line", "id")).alias("ord"))
+
+
+@q("resolved_imports__J16")
+def resolved_imports(t):
+    """Relative script imports resolved against the files of the project; those without a file stay null."""
+    scripts = t.files.where(F.col("path").rlike(r"\.m?[jt]s$")).select(F.col("id").alias("file_id"), "project_id", paths.dirname(F.col("path")).alias("directory"))
+    found = t.file_contents.select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"from\s+['\"](\.[^'\"\n]+)['\"]"), F.lit(1)))).alias("import_path"))
+    return graph.resolved_imports(scripts.join(found, "file_id"), t.files)
+
+
+@q("file_scores__A14", f"""with {_EDGES}, s as (select file_id, least(count(distinct id), 10) as n from symbols where kind in ('function', 'class', 'interface', 'method', 'type') group by 1)
+select f.id, cast(3 * coalesce(dependents, 0) + case when is_entry_point then 10 else 0 end + case complexity when 'very-high' then 5 when 'high' then 3 when 'medium' then 1 else 0 end + coalesce(n, 0) + case layer when 'business' then 2 when 'infrastructure' then 1 else 0 end as bigint) as score
+from files f left join degree d on d.file_id = f.id and d.project_id = f.project_id left join s on s.file_id = f.id""")
+def file_scores(t):
+    degree = graph.indegrees(_edges(t)).withColumnRenamed("file_id", "id")
+    rich = t.symbols.where(F.col("kind").isin("function", "class", "interface", "method", "type")).groupBy(F.col("file_id").alias("id")).agg(F.least(F.countDistinct("id"), F.lit(10)).alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    c, layer = F.col("complexity"), F.col("layer")
+    score = 3 * zero("dependents") + F.when(F.col("is_entry_point"), 10).otherwise(0) + F.when(c == "very-high", 5).when(c == "high", 3).when(c == "medium", 1).otherwise(0) + zero("n") + F.when(layer == "business", 2).when(layer == "infrastructure", 1).otherwise(0)
+    return t.files.join(degree, ["project_id", "id"], "left").join(rich, "id", "left").select("id", score.cast("bigint").alias("score"))
+
+
+@q("directory_scores__A14b", f"""with {_EDGES} select project_id, dir, max(dependents) as best, count(*) as files from (select f.project_id, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end as dir, coalesce(dependents, 0) as dependents from files f left join degree d on d.file_id = f.id) group by 1, 2""")
+def directory_scores(t):
+    degree = graph.indegrees(_edges(t)).select(F.col("file_id").alias("id"), "dependents")
+    return t.files.join(degree, "id", "left").groupBy("project_id", paths.dirname(F.col("path")).alias("dir")).agg(F.max(F.coalesce("dependents", F.lit(0))).alias("best"), F.count("*").alias("files"))
+
+
+@q("architecture__A13", f"""with {_EDGES}, l as (select project_id, coalesce(layer, 'unknown') as layer, count(*) as n from files group by 1, 2),
+h as (select project_id, max(dependents) as top_hub from degree group by 1), e as (select project_id, count(*) as entries from files where is_entry_point group by 1)
+select l.project_id, l.layer, n, coalesce(entries, 0) as entries, coalesce(top_hub, 0) as top_hub from l left join h on h.project_id = l.project_id left join e on e.project_id = l.project_id""")
+def architecture(t):
+    layers = t.files.groupBy("project_id", F.coalesce("layer", F.lit("unknown")).alias("layer")).agg(F.count("*").alias("n"))
+    entries = t.files.where("is_entry_point").groupBy("project_id").agg(F.count("*").alias("entries"))
+    hub = graph.indegrees(_edges(t)).groupBy("project_id").agg(F.max("dependents").alias("top_hub"))
+    return layers.join(entries, "project_id", "left").join(hub, "project_id", "left").select("project_id", "layer", "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("entries", "top_hub")))
+
+
+@q("skeletons__U3")
+def skeletons(t):
+    """Declarations found in texts by a Python table function: file, line, kind, name."""
+    return skeleton.skeletons(t.files, t.file_contents)
+
+
+@q("bodies__U3b")
+def bodies(t):
+    """The body of every function symbol: from its line to where its block ends."""
+    return skeleton.bodies(t.symbols, t.file_contents)
+
+
+@q("parsed_symbols__S6")
+def parsed_symbols(t):
+    """Symbols per file by the skeleton source; unsupported files keep a row with none."""
+    return skeleton.symbol_counts(t.files, t.file_contents)
+
+
+@q("reduced_texts__D8")
+def reduced_texts(t):
+    """Documents reduced to 800 characters by the reducer of command output."""
+    return reducers.reduced(t.documents, "doc_id", "text", "run_command", 800)
+
+
+@q("crushed_events__D1")
+def crushed_events(t):
+    """Events of an hour and kind as JSON lines, crushed to 1,000 characters."""
+    hour = F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd HH"), "event_type")
+    lines = t.events.groupBy(hour.alias("hour")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.to_json(F.struct("user_id", "value")).alias("j")))).alias("l"))
+    return reducers.reduced(lines.select("hour", F.array_join(F.transform("l", lambda x: x["j"]), "\n").alias("text")), "hour", "text", "json", 1000)
+
+
+_LOG_SQL = r"""
+select user_id, cast(island as bigint) as island, any_value(event_type) as event_type, count(*) as run from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as island from (select user_id, event_id, ts, event_type, case when event_type is not distinct from lag(event_type) over w and lag(1) over w is not null then 0 else 1 end as fresh from events window w as (partition by user_id order by ts, event_id))) group by user_id, island having count(*) > 1"""
+
+
+@q("log_runs__D7", _LOG_SQL)
+def log_runs(t):
+    """Runs of equal neighbouring log lines, as the log reducer collapses them."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    fresh = (~F.col("event_type").eqNullSafe(F.lag("event_type").over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
+    numbered = t.events.select("user_id", "event_id", "ts", "event_type").withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w))
+    return numbered.groupBy("user_id", "island").agg(F.first("event_type").alias("event_type"), F.count("*").alias("run")).where("run > 1")
