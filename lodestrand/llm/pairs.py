@@ -33,18 +33,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     both = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
     links = cut(both)
     for _ in range(rounds):
-        before = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before = _state(links)
         # large star: every larger neighbour of a node is tied to the node's smallest neighbour or itself
-        sym = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        ways = F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("o")), F.struct(F.col("v").alias("n"), F.col("u").alias("o")))).alias("e")
+        sym = links.select(ways).select("e.n", "e.o")
+        low = sym.groupBy("n").agg(F.min("o").alias("lo")).select("n", F.least("n", "lo").alias("m"))
+        large = cut(sym.join(low, "n").where("o > n and m < o").select(F.col("m").alias("u"), F.col("o").alias("v")).distinct())
         # small star: a node and its smaller neighbours are tied to the smallest of them
-        down = large.select(F.col("v").alias("node"), F.col("u").alias("near"))
-        least = down.groupBy("node").agg(F.min("near").alias("m"))
-        small = down.join(least, "node").select(F.col("m").alias("u"), F.col("near").alias("v")).union(least.select(F.col("m").alias("u"), F.col("node").alias("v")))
-        links = cut(small.where("u < v").distinct())
-        if links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == before:
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        tied = large.join(least, "v").select("m", F.explode(F.array("u", "v")).alias("o"))
+        links = cut(tied.where("m < o").select(F.col("m").alias("u"), F.col("o").alias("v")).distinct())
+        if _state(links) == before:
             break
-    return links.groupBy("v").agg(F.min("u").alias("component")).select(F.col("v").alias("node"), "component").union(
-        links.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    ).groupBy("node").agg(F.min("component").alias("component"))
+    labels = links.select(F.explode(F.array(F.struct(F.col("v").alias("node"), F.col("u").alias("c")), F.struct(F.col("u").alias("node"), F.col("u").alias("c")))).alias("e"))
+    return labels.groupBy("e.node").agg(F.min("e.c").alias("component"))
+
+
+def _state(links: DataFrame):
+    return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
