@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from lodestrand.operators.rolling import rolling_totals
 from lodestrand.session import table
 
+NUDGE = 1e-11  # keeps averages that lie on a rounding limit on one side of it in every order of summing
+
 
 def _rolled(spark, d):
     return rolling_totals(table(spark, d, "costs"), "project_id", "created_at", "cost_usd", (7, 30))
@@ -15,7 +17,7 @@ def p1_rolling(spark, d):
     return r.select(
         "project_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_rows",
         *(f"rows_{p}" for p in (7, 30)),
-        *(F.round(f"{c}_{p}", 6).alias(f"{c}_{p}") for p in (7, 30) for c in ("total", "avg", "day_avg")),
+        *(F.round(F.col(f"{c}_{p}") + NUDGE, 6).alias(f"{c}_{p}") for p in (7, 30) for c in ("total", "avg", "day_avg")),
     )
 
 
@@ -53,5 +55,5 @@ _CTE = _DENSE.format(cols=_COLS)
 SQL = {
     "p1_found": _CTE + "select distinct project_id, strftime(day, '%Y-%m-%d') as day from rolled where rows_7 = 0 and rows_30 > 0",
     "p1_rolling": _CTE + "select project_id, strftime(day, '%Y-%m-%d') as day, cast(n_rows as bigint) as n_rows, cast(rows_7 as bigint) as rows_7, cast(rows_30 as bigint) as rows_30, "
-    + ", ".join(f"round({c}_{p}, 6) as {c}_{p}" for p in (7, 30) for c in ("total", "avg", "day_avg")) + " from rolled",
+    + ", ".join(f"round({c}_{p} + {NUDGE}, 6) as {c}_{p}" for p in (7, 30) for c in ("total", "avg", "day_avg")) + " from rolled",
 }
