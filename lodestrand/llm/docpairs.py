@@ -135,9 +135,9 @@ class Source:
             last = number
             for k in range(number + 1, len(self.starts) + 1):
                 text = self.line(k)
-                if not text.strip() or self.inside(self.strings, self.starts[k - 1]):
+                if not text.strip() or text.lstrip()[0] == "#" or self.inside(self.strings, self.starts[k - 1]):
                     continue
-                if len(text) - len(text.lstrip()) <= own and text.lstrip()[0] not in ")]}#":
+                if len(text) - len(text.lstrip()) <= own and text.lstrip()[0] not in ")]}":
                     break
                 last = k
             return last

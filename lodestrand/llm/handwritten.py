@@ -22,8 +22,8 @@ GENERATED = re.compile(
     r"code generated by|^\W*@generated\b|auto-?\s?generated\s+(?:file|by|from|code by)\b|<auto-?generated|\bgenerated (?:automatically|by the \w+ (?:tool|compiler|generator))"
     r"|do not (?:edit|modify|change)(?: (?:this|it|manually|by hand|directly)|\W*$)|(?:edits|changes) (?:\w+ ){0,3}(?:will|may) be (?:overwritten|lost)|(?:machine|automatically)[- ](?:written|generated|made|produced) (?:from|by)"
     r"|is (?:auto-?)?(?:written|generated|produced|created|emitted) by the \S+|^\W*output of \S+ v?\d|instead of editing|this file (?:is|was) (?:auto-?|automatically )?(?:generated|produced|created|emitted)"
-    r"|\b(?:generiert|erzeugt) (?:mit|von|durch)\b|nicht (?:bearbeiten|ändern|editieren)|\b(?:produit|généré|créé) (?:automatiquement )?par\b|ne pas (?:modifier|éditer)|\b(?:generado|producido|creado) (?:automáticamente )?(?:por|con)\b|no (?:editar|modificar)\b"
-    r"|\b(?:gerado|produzido) (?:automaticamente )?(?:por|com|pelo)\b|não (?:editar|edite|modificar|modifique|alterar|altere)|сгенерирован|создано? автоматически|не (?:редактир|изменя|правит)", re.I | re.M)
+    r"|\bgeneriert (?:mit|von|durch)\b|automatisch erzeugt|nicht (?:bearbeiten|ändern|editieren)|\bfichier (?:produit|généré|créé) par\b|généré (?:automatiquement )?par\b|ne pas (?:modifier|éditer)|\b(?:archivo|fichero) (?:producido|creado|generado) por\b|\bgenerado (?:automáticamente )?(?:por|con)\b|no (?:editar|modificar)\b"
+    r"|\barquivo (?:produzido|criado|gerado) por\b|\bgerado (?:automaticamente )?(?:por|com|pelo)\b|não (?:editar|edite|modificar|modifique|alterar|altere)|файл (?:создан|сгенерирован)|сгенерировано? |не (?:редактировать|редактируйте|изменять|править)", re.I | re.M)
 NOT_SELF = re.compile(r"elsewhere|maintained by hand|written by hand|hand-?written|the order of", re.I)
 COPIED = re.compile(r"unmodified copy|^\W*upstream:\s|licen[sc]ed under the|released under the [\w.\- ]+ licen[sc]e|^\W*(?:copyright\s*)?\(c\)\s*\d{4}|^\W*copyright\s+\d{4}|spdx-license-identifier|\bvendored from\b|^\W*(?:copied|taken|imported|adapted|bundled)(?: verbatim| unchanged| unmodified| as[- ]is)? from\b|\bverbatim (?:copy|from)\b|\bsend (?:patches|fixes|changes|bugs) (?:there|upstream)", re.I | re.M)
 BANNER = re.compile(r"^\s*/\*[!*]?\s*[@\w./-]+\s+v?\d+(?:\.\d+)+[^\n]{0,60}\*/")
@@ -39,8 +39,8 @@ _TOKEN = re.compile(r"[^\W\d]\w*|0[xX][\da-fA-F]+|\d[\d._]*\w*|[^\w\s]")
 _WORDS = re.compile(r"[^\W\d_]\w*")
 FEATURES = ("ratio", "entropy", "distinct", "ident_len", "short_ident", "comment", "line_len", "long_line", "numbers", "strings", "prose", "shapes", "ops", "named", "size", "listed")
 LABELLED = 20_000  # labelled files at most that the forest is fitted on; every file is scored
-TREES, DEPTH, LIMIT = 24, 8, 0.6
-FIRST_TREES, DOUBT = 8, 0.08  # of the first forest, which only sets aside unmarked files that look marked
+TREES, DEPTH, LIMIT = 24, 8, 0.8
+FIRST_TREES, FIRST_DEPTH, FIRST_LEAF, DOUBT = 12, 4, 12, 0.08  # of the first forest, which only sets aside unmarked files that look marked
 
 
 def header(text: str) -> str:
@@ -144,15 +144,15 @@ def not_handwritten(files: DataFrame, contents: DataFrame, limit: float = LIMIT)
     else:
         share = min(1.0, LABELLED / n)
         train = cut(vectors.transform(labelled.where(F.pmod(F.xxhash64("file_id"), F.lit(1_000_000)) < share * 1_000_000)).select("vec", "label"))
-        first = _forest(FIRST_TREES).fit(train)
+        first = _forest(FIRST_TREES, FIRST_DEPTH, FIRST_LEAF).fit(train)
         sure = first.transform(train).where((F.col("label") > 0) | (vector_to_array("probability")[1] < DOUBT)).select("vec", "label")
         scored = _forest(TREES).fit(sure).transform(vectors.transform(rows)).withColumn("score", vector_to_array("probability")[1])
     found = F.col("notice").isNotNull() | (F.col("code") & (F.coalesce("score", F.lit(0.0)) >= limit))
     return scored.select("file_id", "notice", "score", (~found).alias("handwritten"))
 
 
-def _forest(trees: int) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="vec", labelCol="label", numTrees=trees, maxDepth=DEPTH, minInstancesPerNode=3, seed=5, maxBins=64, subsamplingRate=0.8)
+def _forest(trees: int, depth: int = DEPTH, leaf: int = 3) -> RandomForestClassifier:
+    return RandomForestClassifier(featuresCol="vec", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=5, maxBins=64, subsamplingRate=0.8)
 
 
 def _all(spark, d):
