@@ -51,8 +51,8 @@ def beyond(df: DataFrame, key: list[str], order: list[str], keep: int) -> DataFr
 def changed_revisions(df: DataFrame, key: list[str], order: list[str], state: str) -> DataFrame:
     """Revisions that differ from the one before."""
     w = Window.partitionBy(*key).orderBy(*order)
-    before = F.lag(state).over(w)
-    return df.withColumn("_before", before).where(~F.col(state).eqNullSafe(F.col("_before")) | F.col("_before").isNull()).drop("_before")
+    numbered = df.withColumns({"_before": F.lag(state).over(w), "_rn": F.row_number().over(w)})
+    return numbered.where(~F.col(state).eqNullSafe(F.col("_before")) | (F.col("_rn") == 1)).drop("_before", "_rn")
 
 
 def versioned(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
