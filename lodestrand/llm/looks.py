@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm.pairs import salted_pairs
 from lodestrand.llm.uniform import uniform
-from lodestrand.session import table
+from lodestrand.session import cut, table
 
 
 def uniform_texts(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -53,7 +53,7 @@ def same_look_pairs(df: DataFrame, ident: str, text: str) -> DataFrame:
     Forms with a single spelling drop out before any pairing, so exact copies cost nothing; hot
     forms are salted. Empty input gives no rows.
     """
-    keys = form_keys(df, ident, text)
+    keys = cut(form_keys(df, ident, text))
     return salted_pairs(_mixed(keys), "form_key", "id", ["text_key"], "text_key_a <> text_key_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -64,7 +64,7 @@ def _mixed(keys: DataFrame) -> DataFrame:
 
 def look_classes(df: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, class_id): one row per row whose form several spellings share, with its class's smallest id."""
-    keys = form_keys(df, ident, text)
+    keys = cut(form_keys(df, ident, text))
     firsts = keys.groupBy("form_key").agg(F.min("id").alias("class_id"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi")
     return keys.join(firsts.select("form_key", "class_id"), "form_key").select("id", "class_id")
 
