@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,13 +74,24 @@ def hyperplanes(dim: int, count: int = PLANES, seed: int = PLANE_SEED) -> list[l
 
 
 def simhash(v: Column, planes: list[list[float]]) -> Column:
-    """Bit b is set where the dot product with plane b is positive; 0 ... 2^32 - 1 as bigint."""
-    bits = []
-    for b, plane in enumerate(planes):
-        literal = F.array(*(F.lit(x) for x in plane))
-        product = F.aggregate(F.zip_with(doubles(v), literal, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        bits.append(F.when(product > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint"))
-    return sum(bits[1:], bits[0])
+    """Bit b is set where the dot product with plane b is positive; 0 ... 2^32 - 1 as bigint, null for null.
+
+    One matrix product an Arrow batch; vectors are read as far as the planes reach.
+    """
+    matrix = np.array(planes, np.float64)
+    weights = 1 << np.arange(len(planes), dtype=np.int64)
+
+    @F.pandas_udf("bigint")
+    def signature(batch: pd.Series) -> pd.Series:
+        known = batch.notna()
+        out = pd.Series([None] * len(batch), dtype="Int64", index=batch.index)
+        for size, group in batch[known].groupby(batch[known].map(len)):
+            width = min(size, matrix.shape[1])
+            dots = np.stack(group.to_list()).astype(np.float64)[:, :width] @ matrix[:, :width].T if size else np.zeros((len(group), len(planes)))
+            out.loc[group.index] = ((dots > 0) * weights).sum(1)
+        return out
+
+    return signature(v)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -44,7 +44,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     Frontiers are joined with the edges and stripped of what is known, so work follows the frontier;
     lineage is cut once a step.
     """
-    back = edges.select(F.col("target_file_id").alias("node"), F.col("source_file_id").alias("to")).distinct()
+    back = cut(edges.select(F.col("target_file_id").alias("node"), F.col("source_file_id").alias("to")).distinct())
     known = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
     frontier = known
     for d in range(1, depth + 1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,27 +35,27 @@ def bm25(docs: DataFrame, ident: str, text: Column, query: str, mode: str = "aut
     """(id, hits, score, rank): BM25 of one query over all documents.
 
     Corpus statistics span all rows; keep filters hits afterwards, before the limit. mode: and, or,
-    or auto, which falls back from and to or only if no document has all terms. Only occurrences of
-    the query's terms leave the scan; per document there is one partial row, so what is shuffled is
-    bounded by matching documents x terms. Ties rank by id.
+    or auto, which falls back from and to or only if no document has all terms. One pass gathers the
+    statistics, one scores; nothing but sums and each task's best limit rows is shuffled. Ties rank by id.
     """
     terms = query_terms(query)
-    base = docs.select(F.col(ident).alias("id"), words(text).alias("w"), (keep if keep is not None else F.lit(True)).alias("keep"), *(carried or []))
-    n, average = base.agg(F.count("*"), F.avg(F.size("w"))).first()
-    counts = [F.size(F.filter("w", _equals(t))) for t in terms] or [F.lit(0)]
-    hit = base.select("id", "keep", F.size("w").alias("dl"), *(c.alias(f"tf{k}") for k, c in enumerate(counts)), *(carried or []))
-    hit = hit.where(" or ".join(f"tf{k} > 0" for k in range(len(counts))))
-    if not terms or not n:
-        return hit.select("id", F.lit(0).alias("hits"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"), *(carried or [])).limit(0)
-    df = hit.agg(*(F.coalesce(F.sum(F.when(F.col(f"tf{k}") > 0, 1)), F.lit(0)) for k in range(len(terms)))).first()
+    found = docs.select(F.col(ident).alias("id"), words(text).alias("w"), (keep if keep is not None else F.lit(True)).alias("keep"), *(carried or []))
+    counts = [F.size(F.filter("w", _equals(t))).alias(f"tf{k}") for k, t in enumerate(terms)]
+    base = found.select("id", "keep", F.size("w").alias("dl"), *counts, *(carried or []))
+    if not terms:
+        return base.select("id", F.lit(0).alias("hits"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"), *(carried or [])).limit(0)
+    has = [F.col(f"tf{k}") > 0 for k in range(len(terms))]
+    every = F.col("keep")
+    for h in has:
+        every = every & h
+    n, average, whole, *df = base.agg(F.count("*"), F.avg("dl"), F.coalesce(F.bool_or(every), F.lit(False)), *(F.count(F.when(h, 1)) for h in has)).first()
     score = F.lit(0.0)
-    for k, _ in enumerate(terms):
-        idf = F.log(1 + (F.lit(float(n)) - df[k] + 0.5) / (F.lit(float(df[k])) + 0.5))
+    for k, seen in enumerate(df):
         tf = F.col(f"tf{k}").cast("double")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / average))
-    scored = hit.where("keep").select("id", sum(((F.col(f"tf{k}") > 0).cast("int") for k in range(len(terms))), F.lit(0)).alias("hits"), score.alias("score"), *(carried or []))
-    if mode == "and" or (mode == "auto" and not scored.where(F.col("hits") == len(terms)).isEmpty()):
-        scored = scored.where(F.col("hits") == len(terms))
+        score = score + math.log(1 + (n - seen + 0.5) / (seen + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0)))
+    hits = sum((h.cast("int") for h in has), F.lit(0))
+    least = len(terms) if mode == "and" or (mode == "auto" and whole) else 1
+    scored = base.where("keep").where(hits >= least).select("id", hits.alias("hits"), score.alias("score"), *(carried or []))
     order = (F.desc("score"), F.asc("id"))
     top = scored.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
