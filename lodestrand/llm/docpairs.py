@@ -243,13 +243,19 @@ def tells(text: str | None, name: str) -> bool:
     return bool(fresh)
 
 
-def _by_file(symbols: DataFrame, contents: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """(file_id, content, symbols): the function symbols of each file beside its text, once a file; files without text keep their symbols."""
+CHUNK = 5_000  # lines of a file whose symbols are one group
+
+
+def _by_file(symbols: DataFrame, contents: DataFrame) -> DataFrame:
+    """(content, symbols): the function symbols of each file beside its text; files without text keep their symbols.
+
+    A file's symbols are grouped by CHUNK lines and symbols without a file stand alone, so no group grows with the table.
+    """
     wanted = symbols.where(F.lower("kind").isin("function", "method") & F.col("id").isNotNull())
-    held = wanted.select("file_id", F.struct(F.col("id").cast("bigint").alias("id"), "file_path", "name", "signature", F.col("line").cast("int").alias("line"), "comment").alias("s"))
-    grouped = held.groupBy("file_id").agg(F.collect_set("s").alias("symbols"))
-    texts = contents.select(F.col("file_id"), "content")
-    return grouped.join(texts, "file_id", "left").select("content", "symbols")
+    part = F.when(F.col("file_id").isNull(), F.col("id").cast("bigint")).otherwise(F.floor(F.coalesce(F.col("line"), F.lit(0)) / CHUNK))
+    held = wanted.select("file_id", part.alias("part"), F.struct(F.col("id").cast("bigint").alias("id"), "file_path", "name", "signature", F.col("line").cast("int").alias("line"), "comment").alias("s"))
+    grouped = held.groupBy("file_id", "part").agg(F.collect_set("s").alias("symbols"))
+    return grouped.join(contents.select("file_id", "content"), "file_id", "left").select("content", "symbols")
 
 
 PAIR = "symbol_id bigint, name string, signature string, documentation string, start_line int, end_line int"
@@ -284,8 +290,8 @@ def documented_symbols(symbols: DataFrame, contents: DataFrame, with_ends: bool
 
     Documentation is the symbol's comment, else the docstring or the comment directly above its line in
     the file's text. Null kinds, ids and names, files without text, lines outside the text and unknown
-    languages are met by what is left of the two sources; repeated rows count once. Symbols are
-    gathered by file (a file's own symbols are the unit of work), so the text is shuffled once.
+    languages are met by what is left of the two sources; repeated rows count once. The text is
+    shuffled once, to its file's symbols.
     """
     return _by_file(symbols, contents).mapInArrow(_pairs(with_ends), PAIR)
 
