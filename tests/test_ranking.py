@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import paths, scores, texts, vectors
 from lodestrand.operators import fusion, planner, search
+from lodestrand.operators.cache import LruCache
 from lodestrand.operators.pipeline import CachedHydrator, CandidatePipeline, DedupFilter, FixedSource, JoinHydrator, ScoreColumn, TopKSelector, WhereFilter
 
 
@@ -177,3 +178,17 @@ def test_pipeline(spark):
     assert [f[0] for f in out.failed] == ["broken", "score"] and {r.id for r in out.removed[0][1].collect()} == {3}
     assert {e["stage"] for e in p.telemetry.events} >= {"a", "b", "names", "named", "dedup", "top-k"}
     assert fusion.top_k(a, "s", "id", float("inf")).count() == 2 and fusion.top_k(a, "s", "id", -3).count() == 0
+
+
+def test_cache_and_hypothetical_answers():
+    now = [0.0]
+    cache = LruCache(2, ttl=10, clock=lambda: now[0])
+    cache.set("a", 1)
+    cache.set("b", 2)
+    assert cache.get("a") == 1
+    cache.set("c", 3)
+    assert cache.get("b") is None and len(cache) == 2 and cache.get_or_compute("a", lambda: 9) == 1
+    now[0] = 11
+    assert cache.get("a") is None and cache.get_or_compute("a", lambda: 9) == 9 and cache.delete("c") and not cache.delete("c")
+    assert planner.hypothetical("q") is None and planner.hypothetical("q", lambda q: "```py\nx = 1\n```") == "x = 1" and planner.hypothetical("q", lambda q: 1 / 0) is None
+    assert planner.variants("how does output capping work?") == ["how does output capping work?", "implementation of output capping work", "function class output capping work"] and planner.variants("x") == ["x", "x implementation"]
