@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,9 @@ RERANK = 32  # candidates a query keeps from one group before exact reranking
 SLACK = 0.01  # how far the bytewise cosine may lie below the exact one
 GROUP_ROWS = 50_000  # rows a group of neighbouring cells holds on average
 BLOCK_ROWS, BLOCK_QUERIES = 100_000, 120_000  # of a group in one task; larger groups are split
+PAIR_BLOCK = 65_536  # pairs of vectors reranked at a time in a task
+SCORE_BLOCK = 4_194_304  # table scores of rows and queries held at a time in a task
+SAME = 2.0**-22  # grid on which unit vectors are compared: the same vector stored at different lengths falls on one point
 QUERY_BLOCK = 32_768  # stated queries broadcast at a time, at most 4 * dim * QUERY_BLOCK bytes
 
 
@@ -138,6 +142,37 @@ def common_dimension(df: DataFrame, vector: str) -> int:
     return top[0] if top else 0
 
 
+def _keys(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each unit vector on the grid."""
+    grid = np.rint(x / np.float32(SAME)).astype(np.int32)
+    return np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=8).digest() for r in grid), np.int64)
+
+
+def _keyed(dim: int, kept: str):
+    """(vid, vec) to the key and the kept one of both columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(_unit(b.column(1), dim))), b.column(("vid", "vec").index(kept))], names=["key", kept])
+
+    return run
+
+
+def distinct_vectors(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(key, heads, vec), one row per distinct vector, and (vid, key), one row per id.
+
+    heads are the k + 1 smallest ids of the vector: enough to give every other vector, and each of
+    its own ids, k of them. An id with several vectors keeps the one of the least key.
+    """
+    owned = rows.mapInArrow(_keyed(dim, "vid"), "key bigint, vid string").groupBy("vid").agg(F.min("key").alias("key"))
+    at = Window.partitionBy("key").orderBy("vid")
+    first = owned.withColumn("_at", F.row_number().over(at)).where(F.col("_at") <= k + 1)
+    heads = first.groupBy("key").agg(F.sort_array(F.collect_list("vid")).alias("heads"))
+    vecs = rows.mapInArrow(_keyed(dim, "vec"), "key bigint, vec array<float>").groupBy("key").agg(F.min("vec").alias("vec"))
+    return vecs.join(heads.hint("merge"), "key").select("key", "heads", "vec"), owned
+
+
 def _fitted(rows: DataFrame, dim: int, min_cosine: float | None, depth: int = BOOKS):
     n = rows.count()
     if n == 0:
@@ -232,13 +267,14 @@ def _search(model, dim: int, min_cosine: float):
         for s, e in zip(starts, np.append(starts[1:], len(cell))):
             here = owner[s:e]
             rows, queries = here[~kind[here]], here[kind[here]]
-            for i in range(0, len(queries), 1024) if len(rows) else ():
-                q = queries[i : i + 1024]
+            wide = min(1024, max(1, SCORE_BLOCK // max(1, len(rows))))
+            for i in range(0, len(queries), wide) if len(rows) else ():
+                q = queries[i : i + wide]
                 vectors = raw[q]
                 found = m.scores(m.tables(vectors), (vectors @ m.cells[cell[s]])[None, :], codes[place[rows]], norms[place[rows]])
                 r, c = np.nonzero(found >= m.cut)
                 r, c = rows[r], q[c]
-                exact = np.einsum("ij,ij->i", raw[r], raw[c])
+                exact = np.concatenate([np.einsum("ij,ij->i", raw[r[j : j + PAIR_BLOCK]], raw[c[j : j + PAIR_BLOCK]]) for j in range(0, len(r), PAIR_BLOCK)] or [np.zeros(0, np.float32)])
                 fine = (exact >= min_cosine - SLACK) & (ids[r] != ids[c])
                 out_q.append(ids[c[fine]])
                 out_x.append(ids[r[fine]])
@@ -248,8 +284,6 @@ def _search(model, dim: int, min_cosine: float):
         q, x, c = np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_c)
         order = np.lexsort((x, -c, q))
         q, x = q[order], x[order]
-        fresh = np.append(True, (q[1:] != q[:-1]) | (x[1:] != x[:-1]))[: len(q)]  # repeated rows of one id take one place
-        q, x = q[fresh], x[fresh]
         begin = np.maximum.accumulate(np.where(np.append(True, q[1:] != q[:-1])[: len(q)], np.arange(len(q)), 0))
         kept = np.arange(len(q)) - begin < RERANK
         return pa.table({"a": q[kept], "b": x[kept]})
@@ -262,7 +296,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if b.num_rows:
             x, y = (np.asarray(b.column(k).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1) for k in (2, 3))
             c = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c)], names=["a", "b", "cosine"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.minimum(c, 1.0))], names=["a", "b", "cosine"])
 
 
 def close_neighbours(df: DataFrame, ident: str, vector: str, k: int = 3, min_cosine: float = 0.85) -> DataFrame:
@@ -270,6 +304,8 @@ def close_neighbours(df: DataFrame, ident: str, vector: str, k: int = 3, min_cos
 
     Vectors that are null, empty, of another than the table's usual dimension, zero or not finite are
     neither queries nor neighbours. A repeated id counts once; of ties the smaller id comes first.
+    The search runs between distinct vectors only; ids that share a vector are given each other at
+    cosine 1 and are expanded from at most k + 1 of them after it.
     The first codebook's cells, one per CELL_ROWS rows, spread the work: a row is stored in its
     nearest cell, and looks into its PROBES nearest ones. Neighbouring cells form a group, so that
     a query travels once a group, as bytes; groups of very many rows or queries are split into
@@ -281,33 +317,38 @@ def close_neighbours(df: DataFrame, ident: str, vector: str, k: int = 3, min_cos
     model = _fitted(rows, dim, min_cosine) if dim else None
     if model is None:
         return df.sparkSession.createDataFrame([], "a string, b string, cosine double")
-    hashed = rows.select(F.xxhash64("vid").alias("id"), "vec")
-    probing = _group_sizes(hashed, model, dim)
+    distinct, owned = distinct_vectors(rows, dim, k)
+    hashed = distinct.select(F.col("key").alias("id"), "vec")
+    probing = _group_sizes(rows, model, dim)
     entries = hashed.mapInArrow(_entries(model, dim, probing), ENTRY)
     found = entries.groupBy("grp", "q", "x").applyInArrow(_search(model, dim, min_cosine), "a bigint, b bigint")
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    keyed = rows.select(F.xxhash64("vid").alias("id"), "vid", "vec")
-    both = pairs.join(keyed.toDF("a", "vid_a", "vec_a"), "a").join(keyed.toDF("b", "vid_b", "vec_b"), "b").where("vid_a <> vid_b")
-    cosines = both.select("vid_a", "vid_b", "vec_a", "vec_b").mapInArrow(_exact, "a string, b string, cosine double").where(F.col("cosine") >= min_cosine)
-    ways = cosines.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w"), "cosine")
-    once = ways.groupBy("w.a", "w.b").agg(F.max("cosine").alias("cosine"))
+    both = pairs.join(distinct.toDF("a", "heads_a", "vec_a"), "a").join(distinct.toDF("b", "heads_b", "vec_b"), "b")
+    cosines = both.select("heads_a", "heads_b", "vec_a", "vec_b").mapInArrow(_exact, "a array<string>, b array<string>, cosine double").where(F.col("cosine") >= min_cosine)
+    ways = cosines.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w"), "cosine").select("w.a", "w.b", "cosine")
+    near = Window.partitionBy(F.col("a")[0]).orderBy(F.desc("cosine"), F.col("b")[0])
+    others = ways.where(F.size("a") <= k).withColumn("_at", F.row_number().over(near)).where(F.col("_at") <= k)
+    one = others.select(F.explode("a").alias("a"), "b", "cosine").select("a", F.explode("b").alias("b"), "cosine")
+    copies = distinct.select("key", "heads").where(F.size("heads") > 1)
+    few = copies.where(F.size("heads") <= k).select(F.explode("heads").alias("a"), "heads")
+    many = owned.join(copies.where(F.size("heads") > k), "key").select(F.col("vid").alias("a"), "heads")
+    own = few.union(many).select("a", F.explode("heads").alias("b"), F.lit(1.0).alias("cosine")).where("a <> b")
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return once.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).drop("_at")
+    return one.union(own).withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).drop("_at")
 
 
-def _group_sizes(hashed: DataFrame, model, dim: int) -> dict[int, tuple[int, int]]:
-    """Groups that need more than one block of queries or rows; at most one entry per group reaches the driver."""
+def _group_sizes(rows: DataFrame, model, dim: int) -> dict[int, tuple[int, int]]:
+    """Groups that need more than one block of queries or distinct vectors; at most one entry per group reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Quantiser = model.value
-        held = np.zeros(m.group.max() + 1, np.int64)
         for b in batches:
             if b.num_rows:
-                held += np.bincount(m.group[m.coarse(_unit(b.column(1), dim))], minlength=len(held))
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["grp", "n"])
+                x = _unit(b.column(1), dim)
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(x)), pa.array(m.group[m.coarse(x)].astype(np.int32))], names=["key", "grp"])
 
-    sizes = hashed.mapInArrow(run, "grp int, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).collect()
+    held = rows.mapInArrow(run, "key bigint, grp int").groupBy("key").agg(F.min("grp").alias("grp"))
+    sizes = held.groupBy("grp").agg(F.count("*").alias("n")).collect()
     return {g: (-(-n * PROBES // (3 * BLOCK_QUERIES)), -(-n // BLOCK_ROWS)) for g, n in sizes}
 
 

@@ -107,3 +107,30 @@ def test_stated_queries_reach_the_recall(spark):
     hit = sum(len(got[a] & want[a].keys()) for a in got)
     assert all(len(v) == 3 for v in got.values()) and hit >= 0.9 * 3 * len(got)
     assert neighbours.nearest_for(df, asked.limit(0), "vid", "embedding").count() == 0
+
+
+def copied():
+    """A third of the rows are one vector at different lengths, and one id repeats on many rows."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 32))
+    for k in range(0, 390, 3):
+        x[k + 1] = x[k] + 0.2 * rng.standard_normal(32)
+    data = [(f"v{k:03}", [float(v) for v in r]) for k, r in enumerate(x)]
+    data += [(f"same{k:03}", [float(v) * (1 + k % 7) for v in x[0]]) for k in range(300)]
+    return data + [("v003", data[3][1])] * 300
+
+
+def test_copies_are_one_in_the_search(spark):
+    data = copied()
+    df = spark.createDataFrame(data, "vid string, embedding array<float>").repartition(2)
+    distinct, owned = neighbours.distinct_vectors(neighbours.comparable(df, "vid", "embedding", 32), 32, 3)
+    sizes = [len(r.heads) for r in distinct.collect()]
+    assert max(sizes) == 4 and len(sizes) < 420 and owned.count() == 700
+    got: dict = {}
+    for r in neighbours.close_neighbours(df, "vid", "embedding", 3, 0.85).collect():
+        got.setdefault(r.a, {})[r.b] = r.cosine
+    assert all(len(f) == 3 and min(f.values()) > 0.9999999 for a, f in got.items() if a.startswith("same"))
+    assert "v004" in got["v003"] and "v003" not in got["v003"]
+    want = nearest([(v, e, "") for v, e in data if not v.startswith("same") and v not in ("v000", "v001")], 3)
+    for v, f in want.items():
+        assert got.get(v, {}).keys() == {b for b, c in f.items() if c >= 0.85}
