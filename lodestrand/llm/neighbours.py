@@ -19,10 +19,9 @@ CELL_ROWS = 400  # rows a coarse cell holds on average
 MAX_CELLS = 16_384  # coarse centroids at most; beyond MAX_CELLS x CELL_ROWS rows cells grow and are scanned in blocks
 SAMPLE = 131_072  # rows at most that the codebooks are fitted on; every row is encoded and searched
 PROBES = 14  # coarse cells a query looks into; a pair is found if either of its two looks into the other's cell
-RERANK = 32  # candidates a query keeps from one group before exact reranking
-SLACK = 0.01  # how far the bytewise cosine may lie below the exact one
 GROUP_ROWS = 50_000  # rows a group of neighbouring cells holds on average
 BLOCK_ROWS, BLOCK_QUERIES = 100_000, 120_000  # of a group in one task; larger groups are split
+SINGLE = 5e-4  # angle that single precision may miss of two nearly equal vectors
 PAIR_BLOCK = 65_536  # pairs of vectors reranked at a time in a task
 SCORE_BLOCK = 4_194_304  # table scores of rows and queries held at a time in a task
 SAME = 2.0**-22  # grid on which unit vectors are compared: the same vector stored at different lengths falls on one point
@@ -207,8 +206,7 @@ def _entries(model, dim: int, spread: dict[int, tuple[int, int]] | None):
         near = np.argpartition(-dots, probes - 1, axis=1)[:, :probes]
         cell = dots.argmax(1)
         codes, norms = m.encode(x, cell)
-        packed = np.clip(np.rint(x * 127 / np.abs(x).max(1, keepdims=True)), -127, 127).astype(np.int8)
-        blobs = [r.tobytes() for r in packed]
+        blobs = [r.tobytes() for r in _packed(x)]
         n = len(ids)
         groups = m.group[near]
         order = np.argsort(groups, axis=1, kind="stable")
@@ -244,14 +242,39 @@ def _entries(model, dim: int, spread: dict[int, tuple[int, int]] | None):
     return run
 
 
-def _search(model, dim: int, min_cosine: float):
+def _packed(x: np.ndarray) -> np.ndarray:
+    """Unit vectors as bytes, the largest coordinate at 127."""
+    return np.clip(np.rint(x * 127 / np.abs(x).max(1, keepdims=True)), -127, 127).astype(np.int8)
+
+
+def _unpacked(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of bytes, and the angle each may be away from the vector it was made of.
+
+    Rounding moves a coordinate by half a step at most, so a vector by sqrt(dim) / 2 steps.
+    """
+    length, moved = np.linalg.norm(raw, axis=1, keepdims=True), raw.shape[1] ** 0.5 / 2
+    return raw / length, np.arcsin(np.minimum(1, moved / np.maximum(length[:, 0] - moved, 1e-6))) + SINGLE
+
+
+def _contenders(q: np.ndarray, angle: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
+    """Places of the pairs that may be among the k best of their query; angle +- off bounds the exact angle."""
+    if not len(q):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((angle + off, q))
+    begin = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1]))
+    size = np.diff(np.append(begin, len(q)))
+    most = np.where(size >= k, (angle + off)[order][np.minimum(begin + k - 1, len(q) - 1)], np.inf)
+    return order[(angle - off)[order] <= np.repeat(most, size)]
+
+
+def _search(model, dim: int, min_cosine: float, k: int):
     def run(t: pa.Table) -> pa.Table:
         m: Quantiser = model.value
         t = t.combine_chunks()
         kind = t.column("is_query").to_numpy()
         ids = t.column("id").to_numpy()
         raw = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-        raw /= np.linalg.norm(raw, axis=1, keepdims=True)
+        raw, off = _unpacked(raw)
         lists = t.column("cells").combine_chunks()
         lengths = lists.value_lengths().to_numpy()
         owner, cell = np.repeat(np.arange(len(ids)), lengths), lists.flatten().to_numpy()
@@ -263,7 +286,7 @@ def _search(model, dim: int, min_cosine: float):
         order = np.argsort(cell, kind="stable")
         owner, cell = owner[order], cell[order]
         starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
-        out_q, out_x, out_c = [], [], []
+        out_q, out_x, out_c, out_o = [], [], [], []
         for s, e in zip(starts, np.append(starts[1:], len(cell))):
             here = owner[s:e]
             rows, queries = here[~kind[here]], here[kind[here]]
@@ -275,17 +298,17 @@ def _search(model, dim: int, min_cosine: float):
                 r, c = np.nonzero(found >= m.cut)
                 r, c = rows[r], q[c]
                 exact = np.concatenate([np.einsum("ij,ij->i", raw[r[j : j + PAIR_BLOCK]], raw[c[j : j + PAIR_BLOCK]]) for j in range(0, len(r), PAIR_BLOCK)] or [np.zeros(0, np.float32)])
-                fine = (exact >= min_cosine - SLACK) & (ids[r] != ids[c])
+                angle, away = np.arccos(np.clip(exact, -1, 1)), off[r] + off[c]
+                fine = np.flatnonzero((angle - away <= np.arccos(min_cosine)) & (ids[r] != ids[c]))
+                fine = fine[_contenders(ids[c[fine]], angle[fine], away[fine], k)]
                 out_q.append(ids[c[fine]])
                 out_x.append(ids[r[fine]])
-                out_c.append(exact[fine])
+                out_c.append(angle[fine])
+                out_o.append(away[fine])
         if not out_q:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        q, x, c = np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_c)
-        order = np.lexsort((x, -c, q))
-        q, x = q[order], x[order]
-        begin = np.maximum.accumulate(np.where(np.append(True, q[1:] != q[:-1])[: len(q)], np.arange(len(q)), 0))
-        kept = np.arange(len(q)) - begin < RERANK
+        q, x = np.concatenate(out_q), np.concatenate(out_x)
+        kept = _contenders(q, np.concatenate(out_c), np.concatenate(out_o), k)
         return pa.table({"a": q[kept], "b": x[kept]})
 
     return run
@@ -310,7 +333,8 @@ def close_neighbours(df: DataFrame, ident: str, vector: str, k: int = 3, min_cos
     nearest cell, and looks into its PROBES nearest ones. Neighbouring cells form a group, so that
     a query travels once a group, as bytes; groups of very many rows or queries are split into
     blocks of both. Within a cell table lookups score all rows for all queries; what reaches the
-    score that pairs at min_cosine get is reranked by bytes, then exactly on the stored vectors.
+    score that pairs at min_cosine get is reranked by bytes: all that may be among the k best, as far
+    as bytes can tell, are then reranked exactly on the stored vectors.
     """
     dim = common_dimension(df, vector)
     rows = comparable(df, ident, vector, dim)
@@ -321,7 +345,7 @@ def close_neighbours(df: DataFrame, ident: str, vector: str, k: int = 3, min_cos
     hashed = distinct.select(F.col("key").alias("id"), "vec")
     probing = _group_sizes(rows, model, dim)
     entries = hashed.mapInArrow(_entries(model, dim, probing), ENTRY)
-    found = entries.groupBy("grp", "q", "x").applyInArrow(_search(model, dim, min_cosine), "a bigint, b bigint")
+    found = entries.groupBy("grp", "q", "x").applyInArrow(_search(model, dim, min_cosine, k), "a bigint, b bigint")
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = pairs.join(distinct.toDF("a", "heads_a", "vec_a"), "a").join(distinct.toDF("b", "heads_b", "vec_b"), "b")
     cosines = both.select("heads_a", "heads_b", "vec_a", "vec_b").mapInArrow(_exact, "a array<string>, b array<string>, cosine double").where(F.col("cosine") >= min_cosine)

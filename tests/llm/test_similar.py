@@ -134,3 +134,27 @@ def test_copies_are_one_in_the_search(spark):
     want = nearest([(v, e, "") for v, e in data if not v.startswith("same") and v not in ("v000", "v001")], 3)
     for v, f in want.items():
         assert got.get(v, {}).keys() == {b for b, c in f.items() if c >= 0.85}
+
+
+def test_dense_clusters_keep_every_contender(spark):
+    """More rows than any fixed number lie nearer to each other than bytes can tell apart."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(32)
+    data = [(f"d{k:03}", [float(v) for v in centre + 0.004 * rng.standard_normal(32)], "") for k in range(240)]
+    df = spark.createDataFrame(data, "vid string, embedding array<float>, id string")
+    got: dict = {}
+    for r in neighbours.close_neighbours(df, "vid", "embedding", 3, 0.85).collect():
+        got.setdefault(r.a, set()).add(r.b)
+    want = nearest(data, 3)
+    assert sum(got[v] == f.keys() for v, f in want.items()) == len(data)
+
+
+def test_contenders_are_bounded_by_rounding():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near, off = neighbours._unpacked(neighbours._packed(x).astype(np.float32))
+    assert (np.arccos(np.clip((near * x).sum(1), -1, 1)) <= off).all() and off.max() < 0.03
+    q, angle = np.array([1, 2, 1, 1, 1]), np.array([0.1, 0.5, 0.2, 0.11, 0.3])
+    assert set(neighbours._contenders(q, angle, np.full(5, 0.01), 2)) == {0, 1, 3}
+    assert set(neighbours._contenders(q, angle, np.full(5, 0.05), 2)) == {0, 1, 2, 3}
