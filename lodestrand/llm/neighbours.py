@@ -379,8 +379,9 @@ def _group_sizes(rows: DataFrame, model, dim: int) -> dict[int, tuple[int, int]]
 def nearest_for(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: int = 3, rerank: int = 128) -> DataFrame:
     """(a, b, cosine): for the vectors of a stated query set their k most similar ids of the whole table.
 
-    All rows are scored: each task encodes its rows, scores them by table lookups for a block of
-    queries, reranks its best rerank ones exactly, and only k a query and task are shuffled.
+    All distinct vectors are scored: each task encodes its own, scores them by table lookups for a
+    block of queries, reranks its best rerank ones exactly, and only k + 1 a query and task are
+    shuffled (one may be the query's own). Ids that share a vector are expanded after it.
     Queries are broadcast in blocks of QUERY_BLOCK. Incomparable vectors are left out on both sides.
     """
     spark = df.sparkSession
@@ -390,6 +391,7 @@ def nearest_for(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: i
     if model is None:
         return spark.createDataFrame([], "a string, b string, cosine double")
     asked = comparable(queries, ident, vector, dim).groupBy("vid").agg(F.min("vec").alias("vec"))
+    distinct, _ = distinct_vectors(rows, dim, k)
     blocks = 1 + asked.count() // QUERY_BLOCK
     out = None
     for block in range(blocks):
@@ -397,13 +399,14 @@ def nearest_for(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: i
         if part.num_rows == 0:
             continue
         held = spark.sparkContext.broadcast((part.column(0).to_pylist(), _unit(part.column(1).combine_chunks(), dim)))
-        found = rows.mapInArrow(_scan(model, held, dim, k, rerank), "a string, b string, cosine double")
+        found = distinct.select("key", "heads", "vec").mapInArrow(_scan(model, held, dim, k, rerank), "a string, b array<string>, cosine double")
         out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], "a string, b string, cosine double")
-    once = out.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    near = Window.partitionBy("a").orderBy(F.desc("cosine"), F.col("b")[0])
+    kept = out.withColumn("_at", F.row_number().over(near)).where(F.col("_at") <= k + 1)
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return once.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).drop("_at")
+    return kept.select("a", F.explode("b").alias("b"), "cosine").where("a <> b").withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).drop("_at")
 
 
 def _scan(model, held, dim: int, k: int, rerank: int):
@@ -414,26 +417,22 @@ def _scan(model, held, dim: int, k: int, rerank: int):
         for b in batches:
             for i in range(0, b.num_rows, 8192):
                 part = b.slice(i, 8192)
-                vids = part.column(0).to_pylist()
-                x = _unit(part.column(1), dim)
+                heads = part.column(1).to_pylist()
+                x = _unit(part.column(2), dim)
                 cell = m.coarse(x)
                 codes, norms = m.encode(x, cell)
                 a, c, s = [], [], []
                 for j in range(0, len(names), 256):
                     found = m.scores(tables[:, j : j + 256], coarse[cell][:, j : j + 256], codes, norms).T
-                    keep = min(rerank, len(vids))
+                    keep = min(max(rerank, k + 1), len(heads))
                     top = np.argpartition(-found, keep - 1, axis=1)[:, :keep]
                     exact = np.einsum("qd,qrd->qr", q[j : j + 256].astype(np.float64), x[top].astype(np.float64))
                     for n in range(len(top)):
-                        name, seen = names[j + n], 0
-                        for r in np.lexsort((top[n], -exact[n])):
-                            if (to := vids[top[n, r]]) != name:
-                                a.append(name)
-                                c.append(to)
-                                s.append(exact[n, r])
-                                if (seen := seen + 1) > k:  # one more, as a repeated id may take a place
-                                    break
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(c, pa.string()), pa.array(s, pa.float64())], names=["a", "b", "cosine"])
+                        ranked = sorted(zip(-exact[n], (heads[r] for r in top[n])))[: k + 1]
+                        a += [names[j + n]] * len(ranked)
+                        s += [-e for e, _ in ranked]
+                        c += [h for _, h in ranked]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(c, pa.list_(pa.string())), pa.array(s, pa.float64())], names=["a", "b", "cosine"])
 
     return run
 

@@ -158,3 +158,21 @@ def test_contenders_are_bounded_by_rounding():
     q, angle = np.array([1, 2, 1, 1, 1]), np.array([0.1, 0.5, 0.2, 0.11, 0.3])
     assert set(neighbours._contenders(q, angle, np.full(5, 0.01), 2)) == {0, 1, 3}
     assert set(neighbours._contenders(q, angle, np.full(5, 0.05), 2)) == {0, 1, 2, 3}
+
+
+def test_stated_queries_count_copies_once(spark):
+    data = copied()
+    data += [(f"hot{k:03}", [2 * v for v in data[3][1]]) for k in range(300)]  # more than are reranked
+    df = spark.createDataFrame(data, "vid string, embedding array<float>").coalesce(1)
+    asked = df.where("vid in ('v003', 'v004', 'v007', 'same000')")
+    got: dict = {}
+    for r in neighbours.nearest_for(df, asked, "vid", "embedding", 3).collect():
+        got.setdefault(r.a, {})[r.b] = r.cosine
+    assert got.keys() == {"v003", "v004", "v007", "same000"} and all(len(f) == 3 for f in got.values())
+    assert got["v003"].keys() == {"hot000", "hot001", "hot002"} and got["v004"].keys() == {"hot000", "hot001", "hot002"}
+    assert "v006" in got["v007"] and min(got["same000"].values()) > 0.9999999
+    once = df.where("vid not like 'hot%'")  # v003 stands on 301 rows
+    got = {}
+    for r in neighbours.nearest_for(once, asked, "vid", "embedding", 3).collect():
+        got.setdefault(r.a, set()).add(r.b)
+    assert all(len(f) == 3 for f in got.values()) and "v004" in got["v003"] and "v003" in got["v004"]
