@@ -282,12 +282,12 @@ def cached_scores(t):
 
 @q("reranked__R13")
 def reranked(t):
-    """BM25 hits rescored by an Arrow-batched scorer, here the share of query words in the first 500 characters; ties keep the order."""
+    """BM25 hits rescored by an Arrow-batched scorer, here the share of query words in the whole text; ties keep the order."""
 
     @F.pandas_udf("double")
     def overlap(batch: pd.Series) -> pd.Series:
         asked = set(search.query_terms(TOPIC))
-        return batch.map(lambda x: len(asked & set(search.query_terms((x or "")[:500]))) / len(asked))
+        return batch.map(lambda x: len(asked & set(search.query_terms(x or ""))) / len(asked))
 
     hits = search.bm25(t.documents, "doc_id", F.col("text"), TOPIC, "or", 40, carried=["text"])
     scored = hits.withColumn("relevance", overlap("text")).orderBy(F.desc("relevance"), "rank").limit(10)

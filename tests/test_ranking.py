@@ -192,3 +192,12 @@ def test_cache_and_hypothetical_answers():
     assert cache.get("a") is None and cache.get_or_compute("a", lambda: 9) == 9 and cache.delete("c") and not cache.delete("c")
     assert planner.hypothetical("q") is None and planner.hypothetical("q", lambda q: "```py\nx = 1\n```") == "x = 1" and planner.hypothetical("q", lambda q: 1 / 0) is None
     assert planner.variants("how does output capping work?") == ["how does output capping work?", "implementation of output capping work", "function class output capping work"] and planner.variants("x") == ["x", "x implementation"]
+
+
+def test_reranker_reads_whole_texts(spark, tmp_path):
+    from lodestrand.plans.retrieval_queries import R
+
+    texts_ = [(1, "throttle " + "filler " * 200 + "queue planner"), (2, "throttle queue " + "filler " * 200), (3, "nothing")]
+    spark.createDataFrame(texts_, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.id, r.relevance) for r in R.queries["reranked__R13"](spark, str(tmp_path)).collect()]
+    assert got == [(1, 1.0), (2, 0.666667)]
