@@ -1,53 +1,5 @@
-"""Shared by the pair operators: salted self joins and connected components."""
+"""Salted self joins and connected components, as the core has them."""
 
-from __future__ import annotations
+from lodestrand.operators.pairs import BLOCK, components, salted_pairs
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lodestrand.session import cut
-
-BLOCK = 2_000  # rows of one key that one task pairs with the key's rows at a time
-
-
-def salted_pairs(rows: DataFrame, key: str, ident: str, carried: list[str], condition: str, block: int = BLOCK) -> DataFrame:
-    """Pairs a, b of rows with the same key and a.ident < b.ident that meet condition.
-
-    A key with n rows is spread over ceil(n / block) salts: each left row goes to one, each right
-    row to all of them, so no task holds more than about block x n pairs of a hot key. Columns come
-    out as <name>_a and <name>_b; condition is SQL over these.
-    """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / block).cast("int").alias("_salts"))
-    kept = rows.select(key, ident, *carried).join(sizes, key)
-    left = kept.select(key, F.pmod(F.xxhash64(ident), F.col("_salts")).cast("int").alias("_salt"), *(F.col(c).alias(f"{c}_a") for c in (ident, *carried)))
-    right = kept.select(key, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), *(F.col(c).alias(f"{c}_b") for c in (ident, *carried)))
-    return left.join(right, [key, "_salt"]).where(f"{ident}_a < {ident}_b and ({condition})").select(*(f"{c}_{s}" for c in (ident, *carried) for s in "ab"))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """(node, component): the smallest node reachable, by alternating star contraction.
-
-    Every round cuts lineage with a reliable checkpoint; labels of at most one hop more than the
-    logarithm of the diameter remain, and rounds ends early once nothing changes.
-    """
-    both = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
-    links = cut(both)
-    for _ in range(rounds):
-        before = _state(links)
-        # large star: every larger neighbour of a node is tied to the node's smallest neighbour or itself
-        ways = F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("o")), F.struct(F.col("v").alias("n"), F.col("u").alias("o")))).alias("e")
-        sym = links.select(ways).select("e.n", "e.o")
-        low = sym.groupBy("n").agg(F.min("o").alias("lo")).select("n", F.least("n", "lo").alias("m"))
-        large = cut(sym.join(low, "n").where("o > n and m < o").select(F.col("m").alias("u"), F.col("o").alias("v")).distinct())
-        # small star: a node and its smaller neighbours are tied to the smallest of them
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        tied = large.join(least, "v").select("m", F.explode(F.array("u", "v")).alias("o"))
-        links = cut(tied.where("m < o").select(F.col("m").alias("u"), F.col("o").alias("v")).distinct())
-        if _state(links) == before:
-            break
-    labels = links.select(F.explode(F.array(F.struct(F.col("v").alias("node"), F.col("u").alias("c")), F.struct(F.col("u").alias("node"), F.col("u").alias("c")))).alias("e"))
-    return labels.groupBy("e.node").agg(F.min("e.c").alias("component"))
-
-
-def _state(links: DataFrame):
-    return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+__all__ = ["BLOCK", "components", "salted_pairs"]

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import scores, texts, vectors
-from lodestrand.operators import fusion, planner, search
+from lodestrand.operators import fusion, pairs, planner, search
 from lodestrand.operators.pipeline import CandidatePipeline, DedupFilter, FixedSource, ScoreColumn, TopKSelector
 from lodestrand.plans.registry import Registry
 
@@ -193,6 +193,19 @@ def bucket_sizes(t):
     return each.groupBy("h", "bucket").agg(F.count("*").alias("n")).where("n > 1")
 
 
+_NEAR = f"""with recursive {_SIG}, b as (select 0 as h, {_BUCKETS[0]} as bucket, vec_id from sig union all select 1, {_BUCKETS[1]}, vec_id from sig),
+e as (select vec_id, {_E} as v from embeddings),
+links as (select distinct x.vec_id as a, y.vec_id as b from b x join b y on x.h = y.h and x.bucket = y.bucket and x.vec_id <> y.vec_id join e ex on ex.vec_id = x.vec_id join e ey on ey.vec_id = y.vec_id where list_cosine_similarity(ex.v, ey.v) >= 0.5),
+walk(node, other) as (select vec_id, vec_id from embeddings union select w.node, l.b from walk w join links l on l.a = w.other)
+select node as vec_id, min(other) as class_id, coalesce(any_value(n), 0) as links from walk left join (select a, count(*) as n from links group by 1) on a = node group by 1"""
+
+
+@q("near_duplicates__V12b", _NEAR)
+def near_duplicates(t):
+    """Rows that share a bucket, verified by their cosine: class and number of links of every vector."""
+    return pairs.near_duplicate_vectors(t.embeddings, "vec_id", "embedding", _PLANES, 0.5)
+
+
 @q("semantic_neighbours__V13", f"select vec_id, round(list_distance({_E}, {_ASK}), 6) as distance from embeddings where vec_id <> 7 order by list_distance({_E}, {_ASK}), vec_id limit 5")
 def semantic_neighbours(t):
     d = vectors.l2(F.col("embedding"), F.col("asked"))

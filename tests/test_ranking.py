@@ -201,3 +201,14 @@ def test_reranker_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(texts_, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [(r.id, r.relevance) for r in R.queries["reranked__R13"](spark, str(tmp_path)).collect()]
     assert got == [(1, 1.0), (2, 0.666667)]
+
+
+def test_rows_of_a_bucket_are_paired_and_verified(spark):
+    from lodestrand.operators.pairs import near_duplicate_vectors
+
+    draw = random.Random(2)
+    x = [[draw.gauss(0, 1) for _ in range(64)] for _ in range(3)]
+    rows = [(1, x[0]), (2, x[0]), (3, [2 * v for v in x[0]]), (4, x[1]), (5, [v + 0.001 for v in x[1]]), (6, x[2]), (7, [0.0] * 64), (8, [0.0] * 64), (9, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {tuple(r) for r in near_duplicate_vectors(df, "vec_id", "embedding", vectors.hyperplanes(64), 0.9).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 1), (5, 4, 1), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0)}
