@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import scores, texts, vectors
-from lodestrand.operators import fusion, pairs, planner, search
+from lodestrand.operators import fusion, knn, pairs, planner, search
 from lodestrand.operators.pipeline import CandidatePipeline, DedupFilter, FixedSource, ScoreColumn, TopKSelector
 from lodestrand.plans.registry import Registry
 
@@ -145,6 +145,16 @@ def knn_l2(t):
     return top.select("vec_id", F.round("d", 6).alias("distance"), F.round(vectors.distance_score(F.col("d")), 6).alias("score"))
 
 
+_MANY = f"e as (select vec_id, label, {_E} as v from embeddings), o as (select vec_id as asked, v as w from e where vec_id % 50 = 0)"
+
+
+@q("knn_l2_many__V1q", f"with {_MANY} select asked, vec_id, round(list_distance(v, w), 6) as distance, cast(row_number() over (partition by asked order by list_distance(v, w), vec_id) as int) as rank from e, o where label is not null qualify rank <= 15")
+def knn_l2_many(t):
+    """The search of V1 for every vector whose id is divisible by 50."""
+    found = knn.nearest_rows(t.embeddings.where("label is not null"), t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", 15)
+    return found.select("asked", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
 @q("cosines__V2", f"select vec_id, round(list_cosine_similarity({_E}, {_ASK}), 6) as cosine from embeddings")
 def cosines(t):
     return _pairs_with(t, 7).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("asked")), 6).alias("cosine"))
@@ -180,6 +190,16 @@ def hamming(t):
     return signed.select("vec_id", d.alias("distance"), F.round(vectors.hamming_cosine(d), 6).alias("estimate"))
 
 
+@q("hamming_many__V8q", f"with {_SIG}, o as (select vec_id as asked, signature as s from sig where vec_id % 50 = 0) select asked, vec_id, cast(bit_count(xor(signature, s)) as int) as distance, round(cos(pi() * bit_count(xor(signature, s)) / 32), 6) as estimate from sig, o qualify row_number() over (partition by asked order by bit_count(xor(signature, s)), vec_id) <= 15")
+def hamming_many(t):
+    """The 15 rows of least Hamming distance to every vector whose id is divisible by 50; between bits it is the squared distance."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(vectors.PLANES - 1)), lambda b: F.call_function("getbit", F.col("signature"), b))
+    signed = simhash(t).where("signature is not null").select("vec_id", bits.alias("bits"))
+    found = knn.nearest_rows(signed, signed.where("vec_id % 50 = 0"), "vec_id", "bits", 15)
+    d = F.round(F.col("distance") * F.col("distance")).cast("int")
+    return found.select("asked", F.col("id").alias("vec_id"), d.alias("distance"), F.round(vectors.hamming_cosine(d), 6).alias("estimate"))
+
+
 @q("buckets__V11", f"with {_SIG} select vec_id, cast({_BUCKETS[0]} as int) as first, cast({_BUCKETS[1]} as int) as second from sig")
 def buckets(t):
     b = vectors.buckets(F.col("signature"))

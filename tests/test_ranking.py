@@ -212,3 +212,18 @@ def test_rows_of_a_bucket_are_paired_and_verified(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = {tuple(r) for r in near_duplicate_vectors(df, "vec_id", "embedding", vectors.hyperplanes(64), 0.9).collect()}
     assert got == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 1), (5, 4, 1), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0)}
+
+
+def test_every_asked_vector_is_searched(spark):
+    from lodestrand.operators.knn import nearest_rows
+
+    draw = random.Random(9)
+    rows = [(k, [draw.gauss(0, 1) for _ in range(8)]) for k in range(300)] + [(300, [1.0]), (301, None), (302, [float("nan")] * 8)]
+    rows += [(400 + k, rows[50][1]) for k in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got: dict = {}
+    for r in nearest_rows(df, df.where("id % 50 = 0"), "id", "v", 5).orderBy("asked", "rank").collect():
+        got.setdefault(r.asked, []).append(r.id)
+    usable = {k: v for k, v in rows if v and len(v) == 8 and v[0] == v[0]}
+    want = {a: sorted(usable, key=lambda k: (math.dist(usable[a], usable[k]), k))[:5] for a in usable if a % 50 == 0}
+    assert got == want | {300: [300]} and len(got) == 8
