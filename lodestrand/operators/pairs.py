@@ -25,16 +25,34 @@ def salted_pairs(rows: DataFrame, key: str, ident: str, carried: list[str], cond
     return left.join(right, [key, "_salt"]).where(f"{ident}_a < {ident}_b and ({condition})").select(*(f"{c}_{s}" for c in (ident, *carried) for s in "ab"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def expanded(links: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id_a, id_b): links (a, b) between representatives, with every member (rep, id) of both sides in their places.
+
+    members lists the members of representatives that have several, themselves included; other
+    representatives stand for themselves. A representative with n members is spread over
+    ceil(n / block) salts, so that no task joins a hot one alone.
+    """
+    sizes = members.groupBy("rep").agg(F.ceil(F.count("*") / block).cast("int").alias("_salts"))
+    held = members.join(sizes, "rep").select("rep", F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int").alias("_salt"), "id")
+
+    def side(pairs: DataFrame, name: str) -> DataFrame:
+        salted = pairs.join(sizes.withColumnRenamed("rep", name), name, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
+        got = salted.join(held.withColumnRenamed("rep", name), [name, "_salt"], "left")
+        return got.select(*(F.coalesce("id", c).alias(c) if c == name else c for c in ("a", "b")))
+
+    return side(side(links.select("a", "b"), "a"), "b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, by alternating star contraction.
 
-    Every round cuts lineage with a reliable checkpoint; labels of at most one hop more than the
-    logarithm of the diameter remain, and rounds ends early once nothing changes.
+    Every round cuts lineage with a reliable checkpoint and about halves what is left; it ends once
+    nothing changes. Should rounds not suffice, it raises instead of giving unfinished classes.
     """
     both = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
     links = cut(both)
+    before = _state(links)
     for _ in range(rounds):
-        before = _state(links)
         # large star: every larger neighbour of a node is tied to the node's smallest neighbour or itself
         ways = F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("o")), F.struct(F.col("v").alias("n"), F.col("u").alias("o")))).alias("e")
         sym = links.select(ways).select("e.n", "e.o")
@@ -44,8 +62,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         tied = large.join(least, "v").select("m", F.explode(F.array("u", "v")).alias("o"))
         links = cut(tied.where("m < o").select(F.col("m").alias("u"), F.col("o").alias("v")).distinct())
-        if _state(links) == before:
+        after = _state(links)
+        if after == before:
             break
+        before = after
+    else:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds")
     labels = links.select(F.explode(F.array(F.struct(F.col("v").alias("node"), F.col("u").alias("c")), F.struct(F.col("u").alias("node"), F.col("u").alias("c")))).alias("e"))
     return labels.groupBy("e.node").agg(F.min("e.c").alias("component"))
 

@@ -31,13 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of df by a reliable checkpoint in the shared folder.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary folder is used.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a session on one machine
+    (tests) uses a temporary folder, and a cluster raises: its executors share no such folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not (context.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestrand-checkpoint-"))
     return df.checkpoint(eager=eager)
 
