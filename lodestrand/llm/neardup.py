@@ -39,12 +39,19 @@ class _Letters:
     """For each code point whether it belongs to a word; powers of the hash base and of its inverse."""
 
     def __init__(self) -> None:
-        self.inside = np.zeros(0x110000, bool)
-        self.inside[[c for c in range(0x110000) if chr(c).isalnum()]] = True
+        self.letters, self.known = np.zeros(0x110000, bool), np.zeros(0x1100, bool)
         base, inverse = int(_ODD), pow(int(_ODD), -1, 1 << 64)
         self.up, self.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(SLICE + 64, b, np.uint64))) for b in (base, inverse))
 
 
+    def inside(self, codes: np.ndarray) -> np.ndarray:
+        blocks = np.flatnonzero(np.bincount(codes >> 8, minlength=0x1100))
+        for block in blocks[~self.known[blocks]].tolist():  # filled as they are met
+            self.letters[block << 8 : (block + 1) << 8] = [chr(c).isalnum() for c in range(block << 8, (block + 1) << 8)]
+            self.known[block] = True
+        return self.letters[codes]
+
+
 _letters: list[_Letters] = []
 
 
@@ -62,7 +69,7 @@ def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
                 stop = min(len(text), at + SLICE)
                 break
         codes = np.frombuffer(text[at:stop].encode("utf-32-le", "surrogatepass"), np.uint32)
-        inside = known.inside[codes]
+        inside = known.inside(codes)
         edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(codes.astype(np.uint64) + _ODD) * known.up[: len(codes)])])
@@ -268,25 +275,17 @@ def _texts(df: DataFrame, ident: str, text: str) -> DataFrame:
 def distinct_texts(df: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(id, rep) of every row with id and text, rep the least id with the same text, and (id, text) of those.
 
-    Digests are aggregated before they are shuffled; a text is shuffled once. Repeated rows count once.
+    Copies meet in partial aggregates before any shuffle; a text is shuffled once. Repeated rows count
+    once; an id with several texts stands for each of them.
     """
-    src = _texts(df, ident, text)
-    keyed = src.select("id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    firsts = keyed.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = keyed.join(firsts, "digest").select("id", "rep").distinct()
-    return member, src.join(firsts.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-
+    src = _texts(df, ident, text).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    firsts = cut(src.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text")))
+    member = src.select("id", "digest").join(firsts.select("digest", F.col("id").alias("rep")), "digest").select("id", "rep").distinct()
+    return member, firsts.select("id", "text")
 
-def similar_pairs(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b, similarity), a < b: all pairs of rows (id, text), ids unique, that are at least so similar.
 
-    Band hashes are shuffled to ranges of hashes, packed with the ids of their rows and without texts; a task sorts
-    its range and pairs the rows of each bucket. Text that very many rows share (a footer, a licence)
-    makes hot buckets: their rows are banded a second time, by more rows a band for the same recall,
-    where such rows part; what still shares a bucket is paired through salts. Every candidate pair is
-    then verified once on the full sets. No cap on partners or candidates. Texts of fewer than width
-    words have no set and no pairs.
-    """
+def _compared(texts: DataFrame, width: int, similarity: float, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """similar_pairs, and (id, grams) of the texts compared and of also (id)."""
     found = _candidates(texts, width, similarity, LONGEST)
     pairs = found.where("b is not null").select("a", "b")
     hot = found.where("b is null").select(F.col("a").alias("id")).distinct()
@@ -295,10 +294,24 @@ def similar_pairs(texts: DataFrame, width: int, similarity: float) -> DataFrame:
         close = salted_pairs(again.where("b is null").select("bucket", F.col("a").alias("id")).distinct(), "bucket", "id", [], "true")
         pairs = pairs.union(again.where("b is not null").select("a", "b")).union(close.select("id_a", "id_b"))
     pairs = cut(pairs.distinct())
-    touched = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    touched = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    touched = (touched.union(also) if also is not None else touched).distinct()
     sets = cut(texts.join(touched, "id", "left_semi").select("id", "text").mapInArrow(_grams(width), "id bigint, grams array<bigint>"))
     both = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
-    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(_shared, "a bigint, b bigint, similarity double").where(F.col("similarity") >= similarity)
+    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(_shared, "a bigint, b bigint, similarity double").where(F.col("similarity") >= similarity), sets
+
+
+def similar_pairs(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of rows (id, text) that are at least so similar.
+
+    Band hashes are shuffled to ranges of hashes, packed with the ids of their rows and without texts; a task sorts
+    its range and pairs the rows of each bucket. Text that very many rows share (a footer, a licence)
+    makes hot buckets: their rows are banded a second time, by more rows a band for the same recall,
+    where such rows part; what still shares a bucket is paired through salts. Every candidate pair is
+    then verified once on the full sets. No cap on partners or candidates. Texts of fewer than width
+    words have no set and no pairs.
+    """
+    return _compared(texts, width, similarity)[0]
 
 
 def near_duplicate_links(df: DataFrame, ident: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -307,8 +320,7 @@ def near_duplicate_links(df: DataFrame, ident: str, text: str, width: int = 5, s
     Which other ids have the text stands in near_duplicate_classes (copy_of): together the whole result
     without expanding copies.
     """
-    _, texts = distinct_texts(df, ident, text)
-    return similar_pairs(texts, width, similarity)
+    return similar_pairs(distinct_texts(df, ident, text)[1], width, similarity)
 
 
 def near_duplicate_pairs(df: DataFrame, ident: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -318,14 +330,13 @@ def near_duplicate_pairs(df: DataFrame, ident: str, text: str, width: int = 5, s
     salts. Rows with null id or text, and texts of fewer than width words, are in no pair.
     """
     member, texts = distinct_texts(df, ident, text)
-    links = similar_pairs(texts, width, similarity).select("a", "b")
-    member = cut(member)
-    copied = member.where("id <> rep").select("rep").distinct()
-    several = cut(member.join(copied, "rep", "left_semi"))
-    words = cut(texts.join(copied.withColumnRenamed("rep", "id"), "id", "left_semi").mapInArrow(_grams(width), "id bigint, grams array<bigint>").where("size(grams) > 0").select(F.col("id").alias("rep")))
-    across = expanded(links, several)
-    within = salted_pairs(several.join(words, "rep", "left_semi"), "rep", "id", [], "true").select("id_a", "id_b")
-    return across.union(within).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    several = cut(member.join(member.where("id <> rep").select("rep").distinct(), "rep", "left_semi"))
+    links, sets = _compared(texts, width, similarity, several.select(F.col("rep").alias("id")))
+    across = expanded(links.select("a", "b"), several)
+    told = sets.where("size(grams) > 0").select(F.col("id").alias("rep"))
+    within = salted_pairs(several.join(told, "rep", "left_semi"), "rep", "id", [], "true").select("id_a", "id_b")
+    both = across.union(within).where("id_a <> id_b")
+    return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
 def near_duplicate_classes(df: DataFrame, ident: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
