@@ -1,10 +1,12 @@
-"""A driver-side cache for results and scores, bounded in size and age."""
+"""A driver-side cache for results and scores, bounded in size and age, and locks by key."""
 
 from __future__ import annotations
 
+import threading
 import time
 from collections import OrderedDict
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 
@@ -51,3 +53,28 @@ class LruCache:
 
     def __len__(self) -> int:
         return len(self._held)
+
+
+class KeyedLocks:
+    """One lock a key: work of one project runs in turn, work of different projects at once. Locks that nobody waits for are dropped."""
+
+    def __init__(self) -> None:
+        self._guard = threading.Lock()
+        self._locks: dict[Hashable, list] = {}
+
+    @contextmanager
+    def holding(self, key: Hashable) -> Iterator[None]:
+        with self._guard:
+            held = self._locks.setdefault(key, [threading.Lock(), 0])
+            held[1] += 1
+        try:
+            with held[0]:
+                yield
+        finally:
+            with self._guard:
+                held[1] -= 1
+                if not held[1]:
+                    del self._locks[key]
+
+    def __len__(self) -> int:
+        return len(self._locks)

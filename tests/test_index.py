@@ -2,11 +2,14 @@
 
 import json
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.operators import graph, merge, reducers
+from lodestrand.operators.cache import KeyedLocks
 from lodestrand.operators.rolling import rolling_totals
 from lodestrand.sources import config, scan, skeleton, stores
 from lodestrand.streaming import changes
@@ -151,3 +154,63 @@ def test_streams_equal_batches(spark, tmp_path):
     want = batch.groupBy("kind", F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n"))
     assert rows(spark.table("minutes"), "kind", "n") == rows(want, "kind", "n")
     assert rows(changes.touches(batch.withColumn("e", F.col("kind") == "delete"), "path", "seq", "e"), "path", "last", "edited") == [("a", 5, True), ("b", 6, True), ("d", 4, False)]
+
+
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    """A commit that was lost, a manifest that was never written, and a table seen by its reader throughout."""
+    inbox, target, cp = tmp_path / "in", tmp_path / "table", tmp_path / "cp"
+    inbox.mkdir()
+    names = ("project_id", "path", "kind", "is_dir", "seq", "ts")
+
+    def send(number, *events):
+        (inbox / f"{number}.json").write_text("\n".join(json.dumps(dict(zip(names, (1, p, k, False, s, "2025-01-01T00:00:00")))) for p, k, s in events))
+
+    def run():
+        changes.refresh(changes.change_stream(spark, str(inbox)), str(target), str(cp)).awaitTermination()
+        return [r.path for r in changes.current(spark, str(target)).orderBy("path").collect()]
+
+    def forget(number):
+        for name in (str(number), f".{number}.crc"):
+            (cp / "commits" / name).unlink(missing_ok=True)
+
+    assert changes.current(spark, str(target)).count() == 0
+    send(0, *((f"p{k}", "upsert", k) for k in range(30)))
+    assert run() == sorted(f"p{k}" for k in range(30))
+    forget(0)
+    assert run() == sorted(f"p{k}" for k in range(30))
+    send(1, ("a", "upsert", 100), ("p3", "delete", 101))
+    want = sorted({f"p{k}" for k in range(30)} - {"p3"} | {"a"})
+    assert run() == want
+    forget(1)  # the version is there, Spark's commit is not
+    assert run() == want
+    forget(1)
+    (target / "m1").unlink()  # its data is there, the version is not
+    assert run() == want
+    first = {p.name for p in (target / "d0").iterdir()}
+    assert len({p.name for p in (target / "d1").iterdir() if p.is_dir()}) <= 2 < len(first)
+    for k in range(2, 7):
+        send(k, (f"q{k}", "upsert", 200 + k))
+        run()
+    assert run() == sorted([*want, *(f"q{k}" for k in range(2, 7))])
+    assert len([p for p in target.iterdir() if p.name[0] == "m"]) == changes.KEPT
+    send(7, *((p, "delete", 300) for p in [*want, *(f"q{k}" for k in range(2, 7))]))
+    assert run() == []
+
+
+def test_locks_by_key():
+    locks, seen, inside = KeyedLocks(), [], []
+
+    def work(key, k):
+        with locks.holding(key):
+            inside.append(key)
+            assert inside.count(key) == 1
+            time.sleep(0.01)
+            inside.remove(key)
+            seen.append(k)
+
+    threads = [threading.Thread(target=work, args=("ab"[k % 2], k)) for k in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(seen) == list(range(8)) and len(locks) == 0
