@@ -94,12 +94,47 @@ def test_leak_with_substitutions(spark):
     assert [(r.doc_id, r.item_id, r.longest_run, r.matched, r.spanned) for r in got] == [(1, 2, 11, 37, 40)]
 
 
-def test_item_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "ITEM_CHARS", 100)
-    items = spark.createDataFrame([(k, " ".join(f"i{k}x{n}" for n in range(15))) for k in range(8)], "id bigint, text string")
+def test_a_full_filter_only_lets_more_through(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    class Full:
+        value = np.full(1 << (leaks.FILTER_BITS - 3), 255, np.uint8)
+
+    text = " ".join(f"w{k}" for k in range(20))
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 4, 5]), pa.array([text, "short", text + " x"])], names=["id", "text"])
+    (out,) = leaks._hits(Full)(iter([batch]))
+    assert [(r["doc_id"], len(r["seeds"])) for r in out.to_pylist()] == [(3, 27), (5, 30)]
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(8)] * 2, "id bigint, text string")
     assert rows(leaks.leaks(items, "id", "text", items, "id", "text"), "doc_id", "item_id") == [(k, k) for k in range(8)]
 
 
+def test_leaks_in_look_alike_capitals(spark):
+    """A passage in capitals spelled with Cyrillic twins, within a Russian text."""
+    item = "the cat took her box to a market near the park before we met at home"
+    twins = dict(zip("ABCEHKMOPTXY", "АВСЕНКМОРТХУ"))
+    said = "".join(twins.get(c, c) for c in item.upper())
+    doc = "Это просто заметка о том, что было вчера. " + said + ". Больше ничего не было."
+    got = leaks.leaks(spark.createDataFrame([(1, doc), (2, item.title())], "i bigint, t string"), "i", "t", spark.createDataFrame([(7, item)], "i bigint, t string"), "i", "t").collect()
+    assert sorted((r.doc_id, r.longest_run) for r in got) == [(1, 16), (2, 16)]
+
+
+def test_recall_under_substitutions(spark):
+    """Every passage of 24 words with one word exchanged is found, and nearly all with two or three."""
+    draw = random.Random(9)
+    items = [(k, " ".join(f"k{draw.randrange(10**6)}" for _ in range(24))) for k in range(60)]
+    for wrong, least in ((1, 1.0), (2, 0.95), (3, 0.8)):
+        docs = []
+        for k, text in items:
+            words = text.split()
+            for at in draw.sample(range(24), wrong):
+                words[at] = "other"
+            docs.append((k, " ".join(words)))
+        a, b = (spark.createDataFrame(x, "id bigint, text string") for x in (docs, items))
+        got = {(r.doc_id, r.item_id) for r in leaks.leaks(a, "id", "text", b, "id", "text").collect()}
+        assert got <= {(k, k) for k in range(60)} and len(got) >= least * 60, (wrong, len(got))
+
+
 def test_packing(spark):
     draw = random.Random(1)
     sizes = [(k, draw.choice([0, 1, 5, 90, 100, 250, 251])) for k in range(400)] + [(1000, 100), (1001, 100), (1001, 100)]
