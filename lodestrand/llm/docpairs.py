@@ -10,18 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm.lexing import Lexed
 from lodestrand.session import table
 
-# The lexer's states as alternatives: each consumes one comment, string or brace whole, escapes included.
-_STRINGS = r'"(?:[^"\\\n]|\\.)*"?|\'(?:[^\'\\\n]|\\.)*\'?'
-_C_COMMENTS = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?"
-_REGEX = r"(?<=[=(,:;!&|?{}\[\n])[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*"
-LEXERS = {
-    "py": re.compile(r"#[^\n]*|[rRbBuUfF]{0,2}(?:\"\"\"(?:[^\\]|\\.)*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\.)*?(?:'''|\Z)|" + _STRINGS + r")|[{}()\[\]]", re.S),
-    "js": re.compile(_C_COMMENTS + "|" + _REGEX + "|" + _STRINGS + r"|`(?:[^`\\]|\\.)*`?|[{}()]", re.S),
-    "java": re.compile(_C_COMMENTS + r'|"""(?:[^\\]|\\.)*?(?:"""|\Z)|' + _STRINGS + r"|[{}()]", re.S),
-    "go": re.compile(_C_COMMENTS + "|" + _STRINGS + r"|`[^`]*`?|[{}()]", re.S),
-}
 EXTENSIONS = {"py": "py", "pyi": "py", "js": "js", "mjs": "js", "cjs": "js", "jsx": "js", "ts": "js", "mts": "js", "cts": "js", "tsx": "js", "java": "java", "go": "go"}
 _CONTROL = r"(?!(?:if|for|while|switch|catch|return|else|do|new|function|await|typeof|throw|super|constructor_)\b)"
 HEADS = {
@@ -46,17 +37,8 @@ class Source:
         self.text = text = text.replace("\r\n", "\n").replace("\r", "\n")
         self.language = language
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.comments: list[tuple[int, int]] = []
-        self.strings: list[tuple[int, int]] = []
-        self.brackets: list[tuple[int, str]] = []
-        for m in LEXERS[language].finditer(text):
-            first = text[m.start()]
-            if first in "{}()[]":
-                self.brackets.append((m.start(), first))
-            elif first == "#" or first == "/" and text[m.start() + 1 : m.start() + 2] in ("/", "*"):
-                self.comments.append(m.span())
-            else:
-                self.strings.append(m.span())
+        lexed = Lexed(text, language)
+        self.comments, self.strings, self.brackets = lexed.comments, lexed.strings, lexed.brackets
         self.ends = {self.line_at(e - 1): (s, e) for s, e in self.comments if e > s}
 
     def line_at(self, offset: int) -> int:
@@ -151,6 +133,13 @@ class Source:
                     return self.line_at(at)
         return len(self.starts)
 
+    def delimited(self, number: int, name: str) -> tuple[int, int]:
+        """First and last line of the function whose head stands on the line or begins there, past decorators."""
+        first = number
+        while name and name not in self.line(first) and self.line(first).lstrip().startswith("@") and first < len(self.starts):
+            first += 1
+        return number, self.end_line(first)
+
     def functions(self) -> Iterator[tuple[str, int]]:
         """(name, line) of the functions and methods whose head stands in code."""
         for m in HEADS[self.language].finditer(self.text):
@@ -183,7 +172,7 @@ _CODE = re.compile(
     |(?:if|for|while|elif|else\s+if|switch|catch|with)\s*\(.*|(?:if|elif|for|while|with|else|try|except|finally|def|class)\b.*[:{]$|(?:const|let|var|final|int|long|string|boolean|auto|func|function)\s+[\w$]+\s*(?:[=(:].*|;)$
     |[\w$.]+\([^()]*(?:\([^()]*\)[^()]*)*\)\s*[;{]?|.*[;{}]|[{}()\[\];,]+|</?\w+.*>)$""", re.X)
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
-_FILLER = frozenset("a an the this that it its is are be of for to and or in on by with function method class procedure routine helper func fn def returns return does do just simply here new get set use used using performs perform executes execute implements implementation call calls".split())
+_FILLER = frozenset("a an the this that it its is are be of for to and or in on by with function method class procedure routine helper func fn def returns return does do just simply here new get set use used using performs perform executes execute implements implementation call calls name named called foo bar baz qux quux".split())
 
 
 def strip_marks(text: str) -> list[str]:
@@ -240,60 +229,76 @@ def tells(text: str | None, name: str) -> bool:
         return False
     known = {_stem(w.lower()) for w in _SPLIT.findall(name)} | {name.lower()}
     fresh = [w for w in (x.lower() for x in re.findall(r"[^\W\d_]+", " ".join(_SPLIT.findall(said)))) if w not in _FILLER and _stem(w) not in known]
-    return bool(fresh)
+    return any(map(_is_word, set(fresh))) and (len(fresh) < 2 or len(set(fresh)) > 1)
+
+
+_KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_VOWELS = frozenset("aeiouyáàâãäåæéèêëíìîïóòôõöøœúùûüýÿаеёиоуыэюяіїєαεηιουω")
+
+
+def _is_word(word: str) -> bool:
+    """Whether letters can be a word that says something: two or more, not one letter repeated, no run along the keyboard, and vowels where the script writes them."""
+    if len(word) == 1 and ord(word) < 0x2E80 or len(set(word)) == 1 and len(word) < 4:
+        return False
+    if len(word) > 3 and any(word in row or word in row[::-1] for row in _KEYS):
+        return False
+    return ord(word[0]) > 0x530 or bool(_VOWELS & set(word)) or word.isupper() or len(word) < 4
 
 
-CHUNK = 5_000  # lines of a file whose symbols are one group
+CHUNK = 5_000  # symbols of a file in one group, about; files with more are split by a hash of the symbol's id
 
 
 def _by_file(symbols: DataFrame, contents: DataFrame) -> DataFrame:
     """(content, symbols): the function symbols of each file beside its text; files without text keep their symbols.
 
-    A file's symbols are grouped by CHUNK lines and symbols without a file stand alone, so no group grows with the table.
+    A file's symbols are grouped, at most about CHUNK together, and symbols without a file stand alone, so no
+    group grows with the table.
     """
     wanted = symbols.where(F.lower("kind").isin("function", "method") & F.col("id").isNotNull())
-    part = F.when(F.col("file_id").isNull(), F.col("id").cast("bigint")).otherwise(F.floor(F.coalesce(F.col("line"), F.lit(0)) / CHUNK))
+    spread = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("_many") / CHUNK)))
+    crowded = wanted.where("file_id is not null").groupBy("file_id").agg(F.count("*").alias("_many")).where(F.col("_many") > CHUNK)
+    wanted = wanted.join(crowded, "file_id", "left")
+    part = F.when(F.col("file_id").isNull(), F.col("id").cast("bigint")).otherwise(F.coalesce(spread, F.lit(0)))
     held = wanted.select("file_id", part.alias("part"), F.struct(F.col("id").cast("bigint").alias("id"), "file_path", "name", "signature", F.col("line").cast("int").alias("line"), "comment").alias("s"))
     grouped = held.groupBy("file_id", "part").agg(F.collect_set("s").alias("symbols"))
-    return grouped.join(contents.select("file_id", "content"), "file_id", "left").select("content", "symbols")
+    texts = contents.select("file_id", "content").where("file_id is not null")
+    with_file = grouped.where("file_id is not null").join(texts, "file_id", "left").select("content", "symbols")
+    return with_file.union(grouped.where("file_id is null").select(F.lit(None).cast("string").alias("content"), "symbols"))
 
 
 PAIR = "symbol_id bigint, name string, signature string, documentation string, start_line int, end_line int"
 
 
-def _pairs(with_ends: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for content, symbols in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                source = None
-                for s in symbols:
-                    name, line = s["name"] or "", s["line"]
-                    doc = s["comment"] if tells(s["comment"], name) else None
-                    if (doc is None or with_ends) and content and line and (language := language_of(s["file_path"])):
-                        source = source or Source(content, language)
-                        if doc is None and 1 <= line <= len(source.starts):
-                            found = source.documentation(line)
-                            doc = found if tells(found, name) else None
-                    if doc is not None:
-                        end = source.end_line(line) if with_ends and source and 1 <= line <= len(source.starts) else None
-                        out.append((s["id"], s["name"], s["signature"], "\n".join(strip_marks(doc)).strip(), line, end))
-            columns = list(zip(*out)) or [()] * 6
-            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["symbol_id", "name", "signature", "documentation", "start_line", "end_line"])
-
-    return run
-
-
-def documented_symbols(symbols: DataFrame, contents: DataFrame, with_ends: bool = True) -> DataFrame:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out: list[tuple] = []
+        for content, symbols in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            sources: dict[str, Source] = {}
+            for s in symbols:
+                name, line, source = s["name"] or "", s["line"], None
+                if content and line and (language := language_of(s["file_path"])):
+                    source = sources.get(language) or sources.setdefault(language, Source(content, language))
+                    if not 1 <= line <= len(source.starts):
+                        source = None
+                first, end = source.delimited(line, name) if source else (line, None)
+                doc = s["comment"] if tells(s["comment"], name) else source.documentation(first) if source else None
+                if doc is not None and tells(doc, name):
+                    out.append((s["id"], s["name"], s["signature"], "\n".join(strip_marks(doc)).strip(), line, end))
+        columns = list(zip(*out)) or [()] * 6
+        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["symbol_id", "name", "signature", "documentation", "start_line", "end_line"])
+
+
+def documented_symbols(symbols: DataFrame, contents: DataFrame) -> DataFrame:
     """A row for each function or method symbol whose documentation tells something.
 
-    Documentation is the symbol's comment, else the docstring or the comment directly above its line in
-    the file's text. Null kinds, ids and names, files without text, lines outside the text and unknown
-    languages are met by what is left of the two sources; repeated rows count once. The text is
-    shuffled once, to its file's symbols.
+    The file's text is lexed whole; each symbol's function is delimited in it by matched braces, in Python by
+    indentation. Documentation is the symbol's comment, else the docstring within or the comment directly
+    above the function. Null kinds, ids and names, files without text, lines outside the text and
+    unknown languages are met by what is left of the two sources; repeated rows count once. The text
+    is shuffled once, to its file's symbols.
     """
-    return _by_file(symbols, contents).mapInArrow(_pairs(with_ends), PAIR)
+    return _by_file(symbols, contents).mapInArrow(_pairs, PAIR)
 
 
 def extracted_functions(files: DataFrame, contents: DataFrame) -> DataFrame:
@@ -322,7 +327,7 @@ def extracted_functions(files: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def p5_found(spark, d):
-    return documented_symbols(table(spark, d, "symbols"), table(spark, d, "file_contents"), False).select("symbol_id").distinct()
+    return documented_symbols(table(spark, d, "symbols"), table(spark, d, "file_contents")).select("symbol_id").distinct()
 
 
 def p5_pairs(spark, d):

@@ -5,7 +5,7 @@ import warnings
 
 import pytest
 
-from lodestrand.llm import docpairs, handwritten, syntax
+from lodestrand.llm import docpairs, handwritten, lexing, syntax
 
 GOOD = {
     "a.py": "import os\n\n@dec(1)\nasync def f(a, *, b: int = 2, **k) -> None:\n    '''doc'''\n    async with a as b, c:\n        return [x async for x in y if x]\n\nclass A(B, metaclass=M):\n    x: int = 1\n    def g(self): return lambda *a: (yield)\n\nmatch x:\n    case [1, *rest] if rest:\n        pass\n    case {'k': v} | A(y=2):\n        pass\ntype T[X] = list[X]\nprint(f'{x!r:>{w}}', end='')\nx = y if z else w\nif (n := 3) > 2: pass\nelse:\n\tpass\ndel a[1:2, ::3]\ntry:\n    pass\nexcept* (A, B) as e:\n    raise X from e\nfinally:\n    pass\n",
@@ -93,6 +93,42 @@ def test_documentation_in_the_source():
     assert (js.end_line(6), js.end_line(10), js.end_line(13), py.end_line(4)) == (8, 10, 15, 6)
 
 
+def test_lexer_is_a_state_machine():
+    def strings(text, language="js"):
+        return [text[a:b] for a, b in lexing.Lexed(text, language).strings]
+
+    def comments(text, language="js"):
+        return [text[a:b] for a, b in lexing.Lexed(text, language).comments]
+
+    assert comments("x = `a ${ f(`b // no ${ c /* yes */ }`) } // no`; // yes") == ["/* yes */", "// yes"]
+    assert comments("if (ok) /['\"//]/.test(y); // yes") == ["// yes"] and comments("a = b / c; d = '/* no'; // yes") == ["// yes"]
+    assert comments("let r = x\n  .map(v => v / 2) / 3 // yes") == ["// yes"] and comments("return /[/]\\/\"/g // yes") == ["// yes"]
+    assert strings("s = 'it\\'s' + \"a\nb\"") == ["'it\\'s'", '"a', '"']
+    assert comments("x = 'open\n# yes", "py") == ["# yes"] and strings('f = rb"""a # no\n"""', "py") == ['rb"""a # no\n"""']
+    assert comments("s := `raw \\` // yes", "go") == ["// yes"] and comments("/* open", "go") == ["/* open"]
+    lexed = lexing.Lexed("`${ {a: `${1}`} }` + {b}", "js")
+    assert [c for _, c in lexed.brackets] == ["{", "}", "{", "}"]
+
+
+@pytest.mark.parametrize("text", ["x", "asdf", "qwerty", "blah blah", "foo bar baz", "a", "zzz", "This function is the get user name function. Name: getUserName.", "hmm hmm hmm"])
+def test_noise_tells_nothing(text):
+    assert not docpairs.tells(text, "getUserName")
+
+
+@pytest.mark.parametrize("text", ["Idempotent.", "O(n) in size", "Null if cold.", "SQL only", "Лениво.", "返回用户", "Never blocks."])
+def test_short_words_tell(text):
+    assert docpairs.tells(text, "getUserName")
+
+
+def test_many_symbols_on_one_line(spark, monkeypatch):
+    monkeypatch.setattr(docpairs, "CHUNK", 10)
+    symbols = spark.createDataFrame([(k, 1, "a.js", f"f{k}", "function", "f()", 1, "Keeps the oldest entry.") for k in range(200)] + [(500 + k, None, None, "g", "method", None, None, "Keeps the oldest entry.") for k in range(20)], "id bigint, file_id bigint, file_path string, name string, kind string, signature string, line int, comment string")
+    contents = spark.createDataFrame([(1, "x" * 100), (None, "y")], "file_id bigint, content string")
+    groups = docpairs._by_file(symbols, contents).collect()
+    assert sum(len(g.symbols) for g in groups) == 220 and max(len(g.symbols) for g in groups) < 40
+    assert docpairs.documented_symbols(symbols, contents).count() == 220
+
+
 def test_documented_symbols(spark):
     files, contents = frames(spark, [("a.py", PY, 1), ("b.js", JS.replace("\n", "\r\n"), 1), ("c.js", None, 1)])
     rows = [(1, 0, "a.py", "a", "method", 4, None), (2, 0, "a.py", "b", "method", 10, ""), (3, 1, "b.js", "one", "function", 6, "todo"), (3, 1, "b.js", "one", "function", 6, "todo"), (4, 1, "b.js", "two", "function", 999, None), (5, 2, "c.js", "x", "function", 1, "Frees the lock."), (6, 77, None, None, "FUNCTION", None, "Frees the lock."), (7, 1, "b.js", "K", "class", 6, "Frees the lock."), (8, None, None, "n", "function", -3, None), (None, 1, "b.js", "one", "function", 6, "Frees it.")]
