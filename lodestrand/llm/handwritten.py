@@ -27,7 +27,7 @@ GENERATED = re.compile(
 NOT_SELF = re.compile(r"elsewhere|maintained by hand|written by hand|hand-?written|the order of", re.I)
 COPIED = re.compile(r"unmodified copy|^\W*upstream:\s|licen[sc]ed under the|released under the [\w.\- ]+ licen[sc]e|^\W*(?:copyright\s*)?\(c\)\s*\d{4}|^\W*copyright\s+\d{4}|spdx-license-identifier|\bvendored from\b|^\W*(?:copied|taken|imported|adapted|bundled)(?: verbatim| unchanged| unmodified| as[- ]is)? from\b|\bverbatim (?:copy|from)\b|\bsend (?:patches|fixes|changes|bugs) (?:there|upstream)", re.I | re.M)
 BANNER = re.compile(r"^\s*/\*[!*]?\s*[@\w./-]+\s+v?\d+(?:\.\d+)+[^\n]{0,60}\*/")
-VENDOR_DIRS = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendors?|third[_-]?part(?:y|ies)|thirdparty|3rdparty|godeps|deps|externals?|jspm_packages|site-packages)/", re.I)
+VENDOR_DIRS = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendors?|third[_-]?part(?:y|ies)|thirdparty|3rdparty|godeps|deps|externals?|jspm_packages|site-packages)/(?:[^/]+/)+[^/]+$", re.I)  # a copy has a folder of its own there; files right in such a folder are the project's
 BUILT_DIRS = re.compile(r"(?:^|/)(?:generated|__generated__|generated-sources|autogen|auto-generated|codegen|gen|dist)/", re.I)
 BUILT_NAMES = re.compile(r"[._-]min\.\w+$|\.pb\.\w+$|_pb2(?:_grpc)?\.pyi?$|_pb\.\w+$|\.(?:g|gen|generated)\.\w+$|(?:^|/)zz_generated|OuterClass\.java$|_gen\.\w+$|_generated\.\w+$|\.designer\.\w+$")
 CODE = re.compile(r"\.(?:py|pyi|js|mjs|cjs|jsx|ts|mts|cts|tsx|go|java|c|h|cc|cpp|hpp|cs|rb|php|rs|kt|scala|swift|css|sql|sh)$", re.I)
@@ -39,7 +39,7 @@ _TOKEN = re.compile(r"[^\W\d]\w*|0[xX][\da-fA-F]+|\d[\d._]*\w*|[^\w\s]")
 _WORDS = re.compile(r"[^\W\d_]\w*")
 FEATURES = ("ratio", "entropy", "distinct", "ident_len", "short_ident", "comment", "line_len", "long_line", "numbers", "strings", "prose", "shapes", "ops", "named", "size", "listed")
 LABELLED = 20_000  # labelled files at most that the forest is fitted on; every file is scored
-TREES, DEPTH, LIMIT = 24, 8, 0.8
+TREES, DEPTH, LEAF, LIMIT = 48, 12, 1, 0.75
 FIRST_TREES, FIRST_DEPTH, FIRST_LEAF, DOUBT = 12, 4, 12, 0.08  # of the first forest, which only sets aside unmarked files that look marked
 
 
@@ -129,11 +129,12 @@ def not_handwritten(files: DataFrame, contents: DataFrame, limit: float = LIMIT)
     """(file_id, notice, score, handwritten): every file with a text; score is the forest's probability.
 
     Files that headers, paths or a body of mere literals mark as generated, minified or data are the
-    positive labels, unmarked ones the negative; copied files look like any other code and train
-    nothing. The forests see the body only, never the header or path. As marks are often missing, a first
+    positive labels, unmarked ones the negative. The forests see the body only, never the header or path. As marks are often missing, a first
     small forest sets unmarked files that look marked aside, and the second learns from the rest.
-    handwritten is false for marked files and for code that the second forest finds. Files without text
-    have no row; with one class missing every score is null and the marks decide.
+    The second forest's score alone decides on all of these, marked or not: handwritten is false from
+    limit on. Copied files were written by hand, only elsewhere: no score can tell, so they train
+    nothing and their notices and vendor folders decide. Files without text have no row; with one class
+    missing every score is null and the marks decide.
     """
     rows = cut(described(files, contents))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="vec", handleInvalid="keep")
@@ -147,11 +148,11 @@ def not_handwritten(files: DataFrame, contents: DataFrame, limit: float = LIMIT)
         first = _forest(FIRST_TREES, FIRST_DEPTH, FIRST_LEAF).fit(train)
         sure = first.transform(train).where((F.col("label") > 0) | (vector_to_array("probability")[1] < DOUBT)).select("vec", "label")
         scored = _forest(TREES).fit(sure).transform(vectors.transform(rows)).withColumn("score", vector_to_array("probability")[1])
-    found = F.col("notice").isNotNull() | (F.col("code") & (F.coalesce("score", F.lit(0.0)) >= limit))
+    found = F.coalesce(F.col("notice") == "copied", F.lit(False)) | (F.col("code") & F.when(F.col("score").isNull(), F.col("notice").isNotNull()).otherwise(F.col("score") >= limit))
     return scored.select("file_id", "notice", "score", (~found).alias("handwritten"))
 
 
-def _forest(trees: int, depth: int = DEPTH, leaf: int = 3) -> RandomForestClassifier:
+def _forest(trees: int, depth: int = DEPTH, leaf: int = LEAF) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="vec", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=5, maxBins=64, subsamplingRate=0.8)
 
 
