@@ -140,7 +140,7 @@ def test_documented_symbols(spark):
 
 
 @pytest.mark.parametrize("path,text,what", [
-    ("a.go", "// Code generated by x. DO NOT EDIT.\npackage a\n", "generated"), ("a.go", "package a\r\n\r\n// Generiert mit x. Nicht bearbeiten.\r\n", "generated"), ("x/vendor/a.md", "text", "copied"),
+    ("a.go", "// Code generated by x. DO NOT EDIT.\npackage a\n", "generated"), ("a.go", "package a\r\n\r\n// Generiert mit x. Nicht bearbeiten.\r\n", "generated"), ("x/vendor/p/a.md", "text", "copied"), ("x/vendors/a.py", "x = 1", None),
     ("lib/a.js", "/*!\n * Imported verbatim from x 1.2.3; send patches there.\n */\nf()", "copied"), ("a.js", "/* x 1.2 */\nvar a=1", "minified"), ("gen/a.py", "x = 1", "built"), ("a_pb2.py", "x = 1", "built"),
     ("a.py", "# The role is auto-generated elsewhere, here we only read it.\n", None), ("a.py", "# Writes generated files; this module itself is maintained by hand.\n", None), ("generators/a.py", "# Do not edit the order of the steps below.\n", None), ("a.txt", "Code generated by x", None), ("", "", None)])
 def test_notices(path, text, what):
