@@ -16,11 +16,13 @@ from lodestrand.session import table
 BOOKS, CODES, BEAM = 8, 16, 4  # residual codebooks over all dimensions, entries of each, beam of the encoding
 FINE_BOOKS = 20  # codebooks where all rows are scored and only the best are reranked
 CELL_ROWS = 400  # rows a coarse cell holds on average
-MAX_CELLS = 16_384  # coarse centroids at most; beyond MAX_CELLS x CELL_ROWS rows cells grow and are scanned in blocks
-SAMPLE = 131_072  # rows at most that the codebooks are fitted on; every row is encoded and searched
+MAX_CELLS = 16_384  # coarse centroids that every task holds at most; larger cells are divided again where they are searched
+DIVIDED = 3 * CELL_ROWS  # rows from which a cell is divided into subcells of CELL_ROWS on average
+SUB_PROBES = 3  # subcells a query looks into for each cell it probes: the nearest of all its cells of a task
+SAMPLE = 131_072  # rows, drawn at random, that the codebooks are fitted on, about; every row is encoded and searched
 PROBES = 14  # coarse cells a query looks into; a pair is found if either of its two looks into the other's cell
-GROUP_ROWS = 50_000  # rows a group of neighbouring cells holds on average
-BLOCK_ROWS, BLOCK_QUERIES = 100_000, 120_000  # of a group in one task; larger groups are split
+GROUP_ROWS = 16_000  # rows a group of neighbouring cells holds on average
+BLOCK_ROWS, BLOCK_QUERIES = 60_000, 120_000  # of a group in one task; groups with more are split
 SINGLE = 5e-4  # angle that single precision may miss of two nearly equal vectors
 PAIR_BLOCK = 65_536  # pairs of vectors reranked at a time in a task
 SCORE_BLOCK = 4_194_304  # table scores of rows and queries held at a time in a task
@@ -177,71 +179,94 @@ def _fitted(rows: DataFrame, dim: int, min_cosine: float | None, depth: int = BO
     if n == 0:
         return None
     share = min(1.0, SAMPLE / n, max(32 * n / CELL_ROWS, 20_000) / n)
-    held = rows.select("vec").sample(share, seed=11).limit(SAMPLE) if share < 1 else rows.select("vec")
+    held = rows.select("vec").sample(share, seed=11) if share < 1 else rows.select("vec")
     vectors = held.toArrow().column(0).combine_chunks()
     if len(vectors) == 0:
         vectors = rows.select("vec").limit(1).toArrow().column(0).combine_chunks()
     return rows.sparkSession.sparkContext.broadcast(fit(_unit(vectors, dim), n, min_cosine, depth))
 
 
-ENTRY = "grp int, q int, x int, is_query boolean, id bigint, cells array<int>, bytes binary, codes binary, norm float"
+ENTRY = "part int, is_query boolean, n int, blob binary"
+_CELL = np.int16 if MAX_CELLS <= 1 << 15 else np.int32
 
 
-def _entries(model, dim: int, spread: dict[int, tuple[int, int]] | None):
-    """A row into its own cell's group, and as a query into the groups of the cells it probes; vectors as bytes."""
+def _probed(m: Quantiser, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each vector's own cell; the cells it probes, sorted by group; which of these are the first of their group."""
+    dots = x @ m.cells.T
+    probes = min(PROBES, len(m.cells))
+    near = np.argpartition(-dots, probes - 1, axis=1)[:, :probes]
+    order = np.argsort(m.group[near], axis=1, kind="stable")
+    near = np.take_along_axis(near, order, 1)
+    groups = m.group[near]
+    first = np.ones_like(groups, bool)
+    first[:, 1:] = groups[:, 1:] != groups[:, :-1]
+    return dots.argmax(1), near, first
+
+
+def _entries(model, dim: int, blocks: dict[int, tuple[int, int, int]]):
+    """A row into its own cell's group, and as a query into the groups of the cells it probes; packed by block, vectors as bytes.
+
+    blocks: by group the number of its first block, and its blocks of queries and of rows. A query of a
+    group with several blocks of rows goes to each of these, a row to each block of queries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Quantiser = model.value
         for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                part = b.slice(i, 4096)
-                yield from one(part)
-
-    def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m: Quantiser = model.value
+            for i in range(0, b.num_rows, 8192):
+                yield from one(m, b.slice(i, 8192))
+
+    def packed(part: np.ndarray, row: np.ndarray, ids: np.ndarray, raw: np.ndarray, cells: np.ndarray, more: list[np.ndarray]) -> tuple[list, list, list]:
+        order = np.argsort(part, kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        blobs, sizes = [], []
+        for at in np.split(order, starts[1:]):
+            fields = [ids[row[at]].tobytes(), raw[row[at]].tobytes(), (cells[at] >= 0).sum(1).astype(np.uint8).tobytes(), cells[at][cells[at] >= 0].astype(_CELL).tobytes(), *(f[row[at]].tobytes() for f in more)]
+            blobs.append(b"".join(fields))
+            sizes.append(len(at))
+        return found.tolist(), sizes, blobs
+
+    def one(m: Quantiser, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         x = _unit(b.column(1), dim)
-        dots = x @ m.cells.T
-        probes = min(PROBES, len(m.cells))
-        near = np.argpartition(-dots, probes - 1, axis=1)[:, :probes]
-        cell = dots.argmax(1)
+        cell, near, first = _probed(m, x)
         codes, norms = m.encode(x, cell)
-        blobs = [r.tobytes() for r in _packed(x)]
-        n = len(ids)
-        groups = m.group[near]
-        order = np.argsort(groups, axis=1, kind="stable")
-        groups, near = np.take_along_axis(groups, order, 1), np.take_along_axis(near, order, 1)
-        first = np.ones_like(groups, bool)
-        first[:, 1:] = groups[:, 1:] != groups[:, :-1]
-        row, at = np.nonzero(first)
-        flat = np.flatnonzero(first)
-        ends = np.append(flat[1:], first.size)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(flat, ends[-1]).astype(np.int32)), pa.array(near.ravel().astype(np.int32)))
-        sizes = spread or {}
-        rng = np.random.default_rng(int(ids[0]) & 0xFFFF if n else 0)
-        q_of, x_of = groups[row, at], m.group[cell]
-        qs = [sizes.get(int(g), (1, 1)) for g in q_of]
-        xs = [sizes.get(int(g), (1, 1)) for g in x_of]
+        raw = _packed(x)
+        place = np.array([blocks.get(g, (0, 1, 1)) for g in range(int(m.group.max()) + 1)], np.int64)
         hashed = (ids.astype(np.int64).view(np.uint64) >> np.uint64(17)).astype(np.int64)
-        q_rows = [(k, int(hashed[row[k]] % s[0]), o) for k, s in enumerate(qs) for o in range(s[1])]
-        x_rows = [(k, o, int(hashed[k] % s[1])) for k, s in enumerate(xs) for o in range(s[0])]
-        qk = np.array([r[0] for r in q_rows], np.int64)
-        xk = np.array([r[0] for r in x_rows], np.int64)
-        names = ["grp", "q", "x", "is_query", "id", "cells", "bytes", "codes", "norm"]
-        none = pa.array([None] * len(q_rows), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q_of[qk].astype(np.int32)), pa.array([r[1] for r in q_rows], pa.int32()), pa.array([r[2] for r in q_rows], pa.int32()), pa.array([True] * len(q_rows)), pa.array(ids[row[qk]]), lists.take(pa.array(qk)), pa.array([blobs[r] for r in row[qk]], pa.binary()), none, pa.array(np.zeros(len(q_rows), np.float32))],
-            names=names,
-        )
-        own = pa.ListArray.from_arrays(pa.array(np.arange(len(xk) + 1, dtype=np.int32)), pa.array(cell[xk].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x_of[xk].astype(np.int32)), pa.array([r[1] for r in x_rows], pa.int32()), pa.array([r[2] for r in x_rows], pa.int32()), pa.array([False] * len(x_rows)), pa.array(ids[xk]), own, pa.array([blobs[r] for r in xk], pa.binary()), pa.array([codes[r].tobytes() for r in xk], pa.binary()), pa.array(norms[xk].astype(np.float32))],
-            names=names,
-        )
+        row, at = np.nonzero(first)
+        begin, nq, nx = place[m.group[near[row, at]]].T
+        ends = np.append(np.flatnonzero(first)[1:], first.size) - row * first.shape[1]
+        inside = (np.arange(first.shape[1]) >= at[:, None]) & (np.arange(first.shape[1]) < ends[:, None])
+        cells = np.where(inside, near[row], -1)
+        copies = np.repeat(np.arange(len(row)), nx)
+        turn = np.arange(len(copies)) - np.repeat(np.cumsum(nx) - nx, nx)
+        q = packed((begin + hashed[row] % nq * nx)[copies] + turn, row[copies], ids, raw, cells[copies], [])
+        begin, nq, nx = place[m.group[cell]].T
+        copies = np.repeat(np.arange(len(ids)), nq)
+        turn = np.arange(len(copies)) - np.repeat(np.cumsum(nq) - nq, nq)
+        r = packed((begin + hashed % nx)[copies] + turn * nx[copies], copies, ids, raw, cell[copies][:, None], [codes, norms.astype(np.float32)])
+        for kind, (parts, sizes, blobs) in ((True, q), (False, r)):
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([kind] * len(parts)), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "is_query", "n", "blob"])
 
     return run
 
 
+def _opened(kind: bool, n: int, blob: bytes, dim: int) -> tuple[np.ndarray, ...]:
+    """ids, vectors as bytes, cells of each and how many, and for rows codes and norms."""
+    at = 0
+
+    def take(dtype, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(blob, dtype, count, at)
+        at += out.nbytes
+        return out
+
+    ids, raw, many = take(np.int64, n), take(np.int8, n * dim).reshape(n, dim), take(np.uint8, n)
+    cells = take(_CELL, int(many.sum()))
+    return (ids, raw, many, cells) if kind else (ids, raw, many, cells, take(np.uint8, n * BOOKS).reshape(n, BOOKS), take(np.float32, n))
+
+
 def _packed(x: np.ndarray) -> np.ndarray:
     """Unit vectors as bytes, the largest coordinate at 127."""
     return np.clip(np.rint(x * 127 / np.abs(x).max(1, keepdims=True)), -127, 127).astype(np.int8)
@@ -267,49 +292,88 @@ def _contenders(q: np.ndarray, angle: np.ndarray, off: np.ndarray, k: int) -> np
     return order[(angle - off)[order] <= np.repeat(most, size)]
 
 
+def _divided(m: Quantiser, raw: np.ndarray, cells: np.ndarray, q_raw: np.ndarray, owner: np.ndarray, probed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(cell, rows, queries) to be scored. Small cells come whole; of large ones the subcells, each with the queries that have it among their nearest.
+
+    cells: of each row; owner, probed: the queries and the cells they probe.
+    """
+    by_row, by_query = np.argsort(cells, kind="stable"), np.argsort(probed, kind="stable")
+    present, starts = np.unique(cells[by_row], return_index=True)
+    rng = np.random.default_rng(3)
+    parts: list[tuple[int, np.ndarray]] = []
+    asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for cell, rows in zip(present.tolist(), np.split(by_row, starts[1:])):
+        lo, hi = np.searchsorted(probed[by_query], [cell, cell + 1])
+        queries = owner[by_query[lo:hi]]
+        if not len(queries):
+            continue
+        if len(rows) < DIVIDED:
+            yield cell, rows, queries
+            continue
+        k = len(rows) // CELL_ROWS
+        centres = _kmeans(raw[rng.choice(rows, min(len(rows), 32 * k), replace=False)], k, rng, True, 4)
+        label = np.concatenate([(raw[rows[i : i + 4096]] @ centres.T).argmax(1) for i in range(0, len(rows), 4096)])
+        keep = min(k, 4 * SUB_PROBES)
+        for i in range(0, len(queries), 4096):
+            q = queries[i : i + 4096]
+            dots = q_raw[q] @ centres.T
+            near = np.argpartition(-dots, keep - 1, axis=1)[:, :keep]
+            asked.append((np.repeat(q, keep), near.ravel() + len(parts), np.take_along_axis(dots, near, 1).ravel()))
+        parts += [(cell, rows[label == j]) for j in range(k)]
+    if not asked:
+        return
+    q, part, dots = (np.concatenate(c) for c in zip(*asked))
+    order = np.lexsort((-dots, q))
+    q, part = q[order], part[order]
+    begin = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+    rank = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
+    big = np.isin(probed, [c for c in {c for c, _ in parts}])
+    kept = rank < SUB_PROBES * np.bincount(owner[big], minlength=len(q_raw))[q]
+    q, part = q[kept], part[kept]
+    order = np.argsort(part, kind="stable")
+    present, starts = np.unique(part[order], return_index=True)
+    for k, queries in zip(present.tolist(), np.split(q[order], starts[1:])):
+        if len(parts[k][1]):
+            yield parts[k][0], parts[k][1], queries
+
+
 def _search(model, dim: int, min_cosine: float, k: int):
-    def run(t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Quantiser = model.value
-        t = t.combine_chunks()
-        kind = t.column("is_query").to_numpy()
-        ids = t.column("id").to_numpy()
-        raw = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-        raw, off = _unpacked(raw)
-        lists = t.column("cells").combine_chunks()
-        lengths = lists.value_lengths().to_numpy()
-        owner, cell = np.repeat(np.arange(len(ids)), lengths), lists.flatten().to_numpy()
-        xs = np.flatnonzero(~kind)
-        codes = np.frombuffer(b"".join(c for c in t.column("codes").to_pylist() if c is not None), np.uint8).reshape(-1, BOOKS)
-        norms = t.column("norm").to_numpy()[xs]
-        place = np.full(len(ids), -1)
-        place[xs] = np.arange(len(xs))
-        order = np.argsort(cell, kind="stable")
-        owner, cell = owner[order], cell[order]
-        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
-        out_q, out_x, out_c, out_o = [], [], [], []
-        for s, e in zip(starts, np.append(starts[1:], len(cell))):
-            here = owner[s:e]
-            rows, queries = here[~kind[here]], here[kind[here]]
-            wide = min(1024, max(1, SCORE_BLOCK // max(1, len(rows))))
-            for i in range(0, len(queries), wide) if len(rows) else ():
-                q = queries[i : i + wide]
-                vectors = raw[q]
-                found = m.scores(m.tables(vectors), (vectors @ m.cells[cell[s]])[None, :], codes[place[rows]], norms[place[rows]])
+        held: dict[int, list] = {}
+        for b in batches:
+            for part, kind, n, blob in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(part, []).append((kind, _opened(kind, n, blob, dim)))
+        for part in sorted(held):
+            rows, queries = ([f for kind, f in held[part] if kind is which] for which in (False, True))
+            if rows and queries:
+                yield one(m, [np.concatenate(c) for c in zip(*rows)], [np.concatenate(c) for c in zip(*queries)])
+            held[part] = []
+
+    def one(m: Quantiser, rows: list[np.ndarray], queries: list[np.ndarray]) -> pa.RecordBatch:
+        ids, (raw, off), cells, codes, norms = rows[0], _unpacked(rows[1].astype(np.float32)), rows[3], rows[4], rows[5]
+        q_ids, (q_raw, q_off) = queries[0], _unpacked(queries[1].astype(np.float32))
+        owner = np.repeat(np.arange(len(q_ids)), queries[2])
+        out_q, out_x, out_c, out_o = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [np.zeros(0, np.float32)]
+        for cell, here, asking in _divided(m, raw, cells, q_raw, owner, queries[3]):
+            wide = min(1024, max(1, SCORE_BLOCK // len(here)))
+            for i in range(0, len(asking), wide):
+                q = asking[i : i + wide]
+                vectors = q_raw[q]
+                found = m.scores(m.tables(vectors), (vectors @ m.cells[cell])[None, :], codes[here], norms[here])
                 r, c = np.nonzero(found >= m.cut)
-                r, c = rows[r], q[c]
-                exact = np.concatenate([np.einsum("ij,ij->i", raw[r[j : j + PAIR_BLOCK]], raw[c[j : j + PAIR_BLOCK]]) for j in range(0, len(r), PAIR_BLOCK)] or [np.zeros(0, np.float32)])
-                angle, away = np.arccos(np.clip(exact, -1, 1)), off[r] + off[c]
-                fine = np.flatnonzero((angle - away <= np.arccos(min_cosine)) & (ids[r] != ids[c]))
-                fine = fine[_contenders(ids[c[fine]], angle[fine], away[fine], k)]
-                out_q.append(ids[c[fine]])
+                r, c = here[r], q[c]
+                exact = np.concatenate([np.einsum("ij,ij->i", raw[r[j : j + PAIR_BLOCK]], q_raw[c[j : j + PAIR_BLOCK]]) for j in range(0, len(r), PAIR_BLOCK)] or [np.zeros(0, np.float32)])
+                angle, away = np.arccos(np.clip(exact, -1, 1)), off[r] + q_off[c]
+                fine = np.flatnonzero((angle - away <= np.arccos(min_cosine)) & (ids[r] != q_ids[c]))
+                fine = fine[_contenders(q_ids[c[fine]], angle[fine], away[fine], k)]
+                out_q.append(q_ids[c[fine]])
                 out_x.append(ids[r[fine]])
                 out_c.append(angle[fine])
                 out_o.append(away[fine])
-        if not out_q:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         q, x = np.concatenate(out_q), np.concatenate(out_x)
         kept = _contenders(q, np.concatenate(out_c), np.concatenate(out_o), k)
-        return pa.table({"a": q[kept], "b": x[kept]})
+        return pa.RecordBatch.from_arrays([pa.array(q[kept]), pa.array(x[kept])], names=["a", "b"])
 
     return run
 
@@ -331,8 +395,10 @@ def close_neighbours(df: DataFrame, ident: str, vector: str, k: int = 3, min_cos
     cosine 1 and are expanded from at most k + 1 of them after it.
     The first codebook's cells, one per CELL_ROWS rows, spread the work: a row is stored in its
     nearest cell, and looks into its PROBES nearest ones. Neighbouring cells form a group, so that
-    a query travels once a group, as bytes; groups of very many rows or queries are split into
-    blocks of both. Within a cell table lookups score all rows for all queries; what reaches the
+    a query travels once a group, as bytes; the rows and queries of each group are counted, and groups
+    with many of either are split into blocks of both, one block a task. Where the table has outgrown
+    MAX_CELLS, large cells are divided into subcells in the task, and queries go to the nearest of
+    these. Within a cell table lookups score all rows for all queries; what reaches the
     score that pairs at min_cosine get is reranked by bytes: all that may be among the k best, as far
     as bytes can tell, are then reranked exactly on the stored vectors.
     """
@@ -343,9 +409,9 @@ def close_neighbours(df: DataFrame, ident: str, vector: str, k: int = 3, min_cos
         return df.sparkSession.createDataFrame([], "a string, b string, cosine double")
     distinct, owned = distinct_vectors(rows, dim, k)
     hashed = distinct.select(F.col("key").alias("id"), "vec")
-    probing = _group_sizes(rows, model, dim)
-    entries = hashed.mapInArrow(_entries(model, dim, probing), ENTRY)
-    found = entries.groupBy("grp", "q", "x").applyInArrow(_search(model, dim, min_cosine, k), "a bigint, b bigint")
+    blocks, total = _blocks(rows, model, dim)
+    entries = hashed.mapInArrow(_entries(model, dim, blocks), ENTRY)
+    found = entries.repartitionById(total, F.col("part")).mapInArrow(_search(model, dim, min_cosine, k), "a bigint, b bigint")
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = pairs.join(distinct.toDF("a", "heads_a", "vec_a"), "a").join(distinct.toDF("b", "heads_b", "vec_b"), "b")
     cosines = both.select("heads_a", "heads_b", "vec_a", "vec_b").mapInArrow(_exact, "a array<string>, b array<string>, cosine double").where(F.col("cosine") >= min_cosine)
@@ -361,27 +427,37 @@ def close_neighbours(df: DataFrame, ident: str, vector: str, k: int = 3, min_cos
     return one.union(own).withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).drop("_at")
 
 
-def _group_sizes(rows: DataFrame, model, dim: int) -> dict[int, tuple[int, int]]:
-    """Groups that need more than one block of queries or distinct vectors; at most one entry per group reaches the driver."""
+def _blocks(rows: DataFrame, model, dim: int) -> tuple[dict[int, tuple[int, int, int]], int]:
+    """By group the number of its first block and how many blocks of queries and of rows it has; all blocks.
+
+    Queries and rows of each group are counted over all distinct vectors; one entry a group, of at most MAX_CELLS, reaches the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Quantiser = model.value
         for b in batches:
-            if b.num_rows:
-                x = _unit(b.column(1), dim)
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(x)), pa.array(m.group[m.coarse(x)].astype(np.int32))], names=["key", "grp"])
+            for i in range(0, b.num_rows, 8192):
+                x = _unit(b.column(1).slice(i, 8192), dim)
+                cell, near, first = _probed(m, x)
+                ends = np.append(0, np.cumsum(first.sum(1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(x)), pa.array(m.group[cell].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(m.group[near[first]].astype(np.int32)))], names=["key", "own", "asked"])
 
-    held = rows.mapInArrow(run, "key bigint, grp int").groupBy("key").agg(F.min("grp").alias("grp"))
-    sizes = held.groupBy("grp").agg(F.count("*").alias("n")).collect()
-    return {g: (-(-n * PROBES // (3 * BLOCK_QUERIES)), -(-n // BLOCK_ROWS)) for g, n in sizes}
+    held = rows.mapInArrow(run, "key bigint, own int, asked array<int>").groupBy("key").agg(F.min(F.struct("own", "asked")).alias("g"))
+    each = held.select(F.explode(F.concat(F.transform("g.asked", lambda g: F.struct(g.alias("grp"), F.lit(1).alias("q"), F.lit(0).alias("x"))), F.array(F.struct(F.col("g.own").alias("grp"), F.lit(0).alias("q"), F.lit(1).alias("x"))))).alias("e"))
+    blocks, total = {}, 0
+    for g, q, x in each.groupBy("e.grp").agg(F.sum("e.q"), F.sum("e.x")).orderBy("grp").collect():
+        nq, nx = max(1, -(-q // BLOCK_QUERIES)), max(1, -(-x // BLOCK_ROWS))
+        blocks[g] = (total, nq, nx)
+        total += nq * nx
+    return blocks, max(1, total)
 
 
 def nearest_for(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: int = 3, rerank: int = 128) -> DataFrame:
     """(a, b, cosine): for the vectors of a stated query set their k most similar ids of the whole table.
 
     All distinct vectors are scored: each task encodes its own, scores them by table lookups for a
-    block of queries, reranks its best rerank ones exactly, and only k + 1 a query and task are
-    shuffled (one may be the query's own). Ids that share a vector are expanded after it.
+    block of queries, reranks its best rerank ones exactly, and keeps only k + 1 a query, which are
+    shuffled once the task has seen all its rows (one may be the query's own). Ids that share a vector are expanded after it.
     Queries are broadcast in blocks of QUERY_BLOCK. Incomparable vectors are left out on both sides.
     """
     spark = df.sparkSession
@@ -414,6 +490,7 @@ def _scan(model, held, dim: int, k: int, rerank: int):
         m: Quantiser = model.value
         names, q = held.value
         tables, coarse = m.tables(q), m.cells @ q.T
+        best: list[list] = [[] for _ in names]
         for b in batches:
             for i in range(0, b.num_rows, 8192):
                 part = b.slice(i, 8192)
@@ -421,18 +498,16 @@ def _scan(model, held, dim: int, k: int, rerank: int):
                 x = _unit(part.column(2), dim)
                 cell = m.coarse(x)
                 codes, norms = m.encode(x, cell)
-                a, c, s = [], [], []
                 for j in range(0, len(names), 256):
                     found = m.scores(tables[:, j : j + 256], coarse[cell][:, j : j + 256], codes, norms).T
                     keep = min(max(rerank, k + 1), len(heads))
                     top = np.argpartition(-found, keep - 1, axis=1)[:, :keep]
                     exact = np.einsum("qd,qrd->qr", q[j : j + 256].astype(np.float64), x[top].astype(np.float64))
                     for n in range(len(top)):
-                        ranked = sorted(zip(-exact[n], (heads[r] for r in top[n])))[: k + 1]
-                        a += [names[j + n]] * len(ranked)
-                        s += [-e for e, _ in ranked]
-                        c += [h for _, h in ranked]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(c, pa.list_(pa.string())), pa.array(s, pa.float64())], names=["a", "b", "cosine"])
+                        best[j + n] = sorted([*best[j + n], *zip(-exact[n], (heads[r] for r in top[n]))])[: k + 1]
+        a = [name for name, ranked in zip(names, best) for _ in ranked]
+        c, s = [h for ranked in best for _, h in ranked], [-e for ranked in best for e, _ in ranked]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(c, pa.list_(pa.string())), pa.array(s, pa.float64())], names=["a", "b", "cosine"])
 
     return run
 
