@@ -11,11 +11,15 @@ import re
 import unicodedata
 from collections import Counter
 
-# Letters of several scripts with the same shape, Latin first.
+# Letters of several scripts with the same shape, Latin first: Greek, Cyrillic, Armenian, Georgian, Cherokee and Lisu, and Latin letters that look like another.
 LOOKALIKES = (
-    "aаα", "cсϲ", "dԁ", "eе", "gɡ", "hһ", "iіι", "jјϳ", "lӏ", "oоο", "pрρ", "qԛ", "sѕ", "uυ", "vνѵ", "wԝ", "xх", "yу",
-    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "HНΗ", "IІΙӀ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "QԚ", "SЅ", "TТΤ", "WԜ", "XХΧ", "YΥҮ", "ZΖ",
+    "aɑаα", "cᴄсϲ", "dԁᏧ", "eе", "gɡց", "hһհᏂ", "iіιᎥ", "jјϳ", "lӏ", "nո", "oᴏοоօჿ", "pрρ", "qԛզ", "sꜱѕ", "uᴜυս", "vᴠνѵ", "wᴡԝա", "xх", "yуү", "zᴢ",
+    "AАΑᎪꓮ", "BВΒᏴꓐ", "CСϹᏟꓚ", "DᎠꓓ", "EЕΕᎬꓰ", "FϜꓝ", "GԌᏀꓖ", "HНΗᎻꓧ", "IІΙӀꓲ", "JЈͿᎫꓙ", "KКΚᏦꓗ", "LᏞꓡ", "MМΜϺᎷꓟ", "NΝꓠ", "OОΟՕꓳ", "PРΡᏢꓑ", "QԚ", "RᎡꓣ", "SЅՏᏚꓢ", "TТΤᎢꓔ", "UՍꓴ", "VѴᏙꓦ", "WԜᎳꓪ", "XХΧꓫ", "YΥҮꓬ", "ZΖᏃꓜ",
+    "ΓГ", "ΠП", "ΦФ",
 )
+# Signs that look like ASCII ones.
+SIGNS = {"∶": ":", "꞉": ":", "׃": ":", "։": ":", "․": ".", "‚": ",", "ǃ": "!", "ǀ": "|", "∣": "|", "⁄": "/", "∕": "/", "∖": "\\", "∗": "*", "∼": "~"}
+TURKISH = re.compile("[ğşĞŞİ]")  # beside these a dotless i is a letter of its own
 #: Compatibility mappings that keep the look of a character; superscripts, fractions, circled forms and the like don't.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>")
 DASHES = "‐‑﹣－"
@@ -35,7 +39,8 @@ for _group in LOOKALIKES:
         _by.setdefault(script(_c), _c)
     for _c in _group:
         SPELLINGS[_c] = _by
-FOREIGN = re.compile("[" + "".join(c for c in SPELLINGS if c > "\x7f") + "]")
+_TWINS = {c for c in SPELLINGS if c > "\x7f"}
+FOREIGN = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.normalize("NFD", c)[0] in _TWINS) + "]")  # accented ones, too
 TOKEN = re.compile(r"[\w\u0300-\u036f]+")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 TRAILING = re.compile(r"[ \t]+(?=\n|\Z)")
@@ -51,6 +56,8 @@ class _Chars(dict):
             out = c
         elif c in DASHES:
             out = "-"
+        elif c in SIGNS:
+            out = SIGNS[c]
         elif kind in ("Zl", "Zp") or code == 0x85:
             out = "\n"
         elif kind == "Zs":
@@ -126,6 +133,8 @@ def uniform(text: str | None) -> str | None:
         return None
     if not text.isascii():
         text = unicodedata.normalize("NFC", text.translate(CHARS))
+        if "ı" in text and not TURKISH.search(text):
+            text = text.replace("ı", "i")
         if FOREIGN.search(text):
             main = main_script(text)
             text = TOKEN.sub(lambda m: t if (t := m[0]).isascii() and main == "LATIN" else resolve(t, main), text)

@@ -64,6 +64,18 @@ def leaks_by_hand(docs, items):
     return sorted(out)
 
 
+@pytest.mark.parametrize(("other", "plain"), [
+    ("noёl", "noël"), ("naїve", "naïve"), ("crѐme", "crème"), ("Տeсurе", "Secure"), ("ᎪᏢᏞ", "APL"), ("ꓮꓐꓚ", "ABC"), ("ɑlphɑ", "alpha"), ("fıle", "file"), ("a∶b", "a:b"), ("ΠΡΟΣ", "ПΡΟΣ"), ("hоuѕе", "house"),
+])
+def test_twins_of_further_scripts_and_accents(other, plain):
+    assert uniform(other) == uniform(plain)
+
+
+@pytest.mark.parametrize("text", ["ещё", "kız ağaç", "ПРОСТО", "ոսկի", "Ἑλλάς", "Straße", "Здравствуйте on мир"])
+def test_real_words_stay(text):
+    assert uniform(text) == text
+
+
 def test_leaks_against_brute_force(spark):
     draw = random.Random(4)
     vocabulary = [f"w{k}" for k in range(60)]
