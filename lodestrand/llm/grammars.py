@@ -2,7 +2,8 @@
 
 Terminals in upper case are classes of the lexer: NAME, NUM, STR, NL, IN and DE (line end, indent,
 dedent), END, ASI (an inserted semicolon), UN and BIN (prefix and infix operators that need no rule of
-their own), ASG (assignment operators), REGEX and TEMPLATE.
+their own), ASG (assignment operators), REGEX and TEMPLATE. A template or f-string with code in it comes in
+parts: THEAD TMID TTAIL, FHEAD FMID FTAIL, and within a field's format FSPEC, FO and FC.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ file: stmts END | END
 stmts: stmt+
 stmt: line | compound
 line: small (';' small)* ';'? NL
-small: exprs | tlist '=' sources | tprim ':' test ('=' source)? | '(' name ')' ':' test ('=' source)? | tprim ASG source | yields | 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' (test ('from' test)?)? | 'global' names | 'nonlocal' names | 'del' tlist | 'assert' test (',' test)? | 'type' name tparams? '=' test | import
+small: exprs | tlist '=' sources | tprim ':' test ('=' source)? | '(' name ')' ':' test ('=' source)? | aug ASG source | yields | 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' (test ('from' test)?)? | 'global' names | 'nonlocal' names | 'del' tlist | 'assert' test (',' test)? | 'type' name tparams? '=' test | import
+aug: name | primary '.' name | primary '[' subs ']' | '(' aug ')'
 sources: source | tlist '=' sources
 source: exprs | yields
 yields: 'yield' exprs? | 'yield' 'from' test
@@ -46,10 +48,20 @@ suite: line | NL IN stmts DE
 case: 'case' patterns ('if' named)? ':' suite
 patterns: pattern (',' pattern)* ','?
 pattern: bin ('as' name)? | '*' name
-params: param (',' param)* ','?
-param: name (':' test)? ('=' test)? | '*' | '*' name (':' eitem)? | '**' name (':' test)? | '/'
-lparams: lparam (',' lparam)* ','?
-lparam: name ('=' test)? | '*' name? | '**' name | '/'
+params: plains (',' defaults)? (',' stars)? ','? | defaults (',' stars)? ','? | stars ','?
+plains: plain (',' (plain | '/'))*
+defaults: default (',' (default | '/'))*
+plain: name (':' test)?
+default: name (':' test)? '=' test
+stars: '*' name (':' eitem)? (',' kw)* (',' kwargs)? | '*' (',' kw)+ (',' kwargs)? | kwargs
+kw: plain | default
+kwargs: '**' name (':' test)?
+lparams: lplains (',' ldefaults)? (',' lstars)? ','? | ldefaults (',' lstars)? ','? | lstars ','?
+lplains: name (',' (name | '/'))*
+ldefaults: ldefault (',' (ldefault | '/'))*
+ldefault: name '=' test
+lstars: '*' name (',' lkw)* (',' '**' name)? | '*' (',' lkw)+ (',' '**' name)? | '**' name
+lkw: name | ldefault
 named: test | name ':=' test
 test: or | or 'if' or 'else' test | 'lambda' lparams? ':' test
 or: not (('and' | 'or') not)*
@@ -60,15 +72,23 @@ bin: unary (bins unary)*
 bins: BIN | '+' | '-' | '*' | '**' | '/' | '@'
 unary: ('+' | '-' | UN) unary | 'await'? primary
 primary: atom | primary '.' name | primary '(' args? ')' | primary '[' subs ']'
-atom: name | NUM | STR+ | '...' | CONST | '(' ')' | '(' yields ')' | '(' items ')' | '[' ']' | '[' items ']' | '{' '}' | '{' items '}' | '{' dicts '}'
+atom: name | NUM | string+ | '...' | CONST | '(' ')' | '(' yields ')' | '(' items ')' | '[' ']' | '[' items ']' | '{' '}' | '{' items '}' | '{' dicts '}'
+string: STR | FHEAD field (FMID field)* FTAIL
+field: shown (FSPEC inner*)?
+inner: FO field FC
+shown: source '='? ('!' NAME)?
 items: item (',' item)* ','? | item comps
 item: named | '*' bin
 comps: comp+
 comp: 'async'? 'for' tlist 'in' or | 'if' or | 'if' name ':=' or | 'if' 'lambda' lparams? ':' test
 dicts: dict (',' dict)* ','? | test ':' test comps
 dict: test ':' test | '**' bin
-args: arg (',' arg)* ','?
-arg: named | named comps | name '=' test | '*' test | '**' test
+args: pargs (',' kargs)? (',' dargs)? ','? | kargs (',' dargs)? ','? | dargs ','? | named comps
+pargs: parg (',' parg)*
+parg: named | '*' test
+kargs: karg (',' (karg | '*' test))*
+karg: name '=' test
+dargs: '**' test (',' ('**' test | karg))*
 subs: sub (',' sub)* ','?
 sub: named | '*' bin | test? ':' test? | test? ':' test? ':' test?
 """
@@ -106,9 +126,9 @@ spec: prop | prop 'as' prop
 ts|spec: 'type' prop | 'type' prop 'as' prop
 export: 'export' decl | 'export' 'default' func | 'export' 'default' class | 'export' 'default' assignS semi | 'export' namelist semi | 'export' namelist 'from' STR with? semi | 'export' '*' ('as' prop)? 'from' STR with? semi | decorator+ 'export' 'default'? class
 ts|export: 'export' 'type' namelist ('from' STR)? semi | 'export' '=' expr semi | 'export' 'default' 'abstract' class | 'export' 'default' 'interface' ident tparams? ('extends' types)? members | 'export' 'as' 'namespace' ident semi
-ident: NAME | 'of' | 'as' | 'from' | 'get' | 'set' | 'async' | 'static' | 'using' | 'assert' | 'let'
+ident: NAME | 'of' | 'as' | 'from' | 'get' | 'set' | 'async' | 'using' | 'assert'
 ts|ident: 'type' | 'interface' | 'namespace' | 'module' | 'declare' | 'global' | 'abstract' | 'readonly' | 'keyof' | 'infer' | 'is' | 'satisfies' | 'public' | 'private' | 'protected' | 'override' | 'asserts' | 'unique' | 'accessor' | 'out'
-word: 'var' | 'const' | 'if' | 'else' | 'for' | 'while' | 'do' | 'continue' | 'break' | 'return' | 'throw' | 'switch' | 'case' | 'default' | 'try' | 'catch' | 'finally' | 'function' | 'class' | 'extends' | 'new' | 'this' | 'super' | 'import' | 'export' | 'in' | 'instanceof' | 'debugger' | 'with' | 'yield' | 'await' | 'enum' | UNW | CONST
+word: 'var' | 'let' | 'static' | 'const' | 'if' | 'else' | 'for' | 'while' | 'do' | 'continue' | 'break' | 'return' | 'throw' | 'switch' | 'case' | 'default' | 'try' | 'catch' | 'finally' | 'function' | 'class' | 'extends' | 'new' | 'this' | 'super' | 'import' | 'export' | 'in' | 'instanceof' | 'debugger' | 'with' | 'yield' | 'await' | 'enum' | UNW | CONST
 prop: ident | word
 key: prop | STR | NUM | '[' assign ']' | PRIV
 func: 'async'? 'function' '*'? ident? sig block
@@ -117,7 +137,7 @@ sig: '(' params? ')'
 ts|sig: tparams? '(' params? ')' returns?
 params: param (',' param)* ','?
 param: decorator* target ('=' assign)? | decorator* '...' target
-ts|param: decorator* access+ target annot? ('=' assign)? | decorator* target '?'? annot ('=' assign)? | decorator* target '?' | decorator* '...' target annot | 'this' annot
+ts|param: decorator* access+ target '?'? annot? ('=' assign)? | decorator* target '?'? annot ('=' assign)? | decorator* target '?' | decorator* '...' target annot | 'this' annot
 ts|access: 'public' | 'private' | 'protected' | 'readonly' | 'override'
 target: ident | '[' elements? ']' | '{' '}' | '{' props ','? '}'
 elements: ','* element (','+ element)* ','* | ','+
@@ -146,13 +166,14 @@ binop: BIN | '<' | '>' | '>' '>' | '>' '>' '>' | GE | '*' | '+' | '-' | 'in' | '
 unary@: post@ | (UN | UNW | '+' | '-' | '!' | INC | 'await') unary
 ts|unary@: '<' type '>' unary | '<' 'const' '>' unary
 post@: lhs@ | lhs@ INC
-lhs@: primary@ | lhs@ '.' prop | lhs@ '.' PRIV | lhs@ '?.' (prop | PRIV | args | '[' expr ']') | lhs@ '[' expr ']' | lhs@ args | lhs@ TEMPLATE | 'new' callee args? | 'super' args | 'super' '.' prop | 'super' '[' expr ']' | 'import' args | 'import' '.' prop
-ts|lhs@: lhs@ '!' | lhs@ targs args | lhs@ targs TEMPLATE | lhs@ targs | lhs@ '?.' targs args | 'new' callee targs args
+lhs@: primary@ | lhs@ '.' prop | lhs@ '.' PRIV | lhs@ '?.' (prop | PRIV | args | '[' expr ']') | lhs@ '[' expr ']' | lhs@ args | lhs@ template | 'new' callee args? | 'super' args | 'super' '.' prop | 'super' '[' expr ']' | 'import' args | 'import' '.' prop
+ts|lhs@: lhs@ '!' | lhs@ targs args | lhs@ targs template | lhs@ targs | lhs@ '?.' targs args | 'new' callee targs args
 callee: primary | callee '.' prop | callee '[' expr ']' | 'new' '.' prop | callee '.' PRIV
 primary@: simple
-simple: ident | NUM | STR | CONST | REGEX | TEMPLATE | 'this' | '(' expr ')' | '[' items? ']' | 'new' '.' prop | PRIV
+simple: ident | NUM | STR | CONST | REGEX | template | 'this' | '(' expr ')' | '[' items? ']' | 'new' '.' prop | PRIV
 primary: func | class | object
 primaryN: func | class
+template: TEMPLATE | THEAD expr (TMID expr)* TTAIL
 items: ','* spread (','+ spread)* ','* | ','+
 spread: assign | '...' assign
 args: '(' ')' | '(' spread (',' spread)* ','? ')'
@@ -171,7 +192,7 @@ ts|union: '|'? inter ('|' inter)*
 ts|inter: '&'? tpre ('&' tpre)*
 ts|tpre: tpost | ('keyof' | 'unique' | 'readonly' | 'infer') tpre | 'infer' ident 'extends' tpost
 ts|tpost: tprim | tpost '[' ']' | tpost '[' type ']'
-ts|tprim: '(' type ')' | entity targs? | STR | NUM | '-' NUM | TEMPLATE | CONST | 'this' | UNW | UNW entity targs? | UNW 'import' '(' STR ')' | 'import' '(' STR ')' ('.' entity)? targs? | members | mapped | '[' ']' | '[' telem (',' telem)* ','? ']'
+ts|tprim: '(' type ')' | entity targs? | STR | NUM | '-' NUM | TEMPLATE | THEAD type (TMID type)* TTAIL | CONST | 'this' | UNW | UNW entity targs? | UNW 'import' '(' STR ')' | 'import' '(' STR ')' ('.' entity)? targs? | members | mapped | '[' ']' | '[' telem (',' telem)* ','? ']'
 ts|telem: type | '...' type | ident '?'? ':' type | '...' ident ':' type | type '?'
 ts|entity: ident ('.' prop)*
 ts|members: '{' '}' | '{' tmember (tsep tmember)* tsep? '}'

@@ -53,6 +53,144 @@ KEYWORDS = {
 }
 
 
+# Where tokens hang on more than the characters beside them, texts are cut into tokens one by one.
+_NESTED = {"python": re.compile(r"(?i)(?<!\w)(?:f|fr|rf)[\"']"), "javascript": re.compile(r"\$\{|\)[ \t\n]*/(?![/*])|(?:\n|\A|[ \t])[ \t]+/(?![/*])|\n/(?![/*])"), "go": None}
+_NESTED["typescript"] = _NESTED["javascript"]
+_NAMED = re.compile(r"\\N\{[\w -]+\}")
+_F_STRING = re.compile(r"(?:[fF][rR]?|[rR][fF])(\"\"\"|'''|\"|')")
+_REGEX = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
+_TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?")
+
+
+def _script_tokens(pattern: re.Pattern, text: str) -> list[str]:
+    """Tokens of a script: templates in parts around the code within, patterns after the bracket of a condition."""
+    out: list[str] = []
+    parts: list[int] = []  # open braces in each template part
+    conditions: list[bool] = []
+    last, condition, fresh, at = "", False, True, 0
+    while (m := pattern.search(text, at)) is not None:
+        t, at = m[0], m.end()
+        if t[0] == "`" or t == "}" and parts and parts[-1] == 0:
+            if t == "}":
+                parts.pop()
+            text_part = _TEMPLATE_TEXT.match(text, m.start() + 1)
+            at = text_part.end()
+            t = text[m.start() : at] if text_part[1] else "\\"
+            if text_part[1] == "${":
+                parts.append(0)
+        elif t[0] == "/" and not t.startswith(("//", "/*")) and _begins(last, condition, fresh) and (found := _REGEX.match(text, m.start())):
+            t, at = found[0], found.end()
+        elif t == "{" and parts:
+            parts[-1] += 1
+        elif t == "}" and parts:
+            parts[-1] -= 1
+        elif t == "(":
+            conditions.append(last in ("if", "while", "for", "with"))
+        elif t == ")":
+            condition = conditions.pop() if conditions else False
+        out.append(t)
+        if t[0] == "\n":
+            fresh = True
+        elif not t.startswith(("//", "/*")):
+            last, fresh = t, False
+    return out
+
+
+# Words after which a slash begins a pattern.
+_WORDS_BEFORE = frozenset("return typeof case in of delete void throw new do else instanceof yield await".split())
+
+
+def _begins(last: str, condition: bool, fresh: bool) -> bool:
+    """Whether a slash begins a pattern after the token last. fresh: a line break stands between."""
+    if last == ")":
+        return condition
+    if last == "}":
+        return fresh
+    if not last or last in _WORDS_BEFORE:
+        return True
+    return not (last[-1].isalnum() or last[-1] in "_$]\"'`" or last in ("++", "--") or len(last) > 2 and last[0] == "/")
+
+
+def _python_tokens(pattern: re.Pattern, text: str) -> list[str]:
+    """Tokens of a Python text, f-strings in parts around the fields within: ':\\0' begins a field's format, '{\\0' and '}\\0' stand around a field in it."""
+    out: list[str] = []
+    fields: list[list] = []  # of each open field: the quote of its string, its open brackets, whether it stands in a format
+    at = 0
+
+    def literal(start: int, quote: str, begin: int) -> int:
+        """Put the string's text from start to its next field or end, with what stands from begin on."""
+        k, end, raw = start, len(text), "r" in text[begin : begin + 2].lower()
+        while k < end:
+            c = text[k]
+            if c == "\\":
+                named = not raw and _NAMED.match(text, k)
+                k = named.end() if named else k + 1 if text[k + 1 : k + 2] in ("{", "}") else k + 2
+            elif text.startswith(quote, k):
+                out.append(text[begin : k + len(quote)])
+                return k + len(quote)
+            elif c == "\n" and len(quote) == 1:
+                break
+            elif text.startswith(("{{", "}}"), k):
+                k += 2
+            elif c == "{":
+                out.append(text[begin : k + 1])
+                fields.append([quote, 0, False])
+                return k + 1
+            elif c == "}":
+                break
+            else:
+                k += 1
+        out.append("\\")
+        return min(k + 1, end)
+
+    def format_(k: int) -> int:
+        """Skip the text of a field's format to the next field in it or to its end."""
+        quote = fields[-1][0]
+        while k < len(text) and text[k] not in "{}" and not text.startswith(quote, k) and not (text[k] == "\n" and len(quote) == 1):
+            k += 1
+        if k < len(text) and text[k] == "{":
+            out.append("{\0")
+            fields.append([quote, 0, True])
+            return k + 1
+        if k >= len(text) or text[k] != "}":
+            out.append("\\")
+            return k + 1
+        if fields.pop()[2]:
+            out.append("}\0")
+            return format_(k + 1)
+        return literal(k + 1, quote, k)
+
+    while (m := pattern.search(text, at)) is not None:
+        t, at = m[0], m.end()
+        opened = _F_STRING.match(text, m.start())
+        if opened and not (out and out[-1][-1:].isalnum() and m.start() and text[m.start() - 1].isalnum()):
+            at = literal(opened.end(), opened[1], m.start())
+            continue
+        if fields:
+            quote, depth, inner = fields[-1]
+            if depth == 0 and t[0] == "}":
+                fields.pop()
+                if inner:
+                    out.append("}\0")
+                at = format_(m.start() + 1) if inner else literal(m.start() + 1, quote, m.start())
+                continue
+            if depth == 0 and t[0] == ":":
+                out.append(":\0")
+                at = format_(m.start() + 1)
+                continue
+            if depth == 0 and out[-1] == "!" and t not in ("s", "r", "a"):
+                out.append("\\")
+            if t in ("(", "[", "{"):
+                fields[-1][1] += 1
+            elif t in (")", "]", "}"):
+                fields[-1][1] -= 1
+        out.append(t)
+    return out
+
+
+_FIELDS = {"python": _python_tokens, "javascript": _script_tokens, "typescript": _script_tokens}
+
+
 class Checker:
     """Lexer and recogniser of one language."""
 
@@ -72,7 +210,7 @@ class Checker:
         if language == "python":
             self.indent, self.dedent, self.newline = (self.classes[t] for t in ("IN", "DE", "NL"))
             self.nets: dict[str, int] = {}
-            self.opening, self.closing = ("".join(self.classes[t] for t in x) for x in (("'('", "'['", "'{'"), ("')'", "']'", "'}'")))
+            self.opening, self.closing = ("".join(self.classes[t] for t in x) for x in (("'('", "'['", "'{'", "FHEAD"), ("')'", "']'", "'}'", "FTAIL")))
 
     def error_line(self, text: str) -> int:
         """0 for valid text, else the line of the first token that no way of reading the text allows."""
@@ -81,7 +219,8 @@ class Checker:
         text = text.removeprefix("﻿")
         if "\r" in text:
             text = text.replace("\r\n", "\n").replace("\r", "\n")
-        tokens = self.pattern.findall(text)
+        nested = _NESTED.get(self.language)
+        tokens = self.pattern.findall(text) if nested is None or not nested.search(text) else _FIELDS[self.language](self.pattern, text)
         pieces = "".join(map(self.tokens.__getitem__, tokens)).split("\n")
         bad = self._python(tokens, pieces, text) if self.language == "python" else self._braced(pieces)
         if bad < 0:
@@ -113,19 +252,21 @@ class Checker:
         step, at, known = self.recogniser.line, 1, self.recogniser.lines.get
         first = re.match(r"[ \t\f]*", text)[0]
         breaks = [first, *(t[1:] for t in tokens if t[0] == "\n")]
-        stack, depth, nets = [0], 0, self.nets
+        stack, depth, nets = [(0, 0)], 0, self.nets
         for k, piece in enumerate(pieces):
             if depth == 0:
                 if not piece:
                     continue
                 blank = breaks[k]
-                width = len(blank) if "\t" not in blank else len(blank.expandtabs(8))
-                if width > stack[-1]:
+                width = (len(blank), len(blank)) if "\t" not in blank else (len(blank.expandtabs(8)), len(blank))  # with tabs of 8 and of 1: both must agree
+                if width[0] > stack[-1][0]:
+                    if width[1] <= stack[-1][1]:
+                        return k
                     stack.append(width)
                     piece = self.indent + piece
-                elif width < stack[-1]:
+                else:
                     n = len(stack)
-                    while width < stack[-1]:
+                    while width[0] < stack[-1][0]:
                         stack.pop()
                     if width != stack[-1]:
                         return k
@@ -171,6 +312,10 @@ class _Tokens(dict):
             return ""
         if self.comment(t):
             return self.WRONG if t == "/*" else "\n" if "\n" in t else ""
+        if self.language == "python" and (t[-1] == "\0" or len(t) > 1 and (t[0] == "}" or t[-1] == "{")):
+            return c[{":": "FSPEC", "{": "FO", "}": "FC"}[t[0]] if t[-1] == "\0" else "FHEAD" if t[0] != "}" else "FMID" if t[-1] == "{" else "FTAIL"]
+        if "THEAD" in c and len(t) > 1 and (t[0] == "}" or t[0] == "`" and t.endswith("${")):
+            return c["THEAD" if t[0] == "`" else "TMID" if t.endswith("${") else "TTAIL"]
         if t in self.shared:
             return self.shared[t]
         if f"'{t}'" in c:

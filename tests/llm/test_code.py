@@ -1,6 +1,7 @@
 """Problems 2, 5 and 7 on small fixtures."""
 
 import ast
+import os
 import warnings
 
 import pytest
@@ -159,3 +160,38 @@ def test_forest_finds_what_is_not_marked(spark):
     only = handwritten.not_handwritten(files.where("id < 5"), contents).collect()
     assert len(only) == 5 and all(r.handwritten and r.score is None for r in only)
     assert handwritten.not_handwritten(files.limit(0), contents).count() == 0
+
+
+# The interpreter's own parser says which of these are valid.
+SNIPPETS = ['f"{"a"}"\n','f"{1 +}"\n','def f(a=1, b): pass\n','f(a=1, 2)\n','(a, b) += 1\n','if x:\n\ty\n        z\n','if x:\n        y\n\tz\n','f"{x!r:>{w}}"\n',"f'{a:{b}.{c}}' f'' 'x'\n",'f"{x=}"\n','f"{x = !r:^20}"\n','f"{{}}"\n','f"{{{x}}}"\n','f"}"\n','f"{}"\n','f"{x"\n','f"""\n{x\n}\n"""\n','f"{f"{f"{1}"}"}"\n','x = f"{a[\'b\']}" + f\'{d["k"]:>{n}}\'\n','f"{lambda x: 1}"\n','f"{(lambda x: 1)}"\n','f"{x:=5}"\n','f"{a != b}"\n','f"{a!x}"\n','f"{yield}"\n','f"{*a, b}"\n','rf"\\{x}\\d"\n','fr"{x}\\""\n','f(*a, b)\n','f(**k, *a)\n','f(**k, a=1)\n','f(**k, 1)\n','f(x for x in y)\n','f(x for x in y, 1)\n','def f(*, a): pass\n','def f(*): pass\n','def f(a, /, b=1, *c, d, **e): pass\n','def f(a=1, /, b=2): pass\n','def f(**k, a): pass\n','lambda a=1, b: 0\n','lambda *a, b, **c: 0\n','a.b += 1\n','a[1] += 1\n','(a) += 1\n','[a] += 1\n','f() += 1\n','class A(B, metaclass=M, **k): pass\n','print(f"{x:{"a"}}")\n','f"{x:%H:%M}"\n','f"{d[\'a:b\']}"\n','f"{x:}"\n','f"\\N{EM DASH}"\n','f"{x}" "{" f"{y}"\n','def f(a, b=1, c): pass\n','if x:\n\tif y:\n\t\tz\n\tw\n', 'bf"x"\n','x = 1 if f"{a}" else 2\n', "f'a\n'\n", 'f"{a:{b:{c}}}"\n','f"{a:{b!r}}"\n', "print(f'{', '.join(a)}')\n"]
+SCRIPTS = [("x = `x ${ `y` } z`;\n",True),("if (ok) /re/.test(y);\n",True),("`${ 1 + }`\n",False),("let let = 1\n",False),("`a ${ {b: `c ${d}`}.b } e` + 1\n",True),("`${a} ${b}`\n",True),("`${a ${b}`\n",False),("`${}`\n",False),("while (x) /a\\/b/g.exec(s)\n",True),("(a) / b / c\n",True),("f(x) / 2\n",True),("`a\n${b}\nc`\nd()\n",True),("x = `a${b\n",False),("tag`x ${y}`\n",True),("const let = 1\n",False),("a.let = 1; b = {let: 1, static: 2}\n",True),("class A { static static() {} static x = 1; let() {} }\n",True),("x = y /* a */ / 2\n",True), ("`${ a => { return `b` } }`\n",True),("for (let i of `${x}`) {}\n",True)]
+
+
+@pytest.mark.parametrize("text", SNIPPETS)
+def test_python_snippets(text):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(text)
+            valid = True
+        except SyntaxError:
+            valid = False
+    assert (syntax.checker("python").error_line(text) == 0) == valid
+
+
+@pytest.mark.parametrize(("text", "valid"), [*SCRIPTS, ("const re =\n  /a\\/b/i\n", True), ("f(\n   /x/, 2)\n", True), ("x = a\n  / b\n", True)])
+@pytest.mark.parametrize("language", ["javascript", "typescript"])
+def test_script_snippets(text, valid, language):
+    assert (syntax.checker(language).error_line(text) == 0) == valid
+
+
+def test_typescript_templates_and_optional_parameters():
+    assert syntax.checker("typescript").error_line("type A = `a${B | 'x'}c${number}`\nclass C { constructor(readonly a?: string, b?: T) {} }\n") == 0
+
+
+def test_the_standard_library_is_valid():
+    folder = os.path.dirname(ast.__file__)
+    for name in sorted(os.listdir(folder))[:120]:
+        if name.endswith(".py"):
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                assert syntax.checker("python").error_line(f.read()) == 0, name
