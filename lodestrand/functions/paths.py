@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Path rules of the index tiers.
 EXCLUDED_DIRS = (
-    "node_modules/", ".git/", ".mcp-indexer/", "dist/", "build/", ".next/", ".nuxt/", ".turbo/", ".parcel-cache/", ".cache/", "coverage/", "__pycache__/", ".pytest_cache/", ".mypy_cache/", ".tox/",
+    "node_modules/", ".git/", "dist/", "build/", ".next/", ".nuxt/", ".turbo/", ".parcel-cache/", ".cache/", "coverage/", "__pycache__/", ".pytest_cache/", ".mypy_cache/", ".tox/",
     "target/", "vendor/", "venv/", ".venv/", ".idea/", ".vscode/", "storybook-static/", ".serverless/", "obj/", ".vs/", ".angular/", ".gradle/",
 )
 LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "composer.lock", "Cargo.lock", "Gemfile.lock", "poetry.lock", "go.sum", "mix.lock")
@@ -20,9 +20,10 @@ CORE = r"/(server|router|routes|api|controllers?|services?|models?|stores?|provi
 OVERSIZED, PROMOTED_FROM = 1_000_000, 4
 # Extension to language id.
 LANGUAGES = {
-    "typescript": "ts cts mts tsx", "javascript": "js cjs mjs jsx", "json": "json", "markdown": "md markdown", "css": "css", "scss": "scss", "less": "less", "html": "html htm", "vue": "vue", "svelte": "svelte",
-    "xml": "xml", "yaml": "yaml yml", "toml": "toml", "python": "py", "ruby": "rb", "php": "php", "go": "go", "rust": "rs", "java": "java", "kotlin": "kt kts", "swift": "swift", "csharp": "cs", "cpp": "cpp cc cxx hpp",
-    "c": "c h", "lua": "lua", "dart": "dart", "scala": "scala", "sql": "sql", "shell": "sh bash", "powershell": "ps1", "dockerfile": "dockerfile",
+    "typescript": ("ts", "cts", "mts", "tsx",), "javascript": ("js", "cjs", "mjs", "jsx",), "json": ("json",), "markdown": ("md", "markdown",), "css": ("css",), "scss": ("scss",), "less": ("less",),
+    "html": ("html", "htm",), "vue": ("vue",), "svelte": ("svelte",), "xml": ("xml",), "yaml": ("yaml", "yml",), "toml": ("toml",), "python": ("py",), "ruby": ("rb",), "php": ("php",), "go": ("go",),
+    "rust": ("rs",), "java": ("java",), "kotlin": ("kt", "kts",), "swift": ("swift",), "csharp": ("cs",), "cpp": ("cpp", "cc", "cxx", "hpp",), "c": ("c", "h",), "lua": ("lua",), "dart": ("dart",),
+    "scala": ("scala",), "sql": ("sql",), "shell": ("sh", "bash",), "powershell": ("ps1",), "dockerfile": ("dockerfile",),
 }
 # File name conventions and the role they tell.
 ROLES = (
@@ -95,7 +96,7 @@ def language_id(path: Column) -> Column:
     base, ext = F.lower(basename(path)), extension(path)
     out = F.when(base == "dockerfile", "dockerfile")
     for language, names in LANGUAGES.items():
-        out = out.when(ext.isin(*names.split()), language)
+        out = out.when(ext.isin(*names), language)
     return out.otherwise("plaintext")
 
 

@@ -44,3 +44,11 @@ def recent_file(rec: Column, matched: Column, edited: Column) -> Column:
 def action_score(actions: Column, weights: dict[str, float] | None = None) -> Column:
     """Weighted sum over a map of action to probability; absent actions count 0."""
     return sum((F.coalesce(F.element_at(actions, a), F.lit(0.0)) * w for a, w in (weights or ACTIONS).items()), F.lit(0.0))
+
+
+def share_of_terms(words: Column, terms: list[str]) -> Column:
+    """The share of terms among words; null words hold none, and without terms the share is 0."""
+    if not terms:
+        return F.lit(0.0)
+    held = F.size(F.array_intersect(F.coalesce(words, F.array().cast("array<string>")), F.array(*map(F.lit, terms))))
+    return held / F.lit(float(len(terms)))

@@ -22,6 +22,7 @@ from lodestrand.functions.texts import CLOCK_PREFIX, TIME_PREFIX
 LEAST_ROWS, MOST_ROWS, ANCHORS, RESERVE, JSON_SHARE, QUERY_CHARS = 8, 50_000, 3, 200, 0.8, 4000
 GREP_PER_FILE, STATUS_PER_GROUP, LISTED, TOP_EXTENSIONS = 8, 5, 20, 10
 
+# Patterns of what tools print.
 _STAMP = re.compile(TIME_PREFIX)
 _CLOCK = re.compile(CLOCK_PREFIX)
 _GREP = re.compile(r"([^\s:]+(?:\.[a-zA-Z0-9]+)?):(\d+):")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,20 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def _pieces(query: Column) -> Column:
+    return F.filter(F.split(F.replace(query, F.lit('"'), F.lit("")), r"\s+"), lambda p: (p != "") & ~p.isin(*OPERATORS))
+
+
+def title_terms(query: Column) -> Column:
+    """query_terms as a column, for tables of queries."""
+    return F.array_distinct(words(F.array_join(_pieces(query), " ")))
+
+
+def title_match(query: Column, connector: str = "AND") -> Column:
+    """match_expression as a column."""
+    return F.array_join(F.transform(_pieces(query), lambda p: F.concat(F.lit('"'), p, F.lit('"'))), f" {connector} ")
+
+
 def match_expression(query: str, connector: str = "AND") -> str:
     """Quoted phrases joined by the connector; empty without tokens."""
     pieces = [p.replace('"', "") for p in query.split()]
@@ -71,15 +87,15 @@ def grep_tokens(pattern: str, literal: bool) -> list[str]:
 def grep(docs: DataFrame, ident: str, text: str, pattern: str, literal: bool = False, case_sensitive: bool = True, limit: int | None = None) -> DataFrame:
     """(id, line_no, line): matching lines, trimmed to 200 characters, documents that hold more of the pattern's words first.
 
-    An invalid pattern is taken literally. Lines are split after the row filter, so only documents that
+    A pattern that the engine can't compile is taken literally. Lines are split after the row filter, so only documents that
     match at all are exploded.
     """
     if not literal:
         try:
-            re.compile(pattern)
-        except re.error:
+            docs.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+        except (Py4JJavaError, IllegalArgumentException):
             literal = True
-    java = re.escape(pattern) if literal else pattern
+    java = "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E" if literal else pattern
     java = java if case_sensitive else f"(?i){java}"
     tokens = grep_tokens(pattern, literal)
     body = F.lower(text)

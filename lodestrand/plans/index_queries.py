@@ -22,7 +22,7 @@ _LOCKS = ", ".join(f"'{x}'" for x in paths.LOCKFILES)
 _GONE = f"({_BASE} in ({_LOCKS}) or regexp_matches({_P}, '{_SUFFIX}') or regexp_matches({_P}, '{_DIRS}') or regexp_matches({_P}, '{paths.MADE_DIRS}'))"
 _TIER = f"case when {_GONE} or size > {paths.OVERSIZED} then 'excluded' when regexp_matches({_P}, '{paths.ON_DEMAND}') then 'on_demand' when regexp_matches({_P}, '{paths.CORE}') then 'core' else 'support' end"
 _EXT = rf"regexp_extract({_BASE}, '\.([^.]*)$', 1)"
-_LANG = f"case when {_BASE} = 'dockerfile' then 'dockerfile' " + " ".join("when {} in ({}) then '{}'".format(_EXT, ", ".join(f"'{x}'" for x in names.split()), lang) for lang, names in paths.LANGUAGES.items()) + " else 'plaintext' end"
+_LANG = f"case when {_BASE} = 'dockerfile' then 'dockerfile' " + " ".join("when {} in ({}) then '{}'".format(_EXT, ", ".join(f"'{x}'" for x in names), lang) for lang, names in paths.LANGUAGES.items()) + " else 'plaintext' end"
 _ROLE = "case " + " ".join(f"when regexp_matches({_BASE}, '{p}') then '{r}'" for p, r in paths.ROLES) + r" when regexp_matches(path, '(^|/)[A-Z][^/]*\.[jt]sx$') then 'React component' end"
 _LAYER = "case when layer in ('" + "', '".join(n for n, *_ in paths.LAYERS) + "') then layer " + " ".join(
     f"when regexp_matches({_BASE}, '{b}') or regexp_matches({_P}, '{p}')" + (" or role in ('" + "', '".join(roles) + "')" if roles else "") + f" then '{n}'" for n, b, p, roles in paths.LAYERS

@@ -53,14 +53,18 @@ def fallback_or(t):
     return search.bm25(t.snapshots, "id", F.concat_ws(" ", "title", "content"), "heartbeat nosuchwordhere", "auto", 20).select("id", "hits", "rank")
 
 
-@q("query_terms__F1t", "select 'a' as x from (select 1) where false union all select unnest(['parse', 'id', 'param'])")
+# Titles of notes are taken as queries: each is cut into its terms, made a match expression and planned.
+_PIECES = r"list_filter(string_split_regex(replace(title, chr(34), ''), '\s+'), lambda p: p <> '' and p not in ('AND', 'OR', 'NOT', 'NEAR'))"
+
+
+@q("query_terms__F1t", rf"select id, unnest(list_distinct(regexp_extract_all(lower(array_to_string({_PIECES}, ' ')), '[\p{{L}}\p{{N}}]+'))) as term from snapshots where title is not null")
 def query_terms(t):
-    return t.spark.createDataFrame([(w,) for w in search.query_terms('parse AND "id param" parse')], "x string")
+    return t.snapshots.where("title is not null").select("id", F.explode(search.title_terms(F.col("title"))).alias("term"))
 
 
-@q("match_expressions__F2t", """select 'AND' as c, '"parse" AND "id"' as m union all select 'OR', '"parse" OR "id"'""")
+@q("match_expressions__F2t", rf"select id, array_to_string(list_transform({_PIECES}, lambda p: chr(34) || p || chr(34)), ' AND ') as strict, array_to_string(list_transform({_PIECES}, lambda p: chr(34) || p || chr(34)), ' OR ') as loose from snapshots where title is not null")
 def match_expressions(t):
-    return t.spark.createDataFrame([(c, search.match_expression('parse "id" NOT', c)) for c in ("AND", "OR")], "c string, m string")
+    return t.snapshots.where("title is not null").select("id", *(search.title_match(F.col("title"), c).alias(n) for c, n in (("AND", "strict"), ("OR", "loose"))))
 
 
 @q("tokens__F3t", r"select doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as n, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as terms from documents")
@@ -85,9 +89,11 @@ def topped_up(t):
     return search.topped_up(first, more.withColumn("rank", F.row_number().over(Window.orderBy("id"))), 30)
 
 
-@q("grep_tokens__F9t", "select unnest(['foo', 'bar', 'baz']) as token")
+@q("grep_tokens__F9t", "select distinct name, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9_]+', '_', 'g'), '_'), lambda p: length(p) >= 3))) as tokens from symbols where name is not null")
 def grep_tokens(t):
-    return t.spark.createDataFrame([(w,) for w in search.grep_tokens(r"foo_bar\w+Baz", False)], "token string")
+    """The words that a search for each symbol's name surely needs."""
+    pieces = F.split(F.regexp_replace(F.lower("name"), "[^a-z0-9_]+", "_"), "_")
+    return t.symbols.where("name is not null").select("name", F.array_sort(F.array_distinct(F.filter(pieces, lambda p: F.length(p) >= 3))).alias("tokens")).distinct()
 
 
 @q("prefix_terms__F10t", r"select file_id, count(*) as n from (select file_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) as w from file_contents) where starts_with(w, 'throttle') group by 1")
@@ -226,29 +232,51 @@ def near_duplicates(t):
     return pairs.near_duplicate_vectors(t.embeddings, "vec_id", "embedding", _PLANES, 0.5)
 
 
-@q("semantic_neighbours__V13", f"select vec_id, round(list_distance({_E}, {_ASK}), 6) as distance from embeddings where vec_id <> 7 order by list_distance({_E}, {_ASK}), vec_id limit 5")
-def semantic_neighbours(t):
-    d = vectors.l2(F.col("embedding"), F.col("asked"))
-    top = _pairs_with(t, 7).where("vec_id <> 7").select("vec_id", d.alias("d")).orderBy("d", "vec_id").limit(5)
-    return top.select("vec_id", F.round("d", 6).alias("distance"))
+_KINDS = """v as (select type, try_cast(ref_id as bigint) as ref, min(vid) as vid from vectors where type in ('symbol_body', 'symbol') and len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: isnan(x)), true) and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 and try_cast(ref_id as bigint) is not null group by 1, 2),
+w as (select distinct v.type, ref, list_transform(embedding, lambda x: cast(x as double)) as e from v join vectors using (vid) where vectors.embedding is not null),
+one as (select type, ref, min(e) as e from w group by 1, 2),
+asked as (select ref, case when bool_or(type = 'symbol_body') then 'symbol_body' else 'symbol' end as type from one where ref % 50 = 0 group by 1)"""
 
 
-@q("variants_fused__V14", "with lists as (" + " union all ".join(
-    f"select {n} as s, vec_id, row_number() over (order by list_distance({_E}, (select list_transform(embedding, lambda x: cast(x as double)) from embeddings where vec_id = {i})), vec_id) as rank from embeddings qualify rank <= 20" for n, i in enumerate((3, 7, 11)))
-   + ") select vec_id, round(sum(1.0 / (60 + rank)), 9) as score from lists group by 1")
+@q("semantic_neighbours__V13", f"with {_KINDS} select a.ref as asked, o.ref as neighbour, a.type, round(list_distance(o.e, s.e), 6) as distance from asked a join one s on s.ref = a.ref and s.type = a.type join one o on o.type = a.type and o.ref <> a.ref qualify row_number() over (partition by a.ref order by list_distance(o.e, s.e), o.ref) <= 5")
+def semantic_neighbours(t):
+    """The 5 symbols most like each whose id is divisible by 50: by bodies where it has one, else by signatures; itself dropped."""
+    fine = F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: ~F.isnan(x)) & (F.size("embedding") == 64)
+    rows = t.vectors.where(F.col("type").isin("symbol_body", "symbol")).where(fine).select("type", F.expr("try_cast(ref_id as bigint)").alias("ref"), "vid", "embedding").where("ref is not null")
+    one = rows.groupBy("type", "ref").agg(F.min(F.struct("vid", "embedding")).alias("m")).select("type", "ref", F.col("m.embedding").alias("embedding"))
+    bodies, signatures = one.where("type = 'symbol_body'"), one.where("type = 'symbol'")
+    stated = lambda df: df.where("ref % 50 = 0")
+    found = None
+    for kind, held, asked in (("symbol_body", bodies, stated(bodies)), ("symbol", signatures, stated(signatures).join(bodies.select("ref"), "ref", "left_anti"))):
+        near = knn.nearest_rows(held, asked, "ref", "embedding", 6).where("asked <> id").select("asked", F.col("id").alias("neighbour"), F.lit(kind).alias("type"), "distance")
+        found = near if found is None else found.union(near)
+    best = Window.partitionBy("asked").orderBy("distance", "neighbour")
+    return found.withColumn("_at", F.row_number().over(best)).where("_at <= 5").select("asked", "neighbour", "type", F.round("distance", 6).alias("distance"))
+
+
+@q("variants_fused__V14", f"""with e as (select vec_id, {_E} as v from embeddings), a as (select x.vec_id as query, d as variant, y.v as w from e x, (values (0), (1), (2)) n(d), e y where x.vec_id % 50 = 0 and y.vec_id = x.vec_id + d),
+lists as (select query, variant, e.vec_id, row_number() over (partition by query, variant order by list_distance(v, w), e.vec_id) as rank from a, e qualify rank <= 20)
+select query, vec_id, round(sum(1.0 / (60 + rank)), 9) as score from lists group by 1, 2""")
 def variants_fused(t):
-    """Nearest vectors of three query variants, fused by reciprocal ranks."""
-    lists = None
-    for n, ident in enumerate((3, 7, 11)):
-        top = _pairs_with(t, ident).select("vec_id", vectors.l2(F.col("embedding"), F.col("asked")).alias("d")).orderBy("d", "vec_id").limit(20)
-        ranked = top.select(F.lit(n).alias("source_ord"), F.col("vec_id").alias("candidate"), F.row_number().over(Window.orderBy("d", "vec_id")).alias("rank"))
-        lists = ranked if lists is None else lists.union(ranked)
-    return fusion.rrf(lists).select(F.col("candidate").alias("vec_id"), F.round("score", 9).alias("score"))
+    """For every query, a vector whose id is divisible by 50: nearest vectors of three variants, it and the two after it, fused by reciprocal ranks."""
+    asked = t.embeddings.where("vec_id % 50 in (0, 1, 2)")
+    near = knn.nearest_rows(t.embeddings, asked, "vec_id", "embedding", 20).select((F.col("asked") - F.col("asked") % 50).alias("query"), (F.col("asked") % 50).cast("int").alias("source_ord"), F.col("id").alias("candidate"), "rank")
+    return fusion.rrf(near, by="query").select("query", F.col("candidate").alias("vec_id"), F.round("score", 9).alias("score"))
+
 
+_TOPIC = r"trim(regexp_replace(trim(regexp_replace(trim(title), '^(how\s+(?:does|do|is|are|can|to)|what\s+(?:is|does|are)|where\s+(?:is|does|are)|why\s+(?:is|does|are))\s+', '', 'i')), '\?+$', ''))"
 
-@q("query_variants__V15", "select unnest(['how does output capping work?', 'implementation of output capping work', 'function class output capping work']) as variant")
+
+@q("query_variants__V15", rf"""with q as (select id, trim(title) as title, {_TOPIC} as topic from snapshots where title is not null)
+select distinct id, unnest(case when topic in ('', title) then [title, title || ' implementation'] else [title, 'implementation of ' || topic, 'function class ' || topic] end) as variant from q""")
 def query_variants(t):
-    return t.spark.createDataFrame([(v,) for v in planner.variants("how does output capping work?")], "variant string")
+    """The variants of each note's title, taken as a query."""
+
+    @F.pandas_udf("array<string>")
+    def made(batch: pd.Series) -> pd.Series:
+        return batch.map(planner.variants)
+
+    return t.snapshots.where("title is not null").select("id", F.explode(made("title")).alias("variant")).distinct()
 
 
 # ---- fusion and scores
@@ -281,10 +309,18 @@ def rrf_by_project(t):
     return fusion.rrf(lists, by="project_id").select("project_id", F.col("candidate").alias("id"), F.round("score", 9).alias("score"))
 
 
-@q("plans__R3", "select * from (values ('', 'fts', 'empty query'), ('parseIdParam', 'fts', 'identifier-shaped query'), ('Foo::bar', 'fts', 'identifier-shaped query'), ('how does capping work', 'hybrid', 'question phrasing'), ('output capping', 'fts', 'short code-shaped tokens'), ('list of the users in db table', 'hybrid', 'natural-language query'), ('one two three four five', 'fts', 'short mixed query')) v(query, mode, reason)")
+_WORDS_OF = r"list_filter(string_split_regex(trim(title), '\s+'), lambda w: w <> '')"
+_PLANS = rf"""with q as (select id, trim(title) as s, {_WORDS_OF} as w from snapshots where title is not null)
+select id, case when s = '' then 'empty query' when regexp_full_match(s, '[A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)*|[A-Za-z_$][\w$]*::[A-Za-z_$][\w$]*') then 'identifier-shaped query'
+when regexp_matches(s, '\?$|^(how|why|what|where|when|which|como|por\s*que|onde|quando|qual)\b', 'i') then 'question phrasing'
+when len(w) <= 4 and len(list_filter(w, lambda x: not regexp_full_match(x, '[A-Za-z_$][\w$.-]*'))) = 0 then 'short code-shaped tokens'
+when len(list_filter(w, lambda x: lower(x) in ({", ".join(f"'{x}'" for x in planner.STOPWORDS)}))) >= 2 or len(w) > 6 then 'natural-language query' else 'short mixed query' end as reason from q"""
+
+
+@q("plans__R3", f"select id, reason, case when reason in ('question phrasing', 'natural-language query') then 'hybrid' else 'fts' end as mode from ({_PLANS})")
 def plans(t):
-    asked = ("", "parseIdParam", "Foo::bar", "how does capping work", "output capping", "list of the users in db table", "one two three four five")
-    return t.spark.createDataFrame([(x, *planner.plan(x)) for x in asked], "query string, mode string, reason string")
+    """The retrieval mode of each note's title, taken as a query."""
+    return t.snapshots.where("title is not null").select("id", planner.planned(F.col("title")).alias("p")).select("id", "p.mode", "p.reason")
 
 
 @q("weighted_sums__R7", "select id, round(case when c < 0 then (c + 1) / 3.5 else c + 1 end, 9) as score from (select id, coalesce(importance, 0) * 2 + case when archived_at is null then 0.0 else -1.0 end + 0.5 * len(tags) as c from snapshots)")
@@ -305,25 +341,27 @@ def frequency(t):
     return t.projects.select("id").join(seen, "id", "left").select("id", F.round(scores.frequency(F.col("n")), 6).alias("boost"))
 
 
-@q("cached_scores__R10", "select id, length(summary) as score, embedding_hash is not null as hit from files where summary is not null")
+_SHARE = r"len(list_filter(['throttle', 'queue', 'planner'], lambda x: list_contains(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), x))) / 3.0"
+
+
+@q("cached_scores__R10", rf"select id, round({_SHARE.format('summary')}, 6) as score, coalesce(semantic_hash = content_hash, false) as hit from files where summary is not null")
 def cached_scores(t):
-    """Scores kept for files already embedded, computed for the misses only."""
-    rows = t.files.where("summary is not null").select("id", "summary", "embedding_hash")
-    cache = rows.where("embedding_hash is not null").select("id", F.length("summary").alias("cached"))
-    return rows.join(cache, "id", "left").select("id", F.coalesce("cached", F.length("summary")).alias("score"), F.col("cached").isNotNull().alias("hit"))
+    """Scores of a query and file kept under the file's hash: files whose kept hash still holds are read from the cache, the rest are scored."""
+    share = lambda c: F.round(scores.share_of_terms(texts.words(c), search.query_terms(TOPIC)), 6)
+    rows = t.files.where("summary is not null").select("id", "summary", F.col("content_hash").alias("state"))
+    cache = t.files.where("summary is not null and semantic_hash is not null").select("id", F.col("semantic_hash").alias("state"), share(F.col("summary")).alias("cached"))
+    found = rows.join(cache, ["id", "state"], "left")
+    return found.select("id", F.coalesce("cached", share(F.col("summary"))).alias("score"), F.col("cached").isNotNull().alias("hit"))
 
 
-@q("reranked__R13")
-def reranked(t):
-    """BM25 hits rescored by an Arrow-batched scorer, here the share of query words in the whole text; ties keep the order."""
+_RERANK = "with" + bm25_sql("documents", "doc_id", "text", TOPIC, "or", 40)
 
-    @F.pandas_udf("double")
-    def overlap(batch: pd.Series) -> pd.Series:
-        asked = set(search.query_terms(TOPIC))
-        return batch.map(lambda x: len(asked & set(search.query_terms(x or ""))) / len(asked))
 
+@q("reranked__R13", _RERANK + f" select r.id, round({_SHARE.format('text')}, 6) as relevance, rank from ranked r join documents on doc_id = r.id order by {_SHARE.format('text')} desc, rank limit 10")
+def reranked(t):
+    """BM25 hits rescored, here by the share of query words in the whole text; ties keep the order."""
     hits = search.bm25(t.documents, "doc_id", F.col("text"), TOPIC, "or", 40, carried=["text"])
-    scored = hits.withColumn("relevance", overlap("text")).orderBy(F.desc("relevance"), "rank").limit(10)
+    scored = hits.withColumn("relevance", scores.share_of_terms(texts.words(F.col("text")), search.query_terms(TOPIC))).orderBy(F.desc("relevance"), "rank").limit(10)
     return scored.select("id", F.round("relevance", 6).alias("relevance"), "rank")
 
 

@@ -126,13 +126,35 @@ def hash_embedding(text: str, dim: int = 64) -> np.ndarray:
     return out / length if length else out
 
 
-def embedded(df: DataFrame, text: str, dim: int = 64, model: Callable[[str], np.ndarray] | None = None) -> DataFrame:
-    """df with embedding, by Arrow batches; model is made for one text and lives in the worker."""
-    make = model or (lambda t: hash_embedding(t, dim))
+# What some models want before stored texts and before queries; texts embedded in one call; tries of a call.
+PASSAGE, QUERY, BATCH, TRIES = "passage: ", "query: ", 32, 3
+
+
+def in_batches(texts: list[str], model: Callable[[list[str]], list], size: int = BATCH, tries: int = TRIES) -> list:
+    """A model's vectors for texts, size at a time. A call that fails is tried again, then halved; a single text that still fails raises."""
+    out: list = []
+    for at in range(0, len(texts), size):
+        part = texts[at : at + size]
+        for left in reversed(range(tries)):
+            try:
+                out += model(part)
+                break
+            except Exception:
+                if left:
+                    continue
+                if len(part) == 1:
+                    raise
+                out += in_batches(part, model, -(-len(part) // 2), tries)
+    return out
+
+
+def embedded(df: DataFrame, text: str, dim: int = 64, model: Callable[[list[str]], list] | None = None, prefix: str = "") -> DataFrame:
+    """df with embedding, by Arrow batches; model embeds a list of texts, each after prefix, and lives in the worker."""
+    make = model or (lambda part: [hash_embedding(t, dim) for t in part])
 
     @F.pandas_udf("array<float>")
     def embed(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: make(t or "").tolist())
+        return pd.Series([np.asarray(v, np.float32).tolist() for v in in_batches([prefix + (t or "") for t in batch], make)], index=batch.index, dtype=object)
 
     return df.withColumn("embedding", embed(F.col(text)))
 

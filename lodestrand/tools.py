@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.functions import paths
-from lodestrand.operators import fusion, graph, search
-from lodestrand.operators.planner import plan, variants
+from lodestrand.functions import paths, vectors
+from lodestrand.operators import fusion, graph, planner, search
 from lodestrand.plans.registry import Tables
-from lodestrand.sources import skeleton
+from lodestrand.sources import skeleton, stores
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {}
-CORE = frozenset("list_projects get_project_stats search search_by_kind grep_code get_file_structure read_file list_directory get_dependencies get_dependents find_references get_symbol_details get_repo_map".split())
+CORE = ("list_projects", "get_project_stats", "search", "search_by_kind", "grep_code", "get_file_structure", "read_file", "list_directory", "get_dependencies", "get_dependents", "find_references", "get_symbol_details", "get_repo_map")
 
 
 def tool(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -80,16 +79,45 @@ def _stream(t, query: str, kind: str, project: int | None, limit: int, language:
     return search.bm25(t.file_contents, "file_id", F.col("content"), query, "auto", limit, keep=scope).select("id", "rank")
 
 
+MODES = ("auto", "fts", "vector", "hybrid")
+
+
+def _vector_stream(t, query: str, project: int | None, limit: int, embed: Callable[[str], list[float]] | None = None) -> DataFrame:
+    """The files and symbols whose vectors are nearest to the query's; a file or symbol with several vectors counts by its nearest."""
+    asked = F.array(*(F.lit(float(x)) for x in (embed or stores.hash_embedding)(query)))
+    kind = F.when(F.col("type").startswith("symbol"), "symbol:").when(F.col("type").startswith("file"), "file:")
+    rows = t.vectors.where(F.size("embedding") == F.size(asked)).where(F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: ~F.isnan(x)))
+    if project is not None:
+        rows = rows.join(t.projects.where(F.col("id") == project).select(F.col("name").alias("project_name")), "project_name", "left_semi")
+    near = rows.select(F.concat(kind, "ref_id").alias("candidate"), vectors.l2(F.col("embedding"), asked).alias("d")).where("candidate is not null and not isnan(d)")
+    top = near.groupBy("candidate").agg(F.min("d").alias("d")).orderBy("d", "candidate").limit(limit)
+    return top.select("candidate", F.row_number().over(Window.orderBy("d", "candidate")).alias("rank"))
+
+
 @tool
-def search_(t, query: str, project: int | None = None, mode: str = "auto", limit: int = 20, language: str | None = None):
-    """Ranked hits of files, symbols and contents; the planner picks fts or hybrid, which fuses the streams of all query variants."""
-    chosen = plan(query)[0] if mode == "auto" else mode
-    asked = variants(query) if chosen == "hybrid" else [query]
+def search_(t, query: str, project: int | None = None, mode: str = "auto", limit: int = 20, language: str | None = None, embed: Callable[[str], list[float]] | None = None, imagine: Callable[[str], str] | None = None):
+    """Ranked hits of files, symbols and contents: fts fuses word streams, vector the nearest vectors, hybrid both, each for all variants of the query; auto lets the planner choose.
+
+    embed makes the query's vector, of the stored vectors' dimension. imagine writes an answer that is
+    embedded beside the query.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode}")
+    chosen = planner.plan(query)[0] if mode == "auto" else mode
+    asked = [query] if chosen == "fts" else planner.variants(query)
+    streams = []
+    for one in asked:
+        if chosen != "vector":
+            streams += [_stream(t, one, kind, project, 3 * limit, language).select(F.concat(F.lit("symbol:" if kind == "symbols" else "file:"), "id").alias("candidate"), "rank") for kind in ("files", "symbols", "contents")]
+        if chosen != "fts":
+            streams.append(_vector_stream(t, one, project, 3 * limit, embed))
+    imagined = planner.hypothetical(query, imagine) if chosen != "fts" else None
+    if imagined:
+        streams.append(_vector_stream(t, imagined, project, 3 * limit, embed))
     lists = None
-    for n, one in enumerate(asked):
-        for m, kind in enumerate(("files", "symbols", "contents")):
-            part = _stream(t, one, kind, project, 3 * limit, language).select(F.lit(3 * n + m).alias("source_ord"), F.concat(F.lit("symbol:" if kind == "symbols" else "file:"), "id").alias("candidate"), "rank")
-            lists = part if lists is None else lists.union(part)
+    for n, stream in enumerate(streams):
+        part = stream.select(F.lit(n).alias("source_ord"), "candidate", "rank")
+        lists = part if lists is None else lists.union(part)
     return fusion.rrf(lists, limit=limit).orderBy("rank")
 
 

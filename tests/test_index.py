@@ -214,3 +214,21 @@ def test_locks_by_key():
     for t in threads:
         t.join()
     assert sorted(seen) == list(range(8)) and len(locks) == 0
+
+
+def test_embedding_calls_are_batched_and_retried():
+    sizes, failed = [], []
+
+    def model(texts):
+        sizes.append(len(texts))
+        if len(texts) > 4:
+            raise ValueError("too long")
+        if "flaky" in texts and not failed:
+            failed.append(1)
+            raise OSError
+        return [[float(len(t))] for t in texts]
+
+    texts = ["a" * k for k in range(1, 11)] + ["flaky"]
+    assert stores.in_batches(texts, model, 8) == [[float(len(t))] for t in texts] and failed and max(sizes) == 8
+    with pytest.raises(ZeroDivisionError):
+        stores.in_batches(["x"], lambda t: 1 / 0)
