@@ -112,11 +112,6 @@ def split_parity(t):
     return both.groupBy("project_id").agg(F.sum("f").alias("files"), F.sum("c").alias("contents")).withColumn("equal", F.col("files") == F.col("contents"))
 
 
-@q("missing_postings__S24", "select id from files where id not in (select file_id from file_contents where content is not null)")
-def missing_postings(t):
-    return t.files.select("id").join(t.file_contents.where("content is not null").select(F.col("file_id").alias("id")), "id", "left_anti")
-
-
 @q("point_lookup__P1", "select id, path, language, size from files where id = 42")
 def point_lookup(t):
     return t.files.where("id = 42").select("id", "path", "language", "size")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import scores, texts, vectors
 from lodestrand.operators import fusion, knn, pairs, planner, search
 from lodestrand.operators.pipeline import CandidatePipeline, DedupFilter, FixedSource, ScoreColumn, TopKSelector
+from lodestrand.operators.postings import index_of
 from lodestrand.plans.registry import Registry
 
 R = Registry()
@@ -17,6 +18,10 @@ q = R.add
 QUESTION, TOPIC = "session layer", "throttle queue planner"
 
 
+def _documents(t):
+    return index_of(t.documents, "doc_id", F.col("text"), f"{t.sf_dir}/documents")
+
+
 def bm25_sql(table: str, ident: str, text: str, query: str, mode: str, limit: int | None, keep: str = "true") -> str:
     """The same BM25 over tokens in plain SQL: a common table expression named ranked (id, hits, score, rank)."""
     terms = search.query_terms(query)
@@ -35,9 +40,27 @@ ranked as (select * from (select id, hits, score, cast(row_number() over (order
 
 @q("bm25_documents__F4t", "with" + bm25_sql("documents", "doc_id", "text", QUESTION, "auto", 20) + " select id, hits, round(score, 6) as score, rank from ranked")
 def bm25_documents(t):
+    return _documents(t).search(QUESTION, "auto", 20).withColumn("score", F.round("score", 6))
+
+
+@q("bm25_scanned__F4s", "with" + bm25_sql("documents", "doc_id", "text", QUESTION, "auto", 20) + " select id, hits, round(score, 6) as score, rank from ranked")
+def bm25_scanned(t):
+    """The same without an index, by a scan."""
     return search.bm25(t.documents, "doc_id", F.col("text"), QUESTION, "auto", 20).withColumn("score", F.round("score", 6))
 
 
+@q("indexed_terms__J1", r"select term, count(distinct doc_id) as docs, count(*) as occurrences from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from documents) group by 1")
+def indexed_terms(t):
+    """What the stored index of documents holds of each term."""
+    return _documents(t).counts()
+
+
+@q("missing_postings__S24", r"select id from files where summary is null or len(regexp_extract_all(lower(summary), '[\p{L}\p{N}]+')) = 0")
+def missing_postings(t):
+    """Files without a posting in the index of summaries."""
+    return index_of(t.files, "id", F.col("summary"), f"{t.sf_dir}/summaries").unindexed(t.files, "id")
+
+
 _FILE_TEXT = "concat_ws(' ', path, summary, array_to_string(concepts, ' '))"
 
 
@@ -45,7 +68,7 @@ _FILE_TEXT = "concat_ws(' ', path, summary, array_to_string(concepts, ' '))"
 def bm25_files(t):
     """Statistics span all projects, the project filter comes before the limit."""
     text = F.concat_ws(" ", "path", "summary", F.array_join("concepts", " "))
-    return search.bm25(t.files, "id", text, "shard cache", "or", 20, keep=F.col("project_id") > 5).withColumn("score", F.round("score", 6))
+    return index_of(t.files, "id", text, f"{t.sf_dir}/files").search("shard cache", "or", 20, t.files.where("project_id > 5").select("id")).withColumn("score", F.round("score", 6))
 
 
 @q("fallback_or__F5t", "with" + bm25_sql("snapshots", "id", "concat_ws(' ', title, content)", "heartbeat nosuchwordhere", "auto", 20) + " select id, hits, rank from ranked")
@@ -291,7 +314,7 @@ select id, round(score, 9) as score, fts_rank, vec_rank, cast(row_number() over
 @q("hybrid_search__R4", _HYBRID)
 def hybrid_search(t, query: str = TOPIC, near: int = 7, limit: int = 20):
     """BM25 over documents fused with the vectors nearest to a given one; each stream is fetched three times the limit deep."""
-    text = search.bm25(t.documents, "doc_id", F.col("text"), query, "or", 3 * limit).select(F.col("id").alias("candidate"), "rank")
+    text = _documents(t).search(query, "or", 3 * limit).select(F.col("id").alias("candidate"), "rank")
     top = _pairs_with(t, near).select("vec_id", vectors.l2(F.col("embedding"), F.col("asked")).alias("d")).orderBy("d", "vec_id").limit(3 * limit)
     vec = top.select(F.col("vec_id").alias("candidate"), F.row_number().over(Window.orderBy("d", "vec_id")).alias("rank"))
     lists = text.select(F.lit(0).alias("source_ord"), "candidate", "rank").union(vec.select(F.lit(1), "candidate", "rank"))

@@ -28,19 +28,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of df by a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a session on one machine
-    (tests) uses a temporary folder, and a cluster raises: its executors share no such folder.
+    Where that is unset, a session on one machine (tests) uses a temporary folder, and a cluster
+    raises: its executors share no such folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared
+    if not (context.master or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _folders:
+        _folders[context.applicationId] = tempfile.mkdtemp(prefix="lodestrand-shared-")
+    return _folders[context.applicationId]
+
+
+_folders: dict[str, str] = {}
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of df by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not shared and not (context.master or "").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestrand-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)
 
 

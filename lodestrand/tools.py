@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import paths, vectors
-from lodestrand.operators import fusion, graph, planner, search
+from lodestrand.operators import fusion, graph, planner, postings, search
 from lodestrand.plans.registry import Tables
 from lodestrand.sources import skeleton, stores
 
@@ -69,14 +69,17 @@ def get_repo_map(t, project: int, budget: int = 2000):
 
 
 def _stream(t, query: str, kind: str, project: int | None, limit: int, language: str | None = None) -> DataFrame:
-    scope = F.lit(True) if project is None else F.col("project_id") == project
-    if kind == "files":
-        keep = scope & (F.lower("language") == language.lower() if language else F.lit(True))
-        return search.bm25(t.files, "id", F.concat_ws(" ", "path", "summary", F.array_join("concepts", " ")), query, "auto", limit, keep=keep).select("id", "rank")
-    if kind == "symbols":
-        text = F.concat_ws(" ", F.regexp_replace("name", "([a-z0-9])([A-Z])", "$1 $2"), "signature", "comment")
-        return search.bm25(t.symbols.dropDuplicates(["id"]), "id", text, query, "auto", limit, keep=scope).select("id", "rank")
-    return search.bm25(t.file_contents, "file_id", F.col("content"), query, "auto", limit, keep=scope).select("id", "rank")
+    """(id, rank) from the stored index of files, symbols or contents; project and language keep hits before the limit."""
+    rows, ident, text = {
+        "files": lambda: (t.files, "id", F.concat_ws(" ", "path", "summary", F.array_join("concepts", " "))),
+        "symbols": lambda: (t.symbols.dropDuplicates(["id"]), "id", F.concat_ws(" ", F.regexp_replace("name", "([a-z0-9])([A-Z])", "$1 $2"), "signature", "comment")),
+        "contents": lambda: (t.file_contents, "file_id", F.col("content")),
+    }[kind]()
+    kept = rows if project is None else rows.where(F.col("project_id") == project)
+    if language and kind == "files":
+        kept = kept.where(F.lower("language") == language.lower())
+    scope = kept.select(F.col(ident).alias("id")) if project is not None or language and kind == "files" else None
+    return postings.index_of(rows, ident, text, f"{t.sf_dir}/{kind}").search(query, "auto", limit, scope).select("id", "rank")
 
 
 MODES = ("auto", "fts", "vector", "hybrid")

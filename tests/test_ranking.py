@@ -227,3 +227,26 @@ def test_every_asked_vector_is_searched(spark):
     usable = {k: v for k, v in rows if v and len(v) == 8 and v[0] == v[0]}
     want = {a: sorted(usable, key=lambda k: (math.dist(usable[a], usable[k]), k))[:5] for a in usable if a % 50 == 0}
     assert got == want | {300: [300]} and len(got) == 8
+
+
+def test_postings_index(spark, tmp_path):
+    from lodestrand.operators.postings import PostingsIndex
+
+    texts = [(k, " ".join(f"w{(k * j) % 17}" for j in range(k % 9))) for k in range(60)] + [(60, None), (61, ""), (None, "w1")]
+    docs = spark.createDataFrame(texts, "id bigint, text string")
+    index = PostingsIndex.build(docs, "id", F.col("text"), str(tmp_path / "whole"))
+    same = lambda x, y: [(r.id, r.hits, round(r.score, 9), r.rank) for r in x.orderBy("rank").collect()] == [(r.id, r.hits, round(r.score, 9), r.rank) for r in y.orderBy("rank").collect()]
+    for query, mode in (("w1 w3", "auto"), ("w1 w3", "or"), ("w2 w4", "and"), ("w1 nowhere", "auto"), ("nowhere", "or"), ("w1 nowhere", "and"), ("", "auto")):
+        assert same(index.search(query, mode, 50), search.bm25(docs.where("id is not null"), "id", F.col("text"), query, mode, 50)), (query, mode)
+    scope = docs.where("id > 30").select("id")
+    assert same(index.search("w1 w3", "auto", 50, scope), search.bm25(docs.where("id is not null"), "id", F.col("text"), "w1 w3", "auto", 50, keep=F.col("id") > 30))
+    opened = index._of_terms("postings", ["w1"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in opened or "PartitionFilters: [bucket" in opened
+    part = PostingsIndex.build(docs.where("id < 20"), "id", F.col("text"), str(tmp_path / "part"))
+    assert part.repair(docs, "id", F.col("text")) == 42 and part.repair(docs, "id", F.col("text")) == 0
+    assert sorted(map(tuple, part.counts().collect())) == sorted(map(tuple, index.counts().collect())) and part.sums() == index.sums()
+    assert {r.id for r in index.unindexed(docs, "id").collect()} == {k for k, t in texts if k is not None and not t} | {None}
+    (tmp_path / "part" / "g1" / "sums" / "_SUCCESS").unlink()  # as if the repair had broken off
+    assert part.repair(docs, "id", F.col("text")) == 42 and sorted(map(tuple, part.counts().collect())) == sorted(map(tuple, index.counts().collect()))
+    empty = PostingsIndex.build(docs.limit(0), "id", F.col("text"), str(tmp_path / "empty"))
+    assert empty.search("w1").count() == 0 and empty.counts().count() == 0
