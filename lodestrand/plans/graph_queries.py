@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import paths
 from lodestrand.operators import graph, reducers
 from lodestrand.plans.registry import Registry
-from lodestrand.sources import skeleton
+from lodestrand.sources import skeleton, symbols
 
 R = Registry()
 q = R.add
@@ -191,10 +191,24 @@ def bodies(t):
     return skeleton.bodies(t.symbols, t.file_contents)
 
 
-@q("parsed_symbols__S6")
+_KNOWN = "known as (select distinct s.file_id, s.id, s.name, s.kind, s.parent, s.line, s.end_line from symbols s join file_contents c on c.file_id = s.file_id where c.supported and s.line is not null)"
+
+
+@q("parsed_symbols__S6", f"with {_KNOWN} select file_id, kind, count(*) as symbols, cast(sum(end_line - line + 1) as bigint) as lines from known group by 1, 2")
 def parsed_symbols(t):
-    """Symbols per file by the skeleton source; unsupported files keep a row with none."""
-    return skeleton.symbol_counts(t.files, t.file_contents)
+    """Symbols that the walk finds in the texts of supported files where the index has one: per file and kind, with the lines they span."""
+    known = t.symbols.select("file_id", "id", "name", "kind", "line", "end_line").distinct()
+    found = symbols.parsed(t.files, t.file_contents).select("file_id", "name", "kind", "line", "end_line").distinct()
+    both = known.join(found, ["file_id", "name", "kind", "line", "end_line"])
+    return both.groupBy("file_id", "kind").agg(F.count("*").alias("symbols"), F.sum(F.col("end_line") - F.col("line") + 1).alias("lines"))
+
+
+@q("class_members__S7", f"with {_KNOWN} select distinct file_id, parent, name, line from known where kind = 'method'")
+def parsed_members(t):
+    """Members of classes, found by walking into class bodies only, where the index has them."""
+    known = t.symbols.where("kind = 'method'").select("file_id", "parent", "name", "line").distinct()
+    found = symbols.parsed(t.files, t.file_contents).where("kind = 'method'").select("file_id", "parent", "name", "line").distinct()
+    return known.join(found, ["file_id", "parent", "name", "line"])
 
 
 @q("reduced_texts__D8")

@@ -71,11 +71,6 @@ def skeletons(files: DataFrame, contents: DataFrame) -> DataFrame:
     return _texts(files, contents).where("supported").select("file_id", "path", "content").mapInArrow(run, "file_id bigint, line int, kind string, name string")
 
 
-def symbol_counts(files: DataFrame, contents: DataFrame) -> DataFrame:
-    found = skeletons(files, contents).groupBy("file_id").agg(F.count("*").alias("symbols"))
-    return _texts(files, contents).select("file_id", "supported").join(found, "file_id", "left").select("file_id", "supported", F.coalesce("symbols", F.lit(0)).alias("symbols"))
-
-
 def bodies(symbols: DataFrame, contents: DataFrame) -> DataFrame:
     """(symbol_id, lines, hash) of function and method bodies, symbols gathered by file."""
 

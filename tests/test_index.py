@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrand.operators import graph, merge, reducers
 from lodestrand.operators.cache import KeyedLocks
 from lodestrand.operators.rolling import rolling_totals
-from lodestrand.sources import config, scan, skeleton, stores
+from lodestrand.sources import config, scan, skeleton, stores, symbols
 from lodestrand.streaming import changes
 
 
@@ -232,3 +232,27 @@ def test_embedding_calls_are_batched_and_retried():
     assert stores.in_batches(texts, model, 8) == [[float(len(t))] for t in texts] and failed and max(sizes) == 8
     with pytest.raises(ZeroDivisionError):
         stores.in_batches(["x"], lambda t: 1 / 0)
+
+
+def brief(path, text):
+    return [(s.name, s.kind, s.parent, s.line, s.end_line) for s in symbols.symbols_of(path, text)]
+
+
+def test_symbols_of_scripts():
+    text = "export class AuthService {\n  #key = 1\n  constructor(a: string) { if (a) { b() } }\n  async login(name: string) {\n    const inner = 1\n    function deep() {}\n  }\n  get x(): number { return 2 }\n}\n"
+    assert brief("a.ts", text) == [("AuthService", "class", None, 1, 9), ("constructor", "method", "AuthService", 3, 3), ("login", "method", "AuthService", 4, 7), ("x", "method", "AuthService", 8, 8)]
+    text = "// function no() {}\nconst LIMIT = {\n  a: 1,\n}\nexport const f = async (x) => {\n  return `class N {`\n}\nexport interface P { a(): void }\ntype T = { a: 1 }\nenum E { A }\nif (x) { function hidden() {} }\nexport default function g() { return /[{]/ }\n"
+    got = symbols.symbols_of("b.ts", text)
+    assert [(s.name, s.kind, s.line, s.end_line) for s in got if s.parent is None] == [("LIMIT", "constant", 2, 4), ("f", "function", 5, 7), ("P", "interface", 8, 8), ("T", "type", 9, 9), ("E", "enum", 10, 10), ("g", "function", 12, 12)]
+    assert {s.name: s.exported for s in got}["f"] and not {s.name: s.exported for s in got}["LIMIT"] and got[-1].signature == "export default function g()"
+
+
+def test_symbols_of_other_languages():
+    python = "import os\nLIMIT = [\n  1,\n]\n\n@dec\nclass A(B):\n    size: int = 3\n    def f(self,\n          x=1):\n        def inner(): pass\n        return 'class C:'\n\n    class N:\n        def g(self): pass\n\nasync def h(): pass\n"
+    assert brief("a.py", python) == [("LIMIT", "constant", None, 2, 4), ("A", "class", None, 7, 15), ("size", "constant", "A", 8, 8), ("f", "method", "A", 9, 12), ("N", "class", "A", 14, 15), ("g", "method", "N", 15, 15), ("h", "function", None, 17, 17)]
+    java = "package a;\npublic final class A<T> {\n  private static final int MAX = 3;\n  A() { }\n  @Override\n  public List<Map<String, T>> f(int[] a) throws X {\n    for (int i = 0; i < 3; i++) { g(i); }\n    return null;\n  }\n  enum K { A, B }\n  abstract int h();\n}\n"
+    assert brief("A.java", java) == [("A", "class", None, 2, 12), ("MAX", "constant", "A", 3, 3), ("A", "method", "A", 4, 4), ("f", "method", "A", 6, 9), ("K", "enum", "A", 10, 10), ("h", "method", "A", 11, 11)]
+    go = "package a\n\nconst MAX = 3\n\ntype S struct {\n\tA int\n}\n\nfunc (s *S) Get() int {\n\treturn 1\n}\n\nfunc run() { x := func() {} }\n"
+    assert brief("a.go", go) == [("MAX", "constant", None, 3, 3), ("S", "class", None, 5, 7), ("Get", "method", "S", 9, 11), ("run", "function", None, 13, 13)]
+    for path, text in (("a.py", None), ("a.md", "x"), (None, "x"), ("a.ts", ""), ("a.ts", "class A {"), ("a.py", "def f(:"), ("A.java", "class A { void f("), ("a.go", "func (")):
+        symbols.symbols_of(path, text)
