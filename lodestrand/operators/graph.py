@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.session import cut
@@ -72,13 +74,38 @@ def folded(directory: Column, relative: Column) -> Column:
     return F.array_join(stack, "/")
 
 
-def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(project_id, file_id, import_path, target_file_id): relative imports at the first candidate that exists, null where none does.
+def resolved_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(project_id, file_id, import_path, target_file_id): imports at the first candidate that exists, null where none does.
 
-    imports: project_id, file_id, directory, import_path. Candidates are exploded with their order and met by one equi-join.
+    imports: project_id, file_id, directory, import_path. Relative paths are folded against the
+    directory; other paths go through aliases (project_id, prefix, target), the longest prefix first:
+    what follows the prefix is looked for below target. Candidates are exploded with their order and met by one equi-join.
     """
-    base = F.regexp_replace(folded(F.col("directory"), F.col("import_path")), r"\.(js|mjs|cjs)$", "")
-    tried = imports.select("project_id", "file_id", "import_path", F.posexplode(F.array(*(F.concat(base, F.lit(c)) for c in CANDIDATES))).alias("priority", "path"))
+    own = imports.select("project_id", "file_id", "directory", "import_path").distinct()
+    bases = own.where(F.col("import_path").startswith(".")).select("project_id", "file_id", "import_path", folded(F.col("directory"), F.col("import_path")).alias("base"), F.lit(0).alias("way"))
+    if aliases is not None:
+        named = own.where(~F.col("import_path").startswith(".")).join(aliases, "project_id").where(F.col("import_path").startswith(F.col("prefix")))
+        rest = F.substring("import_path", F.length("prefix") + 1, F.length("import_path"))
+        bases = bases.union(named.select("project_id", "file_id", "import_path", folded(F.col("target"), rest), -F.length("prefix")))
+    bases = bases.withColumn("base", F.regexp_replace("base", r"\.(js|mjs|cjs)$", ""))
+    tried = bases.select("project_id", "file_id", "import_path", "way", F.posexplode(F.array(*(F.concat("base", F.lit(c)) for c in CANDIDATES))).alias("priority", "path"))
     known = files.select("project_id", "path", F.col("id").alias("target"))
-    hits = tried.join(known, ["project_id", "path"]).groupBy("project_id", "file_id", "import_path").agg(F.min_by("target", "priority").alias("target_file_id"))
-    return imports.select("project_id", "file_id", "import_path").distinct().join(hits, ["project_id", "file_id", "import_path"], "left")
+    hits = tried.join(known, ["project_id", "path"]).groupBy("project_id", "file_id", "import_path").agg(F.min_by("target", F.struct("way", "priority")).alias("target_file_id"))
+    return own.select("project_id", "file_id", "import_path").distinct().join(hits, ["project_id", "file_id", "import_path"], "left")
+
+
+@dataclass
+class StoredEdges:
+    """Edges (project_id, source_file_id, target_file_id) in a folder by project, so that a project's queries read its edges only and nothing is derived from texts again."""
+
+    spark: SparkSession
+    folder: str
+
+    def replace(self, edges: DataFrame) -> None:
+        """Put the edges of the projects that edges has in the place of theirs; other projects stay. Doing so again changes nothing."""
+        held = edges.select("source_file_id", "target_file_id", "project_id").distinct()
+        held.repartition(F.col("project_id"), F.pmod(F.xxhash64("source_file_id"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(self.folder)
+
+    def read(self, project: int | None = None) -> DataFrame:
+        rows = self.spark.read.schema("source_file_id bigint, target_file_id bigint, project_id bigint").parquet(self.folder).select("project_id", "source_file_id", "target_file_id")
+        return rows if project is None else rows.where(F.col("project_id") == project)

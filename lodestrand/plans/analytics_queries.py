@@ -33,9 +33,9 @@ def run_costs_left(t):
     return t.runs.select("id").join(spent, "id", "left").select("id", F.coalesce("usd", F.lit(0.0)).alias("usd"), F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
-@q("files_by_concept__J8", "select distinct f.id, f.path from files f, (select id, unnest(concepts) as c from files) x where x.id = f.id and lower(trim(x.c)) = 'export'")
+@q("files_by_concept__J8", "select distinct f.id, f.path from files f, (select id, unnest(concepts) as c from files) x where x.id = f.id and lower(trim(x.c)) = 'configuration'")
 def files_by_concept(t):
-    hit = t.files.where(F.exists("concepts", lambda c: F.lower(F.trim(c)) == "export"))
+    hit = t.files.where(F.exists("concepts", lambda c: F.lower(F.trim(c)) == "configuration"))
     return hit.select("id", "path")
 
 

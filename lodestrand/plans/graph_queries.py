@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import paths
 from lodestrand.operators import graph, reducers
 from lodestrand.plans.registry import Registry
+from lodestrand.session import shared_folder
 from lodestrand.sources import skeleton, symbols
 
 R = Registry()
@@ -28,8 +29,67 @@ def _calls(t):
     return graph.call_sites(t.file_contents, t.symbols)
 
 
+_stored: dict[tuple[str, str], graph.StoredEdges] = {}
+
+
 def _edges(t):
-    return graph.reference_edges(_calls(t), t.symbols)
+    """The stored edges of the tables, derived from the texts once a session."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _stored:
+        held = graph.StoredEdges(t.spark, f"{shared_folder(t.spark)}/edges-{key[0]}-{len(_stored)}")
+        held.replace(graph.reference_edges(_calls(t), t.symbols))
+        _stored[key] = held
+    return _stored[key].read()
+
+
+# Trade between nations, from the supplier's to the customer's, is a graph with cycles and hubs: the graph operators run on it beside the sparse one of files.
+_TRADE = """trade as (select distinct 0 as project_id, s_nationkey as source_file_id, c_nationkey as target_file_id from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
+where l_returnflag = 'R' and l_quantity >= 49 and o_orderpriority like '1%' and s_nationkey <> c_nationkey),
+fan as (select target_file_id as node, count(*) as dependents from trade group by 1)"""
+
+
+def _trade(t):
+    lines = t.lineitem.where("l_returnflag = 'R' and l_quantity >= 49").select("l_orderkey", "l_suppkey")
+    orders = t.orders.where(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    rows = lines.join(orders, "l_orderkey").join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    return rows.where("s_nationkey <> c_nationkey").select(F.lit(0).alias("project_id"), F.col("s_nationkey").alias("source_file_id"), F.col("c_nationkey").alias("target_file_id")).distinct()
+
+
+@q("trade_cycles__G3", f"with {_TRADE} select a.source_file_id as a, a.target_file_id as b from trade a join trade b on a.source_file_id = b.target_file_id and a.target_file_id = b.source_file_id where a.source_file_id < a.target_file_id")
+def trade_cycles(t):
+    return graph.two_cycles(_trade(t)).select("a", "b")
+
+
+@q("trade_hubs__G2", f"with {_TRADE} select node, n_name, dependents, dependents >= 4 as promoted from fan join nation on n_nationkey = node")
+def trade_hubs(t):
+    """Nations by how many others supply them; from four on a file would be promoted."""
+    degree = graph.indegrees(_trade(t)).select(F.col("file_id").alias("node"), "dependents")
+    tier = paths.promoted(F.lit("support"), F.col("dependents")) == "core"
+    return degree.join(t.nation.select(F.col("n_nationkey").alias("node"), "n_name"), "node").select("node", "n_name", "dependents", tier.alias("promoted"))
+
+
+@q("trade_traced__G6", f"""with recursive {_TRADE}, walk(seed, node, depth) as (select n_nationkey, n_nationkey, 0 from nation where n_regionkey = 1 union select w.seed, e.source_file_id, w.depth + 1 from walk w join trade e on e.target_file_id = w.node where w.depth < 2)
+select seed, node, cast(min(depth) as int) as depth from walk where node <> seed group by 1, 2""")
+def trade_traced(t):
+    """Nations that reach those of a region within two steps."""
+    seeds = t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("seed"))
+    return graph.reach(_trade(t), seeds, 2).where("node <> seed")
+
+
+@q("trade_expanded__R6", f"""with {_TRADE}, primary_ as (select c_nationkey as node, row_number() over (order by count(*) desc, c_nationkey) as rank from customer group by 1 qualify rank <= 6),
+near as (select p.node, rank, other from (select distinct * from (select source_file_id as node, target_file_id as other from trade union all select target_file_id, source_file_id from trade)) b join primary_ p using (node) where rank <= 5 qualify row_number() over (partition by p.node order by other) <= 10),
+found as (select other as file_id, count(*) as hits, min(rank) as best_seed from near where other not in (select node from primary_) group by 1)
+select file_id, hits, cast(best_seed as int) as best_seed, round(1.0 / (60 + row_number() over (order by hits desc, best_seed, file_id)), 9) as score from found order by hits desc, best_seed, file_id limit 20""")
+def trade_expanded(t):
+    top = t.customer.groupBy(F.col("c_nationkey").alias("file_id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file_id").limit(6).select("file_id", F.row_number().over(Window.orderBy(F.desc("n"), "file_id")).alias("rank"))
+    return graph.expanded(top, _trade(t)).withColumn("score", F.round("score", 9))
+
+
+@q("trade_covering__J20", f"with {_TRADE} select target_file_id as node, source_file_id as flagged from trade join nation on n_nationkey = source_file_id where n_regionkey = 2")
+def trade_covering(t):
+    """Edges whose source is flagged, here by its region, as tests are among files."""
+    flagged = t.nation.where("n_regionkey = 2").select(F.col("n_nationkey").alias("source_file_id"))
+    return _trade(t).join(flagged, "source_file_id", "left_semi").select(F.col("target_file_id").alias("node"), F.col("source_file_id").alias("flagged"))
 
 
 @q("call_sites__S9", f"with {_CALLS} select * from calls")

@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrand.functions import paths
 from lodestrand.operators import graph, merge, reducers
 from lodestrand.operators.cache import KeyedLocks
 from lodestrand.operators.rolling import rolling_totals
@@ -256,3 +257,24 @@ def test_symbols_of_other_languages():
     assert brief("a.go", go) == [("MAX", "constant", None, 3, 3), ("S", "class", None, 5, 7), ("Get", "method", "S", 9, 11), ("run", "function", None, 13, 13)]
     for path, text in (("a.py", None), ("a.md", "x"), (None, "x"), ("a.ts", ""), ("a.ts", "class A {"), ("a.py", "def f(:"), ("A.java", "class A { void f("), ("a.go", "func (")):
         symbols.symbols_of(path, text)
+
+
+def test_required_shapes_of_a_graph(spark, tmp_path):
+    """A 2-cycle beside an acyclic edge, a hub of four, an unresolved and an aliased import, and edges stored by project."""
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, 1), (1, 4, 1), (1, 5, 1), (2, 7, 8)], "project_id bigint, source_file_id bigint, target_file_id bigint")
+    stored = graph.StoredEdges(spark, str(tmp_path / "edges"))
+    stored.replace(edges)
+    stored.replace(edges.where("project_id = 2"))
+    assert rows(stored.read(), "source_file_id", "target_file_id") == [(1, 2), (2, 1), (3, 1), (4, 1), (5, 1), (7, 8)] and stored.read(2).count() == 1
+    assert rows(graph.two_cycles(stored.read()), "project_id", "a", "b") == [(1, 1, 2)]
+    degree = graph.indegrees(stored.read())
+    tiers = degree.select("file_id", paths.promoted(F.lit("support"), F.col("dependents")).alias("tier"))
+    assert rows(tiers, "file_id", "tier") == [(1, "core"), (2, "support"), (8, "support")]
+    assert rows(graph.reach(stored.read(), spark.createDataFrame([(2,)], "seed bigint"), 3), "node", "depth") == [(1, 1), (3, 2), (4, 2), (5, 2)]
+    found = graph.expanded(spark.createDataFrame([(1, 1)], "file_id bigint, rank int"), stored.read())
+    assert rows(found, "file_id", "hits") == [(2, 1), (3, 1), (4, 1), (5, 1)]
+    files = spark.createDataFrame([(1, 1, "src/a/main.ts"), (2, 1, "src/a/auth.service.ts"), (3, 1, "src/lib/index.ts"), (4, 1, "src/lib/deep/x.js")], "id bigint, project_id bigint, path string")
+    asked = ("./auth.service", "../lib", "./gone", "@lib/deep/x", "@lib/deep/none", "react", "@other/y")
+    imports = spark.createDataFrame([(1, 1, "src/a", p) for p in asked], "project_id bigint, file_id bigint, directory string, import_path string")
+    aliases = spark.createDataFrame([(1, "@lib/", "src/lib"), (1, "@", "nowhere"), (2, "@other/", "src")], "project_id bigint, prefix string, target string")
+    assert dict(rows(graph.resolved_imports(imports, files, aliases), "import_path", "target_file_id")) == {"./auth.service": 2, "../lib": 3, "./gone": None, "@lib/deep/x": 4, "@lib/deep/none": None, "react": None, "@other/y": None}
