@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import vectors
 from lodestrand.operators.merge import upserted
+from lodestrand.sources.versions import VersionedTable
 
 VECTORS = "vid string, embedding array<float>, namespace string, project_name string, type string, ref_id string"
 
@@ -26,47 +27,45 @@ class VectorStore(Protocol):
     def delete(self, ids: DataFrame) -> None: ...
 
 
-@dataclass
 class ParquetVectorStore:
-    """Versions of a vector table in a folder partitioned by namespace; a filter on namespace prunes partitions.
-
-    Writes make a new version and then name it current, so readers never see half of one.
-    """
+    """A versioned table of vectors by vid: a write makes anew only the buckets of the vids it brings, and readers never see half of one."""
 
-    spark: SparkSession
-    path: str
-
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        done = [n for n in names if n.startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.held = spark, VersionedTable(spark, path, VECTORS, ["vid"])
 
     def read(self) -> DataFrame:
-        found = self._versions()
-        if not found:
-            return self.spark.createDataFrame([], VECTORS)
-        return self.spark.read.schema(VECTORS).parquet(f"{self.path}/v{found[-1]}")
-
-    def _write(self, rows: DataFrame) -> None:
-        number = (self._versions() or [0])[-1] + 1
-        rows.write.mode("overwrite").partitionBy("namespace").parquet(f"{self.path}/v{number}")
+        return self.held.read()
 
     def upsert(self, rows: DataFrame) -> None:
-        """Rows replace those with the same vid; the dimension must be the table's."""
-        sizes = {r[0] for r in rows.select(F.size("embedding")).union(self.read().select(F.size("embedding"))).distinct().collect()}
+        """Rows replace those with the same vid; all vectors have one dimension, the table's."""
+        fresh = rows.dropDuplicates(["vid"])
+        known = [r[0] for r in self.read().select(F.size("embedding")).limit(1).collect()]
+        least, most = rows.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+        sizes = {x for x in (*known, least, most) if x is not None}
         if len(sizes) > 1:
             raise ValueError(f"vectors of several dimensions: {sorted(sizes)}")
-        self._write(upserted(self.read(), rows.dropDuplicates(["vid"]), ["vid"]))
+        self.held.rewrite(lambda old: upserted(old, fresh.select(*old.columns), ["vid"]), self.held.touched_by(fresh))
 
     def delete(self, ids: DataFrame) -> None:
-        self._write(self.read().join(ids.select("vid"), "vid", "left_anti"))
+        self.held.rewrite(lambda old: old.join(ids.select("vid"), "vid", "left_anti").select(*old.columns), self.held.touched_by(ids))
 
     def delete_namespace(self, namespace: str) -> None:
-        self._write(self.read().where(F.col("namespace") != namespace))
+        self.held.rewrite(lambda old: old.where(~F.col("namespace").eqNullSafe(namespace)))
+
+    def purge(self, project: str) -> None:
+        """Drop a project's vectors."""
+        self.held.rewrite(lambda old: old.where(~F.col("project_name").eqNullSafe(project)))
+
+    def split(self, project: str, to: ParquetVectorStore) -> int:
+        """Move a project's vectors to a store of its own; they leave this one once the copy has them all. How many."""
+        own = self.read().where(F.col("project_name") == project)
+        n = own.count()
+        to.upsert(own)
+        arrived = to.read().where(F.col("project_name") == project).join(own.select("vid"), "vid", "left_semi").count()
+        if arrived != n:
+            raise RuntimeError(f"{arrived} of {n} vectors arrived")
+        self.purge(project)
+        return n
 
     def ids(self) -> DataFrame:
         return self.read().select("vid")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestrand.operators.merge import latest
+from lodestrand.sources.versions import VersionedTable
 
 EVENTS = "project_id bigint, path string, kind string, is_dir boolean, seq bigint, ts timestamp"
 
@@ -57,98 +58,28 @@ def guarded(found: int, known: int, most: int) -> str:
 
 
 STATE = "project_id bigint, path string, seq bigint"
-BUCKETS = 64  # parts of a table, each rewritten only by batches that touch it
-KEPT = 3  # manifests, with what they name, that stay for replays and readers
 
 
 def refresh(events: DataFrame, target: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Keep a table of indexed paths current, one version a micro-batch.
 
-    Rows fall into BUCKETS by a hash of project and path. Batch n is coalesced, the buckets it touches
-    are written anew below d<n>, and manifest m<n> names the folder of every bucket; it appears by one
-    rename, so a version is there whole or not at all. Batch n always starts from the newest manifest
-    before n: replayed at any point, it gives the same version again. Batches later than the last
-    KEPT - 1 are never replayed, so older manifests go, and folders that none names. One query per
+    Batch n is coalesced and made version n of a VersionedTable: only the buckets it touches are
+    written anew. It always starts from the newest version before n, so that a batch which is
+    replayed, at whatever point the first try broke off, gives the same version again. One query per
     target (KeyedLocks serialises others).
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        store = _Store(spark, target)
-        known = store.manifest(max((n for n in store.numbers() if n < number), default=None))
-        bucket = F.pmod(F.xxhash64("project_id", "path"), F.lit(BUCKETS)).cast("int")
+        held = VersionedTable(batch.sparkSession, target, STATE, ["project_id", "path"])
         changed = coalesced(batch).persist()
-        touched = {r[0] for r in changed.select(bucket.alias("b")).distinct().collect()}
-        state = store.rows([known[b] for b in sorted(touched) if b in known])
-        applied(state, changed).withColumn("b", bucket).repartition(F.col("b")).write.partitionBy("b").mode("overwrite").parquet(f"{target}/d{number}")
-        made = {b: f"d{number}/b={b}" for b in touched if store.exists(f"d{number}/b={b}")}
-        store.publish(number, {b: f for b, f in known.items() if b not in touched} | made)
+        held.rewrite(lambda state: applied(state, changed), held.touched_by(changed), number)
         if after:
             after(changed, number)
         changed.unpersist()
-        store.sweep(number)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Store:
-    """Manifests and bucket folders of one table on any Hadoop file system."""
-
-    def __init__(self, spark: SparkSession, target: str):
-        self.spark, self.target, self.jvm = spark, target, spark._jvm
-        self.conf = spark._jsc.hadoopConfiguration()
-        self.fs = self.path("").getFileSystem(self.conf)
-
-    def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.target}/{name}" if name else self.target)
-
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self.path(name))
-
-    def names(self) -> list[str]:
-        return [f.getPath().getName() for f in self.fs.listStatus(self.path(""))] if self.exists("") else []
-
-    def numbers(self) -> list[int]:
-        return sorted(int(n[1:]) for n in self.names() if n[0] == "m" and n[1:].isdigit())
-
-    def manifest(self, number: int | None) -> dict[int, str]:
-        if number is None:
-            return {}
-        stream = self.fs.open(self.path(f"m{number}"))
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return {int(b): folder for b, _, folder in (line.partition(" ") for line in text.splitlines())}
-
-    def rows(self, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(*(f"{self.target}/{f}" for f in folders))
-
-    def publish(self, number: int, folders: dict[int, str]) -> None:
-        """Write the manifest beside its place and rename it there, over one that a failed try has left."""
-        stream = self.fs.create(self.path(f"_m{number}"), True)
-        try:
-            stream.write(bytearray("".join(f"{b} {f}\n" for b, f in sorted(folders.items())).encode()))
-        finally:
-            stream.close()
-        over = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        over[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.conf).rename(self.path(f"_m{number}"), self.path(f"m{number}"), over)
-
-    def sweep(self, number: int) -> None:
-        numbers = [n for n in self.numbers() if n <= number]
-        kept = numbers[-KEPT:]
-        named = {f.split("/")[0] for n in kept for f in self.manifest(n).values()}
-        for n in numbers[:-KEPT]:
-            self.fs.delete(self.path(f"m{n}"), False)
-        for name in self.names():
-            if name[0] == "d" and name[1:].isdigit() and int(name[1:]) < min(kept, default=0) and name not in named:
-                self.fs.delete(self.path(name), True)
-
-
 def current(spark: SparkSession, target: str) -> DataFrame:
     """The table's last complete version; empty before the first."""
-    store = _Store(spark, target)
-    return store.rows(sorted(store.manifest(max(store.numbers(), default=None)).values()))
+    return VersionedTable(spark, target, STATE, ["project_id", "path"]).read()

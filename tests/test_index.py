@@ -12,7 +12,7 @@ from lodestrand.functions import paths
 from lodestrand.operators import graph, merge, reducers
 from lodestrand.operators.cache import KeyedLocks
 from lodestrand.operators.rolling import rolling_totals
-from lodestrand.sources import config, scan, skeleton, stores, symbols
+from lodestrand.sources import config, records, scan, skeleton, stores, symbols, versions
 from lodestrand.streaming import changes
 
 
@@ -193,7 +193,7 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
         send(k, (f"q{k}", "upsert", 200 + k))
         run()
     assert run() == sorted([*want, *(f"q{k}" for k in range(2, 7))])
-    assert len([p for p in target.iterdir() if p.name[0] == "m"]) == changes.KEPT
+    assert len([p for p in target.iterdir() if p.name[0] == "m"]) == versions.KEPT
     send(7, *((p, "delete", 300) for p in [*want, *(f"q{k}" for k in range(2, 7))]))
     assert run() == []
 
@@ -278,3 +278,35 @@ def test_required_shapes_of_a_graph(spark, tmp_path):
     imports = spark.createDataFrame([(1, 1, "src/a", p) for p in asked], "project_id bigint, file_id bigint, directory string, import_path string")
     aliases = spark.createDataFrame([(1, "@lib/", "src/lib"), (1, "@", "nowhere"), (2, "@other/", "src")], "project_id bigint, prefix string, target string")
     assert dict(rows(graph.resolved_imports(imports, files, aliases), "import_path", "target_file_id")) == {"./auth.service": 2, "../lib": 3, "./gone": None, "@lib/deep/x": 4, "@lib/deep/none": None, "react": None, "@other/y": None}
+
+
+def test_vector_shards(spark, tmp_path):
+    make = lambda *r: spark.createDataFrame([(v, e, "n", p, "file", v) for v, e, p in r], stores.VECTORS)
+    central, own = (stores.vector_store(spark, "parquet", path=str(tmp_path / x)) for x in ("central", "own"))
+    central.upsert(make(*((f"v{k}", [float(k), 1.0], "ab"[k % 2]) for k in range(20))))
+    touched = len(list((tmp_path / "central" / "d0").glob("b=*")))
+    central.upsert(make(("v1", [9.0, 9.0], "b")))
+    assert len(list((tmp_path / "central" / "d1").glob("b=*"))) == 1 < touched
+    assert central.split("b", own) == 10 and own.read().count() == 10 and central.read().where("project_name = 'b'").count() == 0
+    assert rows(own.read().where("vid = 'v1'"), "embedding") == [([9.0, 9.0],)]
+    assert central.split("b", own) == 0 and central.held.backup(str(tmp_path / "copy")) == 10
+    central.held.vacuum()
+    assert len(central.held.numbers()) == 1 and central.read().count() == 10
+    own.purge("b")
+    assert own.read().count() == 0
+
+
+def test_records(spark, tmp_path):
+    hooks = records.Records(spark, str(tmp_path / "hooks"), "id bigint, url string, events array<string>, active boolean", ["id"])
+    row = lambda *r: spark.createDataFrame([r], "id bigint, url string, events array<string>, active boolean")
+    hooks.insert(row(1, "u", ["a"], True))
+    hooks.insert(row(1, "other", [], False))
+    hooks.insert(row(2, "w", None, None))
+    hooks.upsert(row(1, None, ["b"], False), ["url"])
+    assert rows(hooks.list(), "id", "url", "events", "active") == [(1, "u", ["b"], False), (2, "w", None, None)] and hooks.one(id=2).count() == 1
+    hooks.delete(spark.createDataFrame([(2,), (7,)], "id bigint"))
+    assert rows(hooks.list(F.col("active") == False), "id") == [(1,)]  # noqa: E712
+    costs = records.Records(spark, str(tmp_path / "costs"), "project_id bigint, usd double", ["project_id"])
+    for _ in range(2):
+        costs.append(spark.createDataFrame([(1, 0.5)], "project_id bigint, usd double"))
+    assert costs.list().count() == 2
