@@ -46,13 +46,15 @@ def diverse(df: DataFrame, query: str, group: str, score: str, order: str, k: in
     return eff.withColumn("slot", F.row_number().over(overall)).where(F.col("slot") <= k)
 
 
-def blended(df: DataFrame, query: str, total: int, spacing: dict[str, int] | None = None, caps: dict[str, int] | None = None) -> DataFrame:
+def blended(df: DataFrame, query: str, total: int, spacing: dict[str, int] | int | None = None, caps: dict[str, int] | None = None) -> DataFrame:
     """(query, slot, track, candidate): tracks (track_ord, track, pos, candidate) merged slot by slot, least used first.
 
     A track waits until its spacing since its last slot has passed; where every track that is left
     waits, the list ends. Sequential per query; a query's tracks are short lists.
     """
-    spacing, caps = spacing or {}, caps or {}
+    caps = caps or {}
+    gap = spacing if isinstance(spacing, int) else 1  # of every track that spacing doesn't name
+    named = spacing if isinstance(spacing, dict) else {}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tracks = [(t, list(g.sort_values("pos")["candidate"])) for (_, t), g in rows.groupby(["track_ord", "track"], sort=True)]
@@ -60,7 +62,7 @@ def blended(df: DataFrame, query: str, total: int, spacing: dict[str, int] | Non
         last = {t: -(1 << 60) for t, _ in tracks}
         out = []
         for slot in range(total):
-            open_tracks = [(used[t], n, t) for n, (t, items) in enumerate(tracks) if used[t] < min(len(items), caps.get(t, len(items))) and slot - last[t] >= spacing.get(t, 1)]
+            open_tracks = [(used[t], n, t) for n, (t, items) in enumerate(tracks) if used[t] < min(len(items), caps.get(t, len(items))) and slot - last[t] >= named.get(t, gap)]
             if not open_tracks:
                 break
             _, n, t = min(open_tracks)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import paths, texts
-from lodestrand.operators import fusion, merge
+from lodestrand.operators import fusion, merge, shaping
 from lodestrand.plans.registry import Registry
 
 R = Registry()
@@ -289,8 +289,15 @@ def blended_notes(t):
     w = Window.partitionBy("project_id", "category").orderBy(F.desc_nulls_last("importance"), "id")
     rows = t.snapshots.select("project_id", "category", F.col("id").alias("candidate"), F.row_number().over(w).alias("pos"), F.col("importance")).where("pos <= 10")
     tracks = rows.select("project_id", F.col("category").alias("track"), F.dense_rank().over(Window.partitionBy("project_id").orderBy("category")).alias("track_ord"), "pos", "candidate")
-    kinds = {r[0]: 2 for r in t.snapshots.select("category").distinct().collect()}
-    return fusion.blended(tracks, "project_id", 8, spacing=kinds)
+    return fusion.blended(tracks, "project_id", 8, spacing=2)
+
+
+@q("coverage_notes__X27", """
+with c as (select project_id, count(*) as files, count(embedding_hash) as embedded, count(case when semantic_hash <> content_hash then 1 end) as stale from files group by 1)
+select project_id, files, embedded, stale, nullif(concat_ws('; ', case when embedded = 0 then 'words only, no embeddings yet' when embedded < files then 'embeddings cover ' || embedded || ' of ' || files || ' files' end, case when stale > 0 then stale || ' files changed since their last summary' end), '') as note from c""")
+def coverage_notes(t):
+    """What a search in each project can't see."""
+    return shaping.covered(t.files).withColumn("note", shaping.coverage_note(F.col("files"), F.col("embedded"), F.col("stale")))
 
 
 @q("multi_key_order__K5", "select id from (select distinct id, exported, name from symbols) order by exported desc nulls last, length(name), name, id limit 30")

@@ -279,10 +279,10 @@ def reduced_texts(t):
 
 @q("crushed_events__D1")
 def crushed_events(t):
-    """Events of an hour and kind as JSON lines, crushed to 1,000 characters."""
-    hour = F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd HH"), "event_type")
-    lines = t.events.groupBy(hour.alias("hour")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.to_json(F.struct("user_id", "value")).alias("j")))).alias("l"))
-    return reducers.reduced(lines.select("hour", F.array_join(F.transform("l", lambda x: x["j"]), "\n").alias("text")), "hour", "text", "json", 1000)
+    """Events of a kind as JSON lines, at most 500 a payload by blocks of ids, crushed to 1,000 characters."""
+    block = F.concat_ws("/", F.floor(F.col("event_id") / 500), "event_type")
+    lines = t.events.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.to_json(F.struct("user_id", "value")).alias("j")))).alias("l"))
+    return reducers.reduced(lines.select("block", F.array_join(F.transform("l", lambda x: x["j"]), "\n").alias("text")), "block", "text", "json", 1000)
 
 
 _LOG_SQL = r"""

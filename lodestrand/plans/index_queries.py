@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import paths, texts
 from lodestrand.operators import merge
 from lodestrand.plans.registry import Registry
+from lodestrand.session import cut
 
 R = Registry()
 q = R.add
@@ -288,6 +289,7 @@ select doc_id, cast((sum(n) over (order by doc_id) - n) // 35000 as bigint) as b
 def embed_batches(t):
     """Batches of about 35,000 estimated tokens in id order, by running sums: within ranges first, then across."""
     ranged = t.documents.select("doc_id", texts.estimated_tokens(F.col("text")).alias("n")).repartitionByRange("doc_id").select("doc_id", "n", F.spark_partition_id().alias("part"))
+    ranged = cut(ranged)  # both uses must see the same parts
     starts = ranged.groupBy("part").agg(F.sum("n").alias("total")).withColumn("before", F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
     within = ranged.withColumn("run", F.sum("n").over(Window.partitionBy("part").orderBy("doc_id")))
     return within.join(starts, "part").select("doc_id", F.floor((F.col("before") + F.col("run") - F.col("n")) / 35000).alias("batch"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import vectors
 from lodestrand.operators.merge import upserted
+from lodestrand.sources.remote import DIALECTS, HttpVectorStore
 from lodestrand.sources.versions import VersionedTable
 
 VECTORS = "vid string, embedding array<float>, namespace string, project_name string, type string, ref_id string"
@@ -106,6 +108,8 @@ class RoutingVectorStore:
 
 
 MAKERS: dict[str, Callable[..., VectorStore]] = {"parquet": lambda spark, **c: ParquetVectorStore(spark, c["path"]), "null": lambda spark, **c: NullVectorStore(spark)}
+for _service in DIALECTS:
+    MAKERS[_service] = functools.partial(HttpVectorStore, service=_service)
 
 
 def vector_store(spark: SparkSession, kind: str, **config) -> VectorStore:

@@ -310,3 +310,77 @@ def test_records(spark, tmp_path):
     for _ in range(2):
         costs.append(spark.createDataFrame([(1, 0.5)], "project_id bigint, usd double"))
     assert costs.list().count() == 2
+
+
+@pytest.fixture
+def service():
+    """A small server that keeps vectors and answers in the four services' forms."""
+    import http.server
+
+    kept, calls = {}, []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            raw = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            calls.append((self.path, self.headers["Api-Key"]))
+            if len(calls) == 1:
+                self.send_response(503)
+                self.end_headers()
+                return
+            lines = [json.loads(x) for x in raw.splitlines()] if "ndjson" in self.headers["Content-Type"] else [json.loads(raw)]
+            out = json.dumps(self.answer(self.path, lines)).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        do_PUT = do_POST
+
+        def answer(self, path, lines):
+            body = lines[0]
+            if path == "/_bulk?refresh=true":
+                for k, one in enumerate(lines):
+                    if "index" in one:
+                        kept[one["index"]["_id"]] = (lines[k + 1].pop("embedding"), lines[k + 1])
+                    if "delete" in one:
+                        kept.pop(one["delete"]["_id"], None)
+                return {"errors": False}
+            if path.endswith("/upsert") or "/points?" in path:
+                for one in body.get("vectors") or body.get("points") or lines:
+                    kept[one["id"]] = (one.get("values") or one["vector"], one.get("metadata") or one["payload"])
+                return {}
+            if "delete" in path:
+                for one in body.get("ids") or body["points"]:
+                    kept.pop(one, None)
+                return {}
+            knn = body.get("query", {}).get("knn", {}).get("embedding", {}) if isinstance(body.get("query"), dict) else {}
+            asked, k = body.get("vector") or knn["vector"], body.get("topK") or body.get("limit") or body["size"]
+            wanted = json.dumps(body.get("filter") or knn.get("filter") or {})
+            near = sorted(((sum(a * b for a, b in zip(asked, v)), i, m) for i, (v, m) in kept.items() if "type" not in wanted or f'"{m.get("type")}"' in wanted), key=lambda r: -r[0])[:k]
+            if "/points/" in path:
+                return {"result": [{"id": i, "score": s, "payload": m} for s, i, m in near]}
+            if "_search" in path:
+                return {"hits": {"hits": [{"_id": i, "_score": s, "_source": m} for s, i, m in near]}}
+            matches = [{"id": i, "score": s, "metadata": m} for s, i, m in near]
+            return {"result": {"matches": matches}} if "vectorize" in path else {"matches": matches}
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", kept, calls
+    server.shutdown()
+
+
+@pytest.mark.parametrize("kind", ["qdrant", "pinecone", "opensearch", "vectorize"])
+def test_vector_services(spark, service, kind):
+    url, kept, calls = service
+    store = stores.vector_store(spark, kind, url=url, index="i", headers={"Api-Key": "k"})
+    data = [(f"v{k}", [float(k % 7), 1.0, float(k)], None, "p", "file" if k % 2 else "symbol", str(k)) for k in range(130)]
+    df = spark.createDataFrame([*data, data[0], ("none", None, None, None, None, None)], stores.VECTORS).coalesce(1)
+    assert store.upsert(df) == 130 and len(kept) == 130 and {c[1] for c in calls} == {"k"}
+    assert rows(store.search([0.0, 0.0, 1.0], 2), "vid", "type", "ref_id") == [("v128", "symbol", "128"), ("v129", "file", "129")]
+    assert [r.vid for r in store.search([0.0, 0.0, 1.0], 1, {"type": "symbol"}).collect()] == ["v128"]
+    assert store.delete(spark.createDataFrame([("v129",), ("gone",)], "vid string")) == 2 and len(kept) == 129
+    with pytest.raises(OSError):
+        stores.vector_store(spark, kind, url="http://127.0.0.1:9", index="i").search([1.0], 1)

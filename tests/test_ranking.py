@@ -250,3 +250,17 @@ def test_postings_index(spark, tmp_path):
     assert part.repair(docs, "id", F.col("text")) == 42 and sorted(map(tuple, part.counts().collect())) == sorted(map(tuple, index.counts().collect()))
     empty = PostingsIndex.build(docs.limit(0), "id", F.col("text"), str(tmp_path / "empty"))
     assert empty.search("w1").count() == 0 and empty.counts().count() == 0
+
+
+def test_shaped_tools():
+    from lodestrand.operators import shaping
+
+    tools = {"search": lambda query, project=None: f"{project}: " + "word " * 4000, "read": lambda: '{"a": "' + "x" * 9000 + '"}', "explore": lambda: "y" * 9000, "hidden": lambda: ""}
+    got = shaping.shaped(tools, ("search", "read", "explore", "gone"), project=7, uncapped=("explore",))
+    assert set(got) == {"search", "read", "explore"}
+    text = got["search"](query="word")
+    assert text.startswith("7: ") and len(text) < shaping.CAP + 200 and got["search"](query="word", project=3).startswith("3: ")
+    assert len(got["read"]()) == 9009 and len(got["explore"]()) == 9000
+    said = shaping.empty_result(shaping.Ran("hybrid", "question phrasing", 0, failed="no store"), "no index yet")
+    assert "failed: no store" in said and "may still exist" in said and said.endswith("no index yet")
+    assert shaping.degraded_note(shaping.Ran("fts")) is None and "word hits only" in shaping.degraded_note(shaping.Ran("fts", failed="x"))
