@@ -22,17 +22,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CUTS = regex.compile(PATTERN)
 LONG = 500_000  # characters from which a text is cut here and counted piece by piece, to the same sum
 GROUP_TOKENS = 4_000_000  # of whole items packed by one task
-_counters: dict[str, TokenCounter] = {}
+_counters: dict[int, TokenCounter] = {}
 
 
 class TokenCounter:
-    """Exact tokens of a text in a rank file's vocabulary."""
+    """Exact tokens of a text in a rank file's vocabulary, given as the file's bytes."""
 
-    def __init__(self, ranks: str):
+    def __init__(self, ranks: bytes):
         import tiktoken
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> int:
@@ -42,11 +41,17 @@ class TokenCounter:
 
 
 def token_counts(df: DataFrame, ident: str, text: str, ranks: str = RANKS) -> DataFrame:
-    """(id, n_tokens): exact tokens of every whole text; null counts as 0."""
+    """(id, n_tokens): exact tokens of every whole text; null counts as 0.
+
+    The driver reads the rank file (a vocabulary, of fixed size) and sends it with the job: no worker needs the path.
+    """
+    with open(ranks, "rb") as f:
+        sent = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (count := _counters.get(ranks)) is None:
-            count = _counters[ranks] = TokenCounter(ranks)
+        key = hash(sent.value)
+        if (count := _counters.get(key)) is None:
+            count = _counters[key] = TokenCounter(sent.value)
         for b in batches:
             sizes = [count(t) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["id", "n_tokens"])

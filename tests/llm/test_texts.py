@@ -174,7 +174,8 @@ def test_pack_sizes_fills():
 
 
 def test_token_counts_are_exact(spark, monkeypatch):
-    count = packing.TokenCounter(packing.RANKS)
+    with open(packing.RANKS, "rb") as f:
+        count = packing.TokenCounter(f.read())
     texts = ["", "It's a test, naïve  text\n\n  with   spaces", "слово" * 50, "x" * 3000, "a b " * 700]
     assert [sum(len(count.encode(m[0])) for m in packing.CUTS.finditer(t)) for t in texts] == [len(count.encode(t)) for t in texts]
     df = spark.createDataFrame([(1, None), (2, ""), (3, texts[1]), (None, "gone")], "doc_id bigint, text string")
