@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,6 +99,22 @@ def fnv_53(data: bytes) -> int:
     return h & ((1 << 53) - 1)
 
 
+def fnv_53_all(data: list[bytes]) -> np.ndarray:
+    """fnv_53 of many, a position at a time over all of them."""
+    lengths = np.array([len(d) for d in data], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    padded = np.zeros((len(data), int(lengths.max(initial=0))), np.uint8)
+    for row, k in enumerate(order.tolist()):
+        padded[row, : lengths[k]] = np.frombuffer(data[k], np.uint8)
+    h = np.full(len(data), 0xCBF29CE484222325, np.uint64)
+    for at in range(padded.shape[1]):
+        n = int(np.searchsorted(-lengths[order], -at, "left"))  # rows that are longer than at
+        h[:n] = (h[:n] ^ padded[:n, at]) * np.uint64(0x100000001B3)
+    out = np.empty(len(data), np.int64)
+    out[order] = (h & np.uint64((1 << 53) - 1)).astype(np.int64)
+    return out
+
+
 def snapped(version: float, levels: list[float]) -> float:
     """The greatest level that isn't above version, else the lowest."""
     return max((x for x in levels if x <= version), default=min(levels))

@@ -74,21 +74,20 @@ def hyperplanes(dim: int, count: int = PLANES, seed: int = PLANE_SEED) -> list[l
 
 
 def simhash(v: Column, planes: list[list[float]]) -> Column:
-    """Bit b is set where the dot product with plane b is positive; 0 ... 2^32 - 1 as bigint, null for null.
+    """Bit b is set where the dot product with plane b is positive; 0 ... 2^32 - 1 as bigint, null for null and for vectors of another dimension than the planes.
 
-    One matrix product an Arrow batch; vectors are read as far as the planes reach.
+    One matrix product an Arrow batch.
     """
     matrix = np.array(planes, np.float64)
     weights = 1 << np.arange(len(planes), dtype=np.int64)
 
     @F.pandas_udf("bigint")
     def signature(batch: pd.Series) -> pd.Series:
-        known = batch.notna()
         out = pd.Series([None] * len(batch), dtype="Int64", index=batch.index)
-        for size, group in batch[known].groupby(batch[known].map(len)):
-            width = min(size, matrix.shape[1])
-            dots = np.stack(group.to_list()).astype(np.float64)[:, :width] @ matrix[:, :width].T if size else np.zeros((len(group), len(planes)))
-            out.loc[group.index] = ((dots > 0) * weights).sum(1)
+        fit = batch[batch.notna()]
+        fit = fit[fit.map(len) == matrix.shape[1]]
+        if len(fit):
+            out.loc[fit.index] = ((np.stack(fit.to_list()).astype(np.float64) @ matrix.T > 0) * weights).sum(1)
         return out
 
     return signature(v)

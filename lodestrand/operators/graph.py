@@ -15,11 +15,13 @@ MOST_CALLS = 400
 CANDIDATES = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", "", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
 
-def call_sites(contents: DataFrame, names: DataFrame, most: int = MOST_CALLS) -> DataFrame:
-    """(project_id, file_id, name, line): identifiers before a parenthesis that names (project_id, name) knows, once a line, the first most of a file."""
+def call_sites(contents: DataFrame, names: DataFrame, most: int | None = MOST_CALLS) -> DataFrame:
+    """(project_id, file_id, name, line): identifiers before a parenthesis that names (project_id, name) knows, once a line, the first most of a file; all of them where most is None."""
     lines = contents.where("content is not null").select("project_id", "file_id", F.posexplode(F.split("content", "\n")).alias("at", "text"))
     called = lines.where(F.col("text").contains("(")).select("project_id", "file_id", (F.col("at") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CALL), F.lit(1)))).alias("name"))
     known = called.join(names.select("project_id", "name").distinct(), ["project_id", "name"], "left_semi")
+    if most is None:
+        return known.select("project_id", "file_id", "name", "line")
     w = Window.partitionBy("file_id").orderBy("line", "name")
     return known.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select("project_id", "file_id", "name", "line")
 

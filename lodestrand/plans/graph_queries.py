@@ -203,7 +203,14 @@ def symbol_tree(t):
     return s.join(top, ["file_id", "parent"], "left").select("file_id", "id", "parent_id", F.row_number().over(Window.partitionBy("file_id").orderBy("line", "id")).alias("ord"))
 
 
-@q("resolved_imports__J16")
+_IMPORTS = r"""with i as (select distinct f.id as file_id, f.project_id, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as d, unnest(list_distinct(regexp_extract_all(content, 'from\s+[''"](\.[^''"\n]+)[''"]', 1))) as import_path
+from files f join file_contents c on c.file_id = f.id where regexp_matches(path, '\.m?[jt]s$')),
+b as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('/' || d || '/' || import_path, '/\.(/|$)', '/', 'g'), '/[^/]+/\.\./', '/'), '/[^/]+/\.\./', '/'), '/[^/]+/\.\./', '/'), '^/', '') as base from i),
+t as (select b.*, n, regexp_replace(base, '\.(js|mjs|cjs)$', '') || s as tried from b, (values (0, '.ts'), (1, '.tsx'), (2, '.mts'), (3, '.cts'), (4, '.js'), (5, '.jsx'), (6, ''), (7, '/index.ts'), (8, '/index.tsx'), (9, '/index.js'), (10, '/index.jsx')) v(n, s))
+select t.project_id, t.file_id, import_path, min_by(f.id, n) as target_file_id from t left join files f on f.project_id = t.project_id and f.path = tried group by 1, 2, 3"""
+
+
+@q("resolved_imports__J16", _IMPORTS)
 def resolved_imports(t):
     """Relative script imports resolved against the files of the project; those without a file stay null."""
     scripts = t.files.where(F.col("path").rlike(r"\.m?[jt]s$")).select(F.col("id").alias("file_id"), "project_id", paths.dirname(F.col("path")).alias("directory"))
@@ -239,13 +246,23 @@ def architecture(t):
     return layers.join(entries, "project_id", "left").join(hub, "project_id", "left").select("project_id", "layer", "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("entries", "top_hub")))
 
 
-@q("skeletons__U3")
+_DECLARED = (
+    ("\\.py$", r"^\s*(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)"), ("\\.go$", r"^(func|type|var|const)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"),
+    ("\\.java$", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(class|interface|enum|record)\s+([A-Za-z_]\w*)"),
+    ("\\.(ts|mts|tsx|js|mjs|jsx)$", r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function|class|interface|enum|type|const|let|var)\s*\*?\s+([A-Za-z_$][\w$]*)"),
+)
+_SKELETONS = "with l as (select file_id, path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from files join file_contents on file_id = id where supported) " + " union all ".join(
+    f"select file_id, cast(line as int) as line, regexp_extract(text, '{p}', 1) as kind, regexp_extract(text, '{p}', 2) as name from l where regexp_matches(path, '{e}') and regexp_matches(text, '{p}')" for e, p in ((x.replace("\\\\", "\\"), y) for x, y in _DECLARED))
+
+
+@q("skeletons__U3", _SKELETONS)
 def skeletons(t):
     """Declarations found in texts by a Python table function: file, line, kind, name."""
     return skeleton.skeletons(t.files, t.file_contents)
 
 
-@q("bodies__U3b")
+@q("bodies__U3b", """select distinct s.id as symbol_id, cast(end_line - line + 1 as int) as lines, sha256(rtrim(array_to_string(string_split(content, chr(10))[line:end_line], chr(10)), chr(13))) as hash
+from symbols s join file_contents c on c.file_id = s.file_id where kind in ('function', 'method') and content is not null and line > 0""")
 def bodies(t):
     """The body of every function symbol: from its line to where its block ends."""
     return skeleton.bodies(t.symbols, t.file_contents)

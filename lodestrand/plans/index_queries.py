@@ -214,12 +214,12 @@ def stable_ids(t):
     return t.symbols.select("id", texts.stable_id(*(F.col(c) for c in ("project_id", "file_path", "kind", "parent", "name", "signature"))).alias("made")).distinct()
 
 
-@q("fnv_ids__X3")
+@q("fnv_ids__X3", """select vid, cast(list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(string_split(vid, ''), lambda x: ascii(x)::uhugeint)), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint) % 9007199254740992::uhugeint as bigint) as point from (select distinct vid from vectors)""")
 def fnv_ids(t):
     """Point ids of vectors: FNV-1a, Arrow batches."""
     @F.pandas_udf("bigint")
     def fnv(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: texts.fnv_53((n or "").encode()))
+        return pd.Series(texts.fnv_53_all([(n or "").encode() for n in names]), index=names.index)
 
     return t.vectors.select("vid").distinct().select("vid", fnv("vid").alias("point"))
 

@@ -27,7 +27,8 @@ def scanned(spark: SparkSession, root: str, ignore: list[str] | None = None, glo
         "path", "size", "mtime_ms", "content", texts.content_hash(F.col("content")).alias("content_hash"), texts.line_count(F.col("content")).cast("bigint").alias("line_count"), paths.language_id(p).alias("language"), paths.index_tier(p, F.col("size")).alias("index_tier"))
 
 
-def index_run(known: DataFrame, now: DataFrame, most: int = 200_000) -> dict:
-    """One incremental run: verdict ok, too_large or empty_scan, and the classified paths (path, kind) where it is ok."""
-    verdict = guarded(now.count(), known.count(), most)
+def index_run(known: DataFrame, now: DataFrame, most: int | None = 200_000) -> dict:
+    """One incremental run: verdict ok, too_large or empty_scan, and the classified paths (path, kind) where it is ok; no number is too large where most is None."""
+    found = now.count()
+    verdict = guarded(found, known.count(), found if most is None else most)
     return {"verdict": verdict, "changes": classified(known, now, ["path"], "content_hash") if verdict == "ok" else None}

@@ -32,9 +32,10 @@ def declarations(path: str | None, text: str | None) -> list[tuple[int, str, str
     return [(n, m[1], m[2]) for n, line in enumerate(text.split("\n"), 1) if (m := pattern.match(line))]
 
 
-def body(path: str | None, text: str, line: int, most: int = MOST_LINES) -> str:
-    """The block that begins on the line: by indentation in Python, by braces outside strings and comments elsewhere; most lines at most."""
+def body(path: str | None, text: str, line: int, most: int | None = MOST_LINES) -> str:
+    """The block that begins on the line: by indentation in Python, by braces outside strings and comments elsewhere; most lines at most, the whole block where most is None."""
     lines = text.split("\n")
+    most = len(lines) if most is None else most
     if not 1 <= line <= len(lines):
         return ""
     if _extension(path) == "py":

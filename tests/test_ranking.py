@@ -264,3 +264,8 @@ def test_shaped_tools():
     said = shaping.empty_result(shaping.Ran("hybrid", "question phrasing", 0, failed="no store"), "no index yet")
     assert "failed: no store" in said and "may still exist" in said and said.endswith("no index yet")
     assert shaping.degraded_note(shaping.Ran("fts")) is None and "word hits only" in shaping.degraded_note(shaping.Ran("fts", failed="x"))
+
+
+def test_hashes_of_many():
+    data = [b"", b"a", b"vec-123", bytes(range(256)) * 3, b"\x00\x00", b"b"]
+    assert texts.fnv_53_all(data).tolist() == [texts.fnv_53(d) for d in data] and texts.fnv_53_all([]).tolist() == []
