@@ -21,7 +21,7 @@ DIVIDED = 3 * CELL_ROWS  # rows from which a cell is divided into subcells of CE
 SUB_PROBES = 3  # subcells a query looks into for each cell it probes: the nearest of all its cells of a task
 SAMPLE = 131_072  # rows, drawn at random, that the codebooks are fitted on, about; every row is encoded and searched
 PROBES = 14  # coarse cells a query looks into; a pair is found if either of its two looks into the other's cell
-GROUP_ROWS = 16_000  # rows a group of neighbouring cells holds on average
+GROUP_ROWS = 25_000  # rows a group of neighbouring cells holds on average
 BLOCK_ROWS, BLOCK_QUERIES = 60_000, 120_000  # of a group in one task; groups with more are split
 SINGLE = 5e-4  # angle that single precision may miss of two nearly equal vectors
 PAIR_BLOCK = 65_536  # pairs of vectors reranked at a time in a task
