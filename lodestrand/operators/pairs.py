@@ -11,14 +11,16 @@ from lodestrand.session import cut
 BLOCK = 2_000  # rows of one key that one task pairs with the key's rows at a time
 
 
-def salted_pairs(rows: DataFrame, key: str, ident: str, carried: list[str], condition: str, block: int = BLOCK) -> DataFrame:
+def salted_pairs(rows: DataFrame, key: str, ident: str, carried: list[str], condition: str, block: int = BLOCK, differing: str | None = None) -> DataFrame:
     """Pairs a, b of rows with the same key and a.ident < b.ident that meet condition.
 
     A key with n rows is spread over ceil(n / block) salts: each left row goes to one, each right
     row to all of them, so no task holds more than about block x n pairs of a hot key. Columns come
-    out as <name>_a and <name>_b; condition is SQL over these.
+    out as <name>_a and <name>_b; condition is SQL over these. Keys whose rows all have one value of
+    differing are left out before any pairing.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / block).cast("int").alias("_salts"))
+    spread = [F.min(differing).alias("_lo"), F.max(differing).alias("_hi")] if differing else []
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), *spread).where("_n > 1" + " and _lo <> _hi" * bool(differing)).select(key, F.ceil(F.col("_n") / block).cast("int").alias("_salts"))
     kept = rows.select(key, ident, *carried).join(sizes, key)
     left = kept.select(key, F.pmod(F.xxhash64(ident), F.col("_salts")).cast("int").alias("_salt"), *(F.col(c).alias(f"{c}_a") for c in (ident, *carried)))
     right = kept.select(key, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), *(F.col(c).alias(f"{c}_b") for c in (ident, *carried)))

@@ -323,6 +323,20 @@ def hybrid_search(t, query: str = TOPIC, near: int = 7, limit: int = 20):
     return fused.select(F.col("candidate").alias("id"), F.round("score", 9).alias("score"), "fts_rank", "vec_rank", "rank")
 
 
+_ASKED = "how does the throttle queue work?"
+_EXPANDED = " union all ".join(f"select {n} as src, id, rank from (with {bm25_sql('documents', 'doc_id', 'text', v, 'or', 60)} select id, rank from ranked)" for n, v in enumerate(planner.variants(_ASKED)))
+
+
+@q("expanded_search__R5", f"with vec as (select vec_id as id, cast(row_number() over (order by list_distance({_E}, {_ASK}), vec_id) as int) as rank from embeddings qualify rank <= 60), lists as ({_EXPANDED} union all select 9, id, rank from vec) select id, round(sum(1.0 / (60 + rank)), 9) as score from lists group by 1")
+def expanded_search(t):
+    """Words of every variant of a question and the vectors nearest to a given one, fused."""
+    top = _pairs_with(t, 7).select("vec_id", vectors.l2(F.col("embedding"), F.col("asked")).alias("d")).orderBy("d", "vec_id").limit(60)
+    lists = top.select(F.lit(9).alias("source_ord"), F.col("vec_id").alias("candidate"), F.row_number().over(Window.orderBy("d", "vec_id")).alias("rank"))
+    for n, variant in enumerate(planner.variants(_ASKED)):
+        lists = lists.union(_documents(t).search(variant, "or", 60).select(F.lit(n), "id", "rank"))
+    return fusion.rrf(lists).select(F.col("candidate").alias("id"), F.round("score", 9).alias("score"))
+
+
 @q("rrf_by_project__R1", """
 with lists as (select 0 as src, id, project_id, row_number() over (partition by project_id order by size desc, id) as rank from files union all select 1, id, project_id, row_number() over (partition by project_id order by updated_at desc, id) from files)
 select project_id, id, round(sum(1.0 / (60 + rank)), 9) as score from lists where rank <= 20 group by 1, 2""")

@@ -41,6 +41,19 @@ def touch_state(t):
     return state.select("user_id", F.unix_seconds(F.col("last").cast("timestamp")).alias("last"), "n", "edited")
 
 
+@q("recent_touches__S20", """
+with s as (select user_id, json_extract_string(props, '$.k') as page, max(ts) as last, bool_or(event_type = 'purchase') as edited from events group by 1, 2),
+h as (select *, cast(row_number() over (partition by user_id order by last desc, page) as int) as place from s)
+select user_id, page, place, round(0.4 * power(2, -greatest(0, floor(epoch(timestamp '2026-01-01')) - floor(epoch(last))) / 2592000.0) + case when edited then 0.1 else 0 end, 9) as score from h where place <= 5""")
+def recent_touches(t):
+    """The five pages that each user touched last, by recency and edits."""
+    hits = t.events.select("user_id", F.get_json_object("props", "$.k").alias("page"), "ts", (F.col("event_type") == "purchase").alias("hit"))
+    state = hits.groupBy("user_id", "page").agg(F.max("ts").alias("last"), F.bool_or("hit").alias("edited"))
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    found = changes.recent(state, ["page"], ["user_id"], now, 2_592_000.0, 5)
+    return found.select("user_id", "page", "place", F.round("score", 9).alias("score"))
+
+
 @q("sliding_counts__T5", """
 select event_type, cast(floor(epoch(s)) as bigint) as started, count(*) as n from (select event_type, unnest([time_bucket(interval 6 hours, ts, timestamp '1970-01-01'), time_bucket(interval 6 hours, ts, timestamp '1970-01-01') - interval 6 hours]) as s from events) group by 1, 2""")
 def sliding_counts(t):

@@ -21,6 +21,18 @@ from lodestrand.sources.versions import VersionedTable
 VECTORS = "vid string, embedding array<float>, namespace string, project_name string, type string, ref_id string"
 
 
+class EmbeddingService(Protocol):
+    """Vectors of texts, one each."""
+
+    def __call__(self, texts: list[str]) -> list: ...
+
+
+class AnalysisService(Protocol):
+    """A model's answer about a file's text, which config.analysis reads."""
+
+    def __call__(self, text: str) -> str: ...
+
+
 class VectorStore(Protocol):
     def search(self, vector: list[float], k: int, where: dict[str, str] | None = None) -> DataFrame: ...
 

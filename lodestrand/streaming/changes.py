@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestrand.functions import scores
 from lodestrand.operators.merge import latest
 from lodestrand.sources.versions import VersionedTable
 
@@ -46,6 +47,17 @@ def touches(events: DataFrame, key: str, at: str, edited: str) -> DataFrame:
     return events.groupBy(key).agg(F.max(at).alias("last"), F.count("*").alias("n"), F.bool_or(edited).alias("edited"))
 
 
+def recent(state: DataFrame, key: list[str], owner: list[str], now: Column, half_life: float, most: int = 50) -> DataFrame:
+    """The hot source: of the touches (owner..., key..., last, n, edited) of each owner the most latest, scored by recency and edits.
+
+    half_life in seconds; ties by key. Per-owner top-k keeps most rows a task before any shuffle.
+    """
+    w = Window.partitionBy(*owner).orderBy(F.desc("last"), *key)
+    held = state.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    age = F.greatest(F.lit(0.0), F.unix_seconds(now) - F.unix_seconds(F.col("last").cast("timestamp")))
+    return held.withColumn("score", scores.recent_file(scores.recency(age, half_life), F.lit(0), F.col("edited")))
+
+
 def applied(state: DataFrame, batch: DataFrame) -> DataFrame:
     """The indexed paths after a coalesced batch; applying it twice changes nothing."""
     gone = state.join(batch.select("project_id", "path"), ["project_id", "path"], "left_anti")

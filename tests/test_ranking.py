@@ -269,3 +269,20 @@ def test_shaped_tools():
 def test_hashes_of_many():
     data = [b"", b"a", b"vec-123", bytes(range(256)) * 3, b"\x00\x00", b"b"]
     assert texts.fnv_53_all(data).tolist() == [texts.fnv_53(d) for d in data] and texts.fnv_53_all([]).tolist() == []
+
+
+def test_reranked_by_a_pair_model(spark):
+    from lodestrand.operators import rerank
+
+    def model(pairs):
+        if any("bad" in t for _, t in pairs):
+            raise ValueError
+        return [float(len(set(q.split()) & set(t.split()))) * 50 - 100 for q, t in pairs]
+
+    hits = spark.createDataFrame([(k, k, t) for k, t in enumerate(["a x", "a b", None, "a b c", "bad"], 1)], "id bigint, rank int, text string").coalesce(1)
+    got = [(r.id, r.place) for r in rerank.reranked(hits, "a b c", "text", model, 9, 1).orderBy("place").collect()]
+    assert got == [(4, 1), (2, 2), (1, 3), (3, 4), (5, 5)]
+    assert [r.id for r in rerank.reranked(hits, "a b c", "text", model, 2, 16).orderBy("place").collect()] == [1, 2]  # the call fails: the order stays
+    assert rerank.sigmoid(0) == 0.5 and rerank.sigmoid(-1000) == 0 and rerank.sigmoid(1000) == 1 and rerank.sigmoid(float("nan")) == 0
+    assert rerank.cut_by(0.4)(rerank.reranked(hits, "a b c", "text", model, 9, 1)).count() == 3
+    assert rerank.reranked(hits.limit(0), "a", "text", model, 3).count() == 0
