@@ -54,12 +54,8 @@ def same_look_pairs(df: DataFrame, ident: str, text: str) -> DataFrame:
     forms are salted. Empty input gives no rows.
     """
     keys = cut(form_keys(df, ident, text))
-    return salted_pairs(_mixed(keys), "form_key", "id", ["text_key"], "text_key_a <> text_key_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-
-
-def _mixed(keys: DataFrame) -> DataFrame:
-    several = keys.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("form_key")
-    return keys.join(several, "form_key", "left_semi")
+    pairs = salted_pairs(keys, "form_key", "id", ["text_key"], "text_key_a <> text_key_b", differing="text_key")
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def look_classes(df: DataFrame, ident: str, text: str) -> DataFrame:
