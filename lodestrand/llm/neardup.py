@@ -17,6 +17,7 @@ RECALL = 0.995
 LONGEST, LONGEST_AGAIN = 512, 2_048  # hashes of a signature at most; of the wider one for rows of hot buckets
 HOT = 32  # rows of a bucket from which its rows are banded again more selectively
 RANGE_ROWS = 4_000_000  # band hashes a task sorts at a time, in a range of hashes of its own
+DROPPED = 200_000  # copies, of 40 bytes each, that are sent to the tasks to be dropped from a scan
 SLICE = 1_000_000  # characters hashed, or pairs sent, at a time
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -275,13 +276,20 @@ def _texts(df: DataFrame, ident: str, text: str) -> DataFrame:
 def distinct_texts(df: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(id, rep) of every row with id and text, rep the least id with the same text, and (id, text) of those.
 
-    Copies meet in partial aggregates before any shuffle; a text is shuffled once. Repeated rows count
-    once; an id with several texts stands for each of them.
+    Digests are aggregated before they are shuffled. Where at most DROPPED rows are copies, which is
+    counted, these are sent to the tasks and dropped from the scan; else texts meet in partial aggregates
+    by digest, are shuffled once and stored. Repeated rows count once; an id with several texts stands
+    for each of them.
     """
     src = _texts(df, ident, text).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    firsts = cut(src.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text")))
-    member = src.select("id", "digest").join(firsts.select("digest", F.col("id").alias("rep")), "digest").select("id", "rep").distinct()
-    return member, firsts.select("id", "text")
+    keyed = src.select("id", "digest")
+    firsts = keyed.groupBy("digest").agg(F.min("id").alias("rep"))
+    member = cut(keyed.groupBy("id", "digest").agg(F.count("*").alias("n")).join(firsts, "digest"))
+    most, copies = member.agg(F.max("n"), F.count(F.when(F.col("id") != F.col("rep"), 1))).first()
+    if copies <= DROPPED and (most or 1) == 1:
+        copied = member.where("id <> rep").select("id", "digest")
+        return member.select("id", "rep").distinct(), src.join(F.broadcast(copied), ["id", "digest"], "left_anti").select("id", "text")
+    return member.select("id", "rep").distinct(), cut(src.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "text"))
 
 
 def _compared(texts: DataFrame, width: int, similarity: float, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -84,6 +84,18 @@ def test_slices_change_nothing(monkeypatch):
     assert [s.tobytes() for s in neardup.gram_sets(texts, 3)] == want
 
 
+def test_copies_are_dropped_either_way(spark, monkeypatch):
+    data = [(k, f"text {k % 4} with words") for k in range(10)] + [(20, "text 1 with words"), (20, "alone"), (21, None), (None, "x")]
+    df = spark.createDataFrame(data, "id bigint, content string")
+    want = sorted({(min(k for k, t in data if t == text and k is not None), text) for i, text in data if i is not None and text is not None})
+    for most in (100, 0):
+        monkeypatch.setattr(neardup, "DROPPED", most)
+        for rows in (df, df.union(df)):
+            member, texts = neardup.distinct_texts(rows, "id", "content")
+            assert sorted(map(tuple, texts.collect())) == want and member.count() == 12
+    assert neardup.distinct_texts(df.limit(0), "id", "content")[1].count() == 0
+
+
 def test_ids_are_packed_whole():
     for ids in ([5], [-(1 << 63), (1 << 63) - 1, 0], [1000, 1255, 1256], [-3, 7, 7]):
         x = np.array(ids, np.int64)
