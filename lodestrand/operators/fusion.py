@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.session import cut
+
 
 def rrf(lists: DataFrame, k: int = 60, limit: int | None = None, by: str | None = None) -> DataFrame:
     """(candidate, score, rank) from lists (source_ord, candidate, rank [, by]): sum of 1 / (k + rank).
@@ -97,3 +99,19 @@ def islands(df: DataFrame, value: str, group: list[str], order: list[str]) -> Da
     fresh = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
     numbered = df.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*group, "_island").agg(F.first(value).alias(value), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("run")).drop("_island")
+
+
+def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with each row's 1-based place within its group, for groups too large to sort in one task.
+
+    Rows are cut into ranges of group and order; places within a range are counted from the sizes of
+    the group's ranges before it. order must tell any two rows of a group apart. No task sees more of a
+    hot group than its range; the ranges' sizes are one row a group and range.
+    """
+    held = cut(df.repartitionByRange(*(F.col(c) for c in by), *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.groupBy(*by, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    keys = [F.col(f"h.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    joined = held.alias("h").join(starts.alias("s"), [F.col("h._part") == F.col("s._part"), *keys]).select("h.*", "s._before")
+    within = Window.partitionBy(*by, "_part").orderBy(*order)
+    return joined.withColumn(name, (F.col("_before") + F.row_number().over(within)).cast("bigint")).drop("_part", "_before")

@@ -26,6 +26,11 @@ def path_aliases(config: str) -> list[tuple[str, list[str]]]:
     return out + ([("", [join("")])] if "baseUrl" in options else [])
 
 
+def alias_rows(configs: dict[int, str]) -> list[tuple[int, str, str]]:
+    """(project_id, prefix, target) of the compiler configurations of projects, as graph.resolved_imports takes them."""
+    return [(project, prefix, target) for project, text in configs.items() for prefix, targets in path_aliases(text) for target in targets]
+
+
 def coerced(arguments: dict) -> dict:
     """'true', 'false' and numbers given as text in their own type."""
     def one(v):

@@ -384,3 +384,28 @@ def test_vector_services(spark, service, kind):
     assert store.delete(spark.createDataFrame([("v129",), ("gone",)], "vid string")) == 2 and len(kept) == 129
     with pytest.raises(OSError):
         stores.vector_store(spark, kind, url="http://127.0.0.1:9", index="i").search([1.0], 1)
+
+
+def test_late_rows_and_restarts_of_a_stream(spark, tmp_path):
+    """A stream that goes on from its checkpoint counts each batch once, and drops what comes behind the watermark."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+
+    def send(number, *times):
+        (inbox / f"{number}.json").write_text("\n".join(json.dumps({"project_id": 1, "path": "p", "kind": "upsert", "is_dir": False, "seq": k, "ts": t}) for k, t in enumerate(times)))
+
+    def run():
+        stream = changes.debounced(changes.change_stream(spark, str(inbox)), ["project_id"], "ts", "2 seconds", "10 seconds")
+        stream.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return rows(spark.read.parquet(str(tmp_path / "out")), "started", "n")
+
+    send(0, "2025-01-01T00:00:00", "2025-01-01T00:00:01", "2025-01-01T00:05:00")
+    assert [n for _, n in run()] == [2]
+    send(1, "2025-01-01T00:00:01", "2025-01-01T00:05:01", "2025-01-01T00:10:00")  # the first comes minutes late
+    assert [n for _, n in run()] == [2, 2]
+    assert [n for _, n in run()] == [2, 2]
+
+
+def test_aliases_of_projects():
+    text = '{"compilerOptions": {"baseUrl": "src", /* c */ "paths": {"@lib/*": ["lib/*", "old/lib/*"]}}}'
+    assert config.alias_rows({4: text, 5: "no"}) == [(4, "@lib/", "src/lib"), (4, "@lib/", "src/old/lib"), (4, "", "src")]

@@ -287,3 +287,14 @@ def test_reranked_by_a_pair_model(spark):
     assert rerank.sigmoid(0) == 0.5 and rerank.sigmoid(-1000) == 0 and rerank.sigmoid(1000) == 1 and rerank.sigmoid(float("nan")) == 0
     assert rerank.cut_by(0.4)(rerank.reranked(hits, "a b c", "text", model, 9, 1)).count() == 3
     assert rerank.reranked(hits.limit(0), "a", "text", model, 3).count() == 0
+
+
+def test_ranks_by_ranges(spark):
+    draw = random.Random(3)
+    data = [(draw.choice(["hot"] * 6 + ["b", None]), draw.randrange(40), k) for k in range(400)]
+    df = spark.createDataFrame(data, "g string, n int, id int")
+    got = {r.id: r.rank for r in fusion.ranked(df, ["g"], [F.desc("n"), F.asc("id")]).collect()}
+    for g in ("hot", "b", None):
+        own = sorted((-n, k) for x, n, k in data if x == g)
+        assert [got[k] for _, k in own] == list(range(1, len(own) + 1))
+    assert fusion.ranked(df.limit(0), ["g"], [F.asc("id")]).count() == 0
